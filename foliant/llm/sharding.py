@@ -90,6 +90,17 @@ def hypergeometric(good: Column, bad: Column, draws: Column, u: Column) -> Colum
     return F.transform(F.transform(F.transform(F.array(x), window), walk), invert)[0]
 
 
+def _taken(seed: int, level: int):
+    """The step of a fold over the rooms of the shards: what the left half takes of each."""
+
+    def step(z: Column, x: Column) -> Column:
+        got = hypergeometric(x, z["left"] - x, z["need"], _uniform(seed, level, F.col("first"), F.size(z["out"])))
+        one = F.transform(F.array(got), lambda g: F.struct((z["need"] - g).alias("need"), (z["left"] - x).alias("left"), F.concat(z["out"], F.array(g)).alias("out")))
+        return one[0]
+
+    return step
+
+
 def communication_matrix(counts: DataFrame, blocks: int, shards: int, rows: int, seed: int = 7) -> DataFrame:
     """(block, to): `to[s]` rows of each block go to shard s.
 
@@ -110,12 +121,7 @@ def communication_matrix(counts: DataFrame, blocks: int, shards: int, rows: int,
         # shard by shard: the left half takes from this shard's room, given what it still needs and what room is left after it
         start = F.struct(F.col("take").alias("need"), F.aggregate("room", F.lit(0).cast("long"), lambda z, x: z + x).alias("left"), F.expr("cast(array() as array<bigint>)").alias("out"))
 
-        def step(z: Column, x: Column, level: int = level) -> Column:
-            got = hypergeometric(x, z["left"] - x, z["need"], _uniform(seed, level, F.col("first"), F.size(z["out"])))
-            one = F.transform(F.array(got), lambda g: F.struct((z["need"] - g).alias("need"), (z["left"] - x).alias("left"), F.concat(z["out"], F.array(g)).alias("out")))
-            return one[0]
-
-        node = node.select("first", "n", "room", F.aggregate("room", start, step)["out"].alias("got"))
+        node = node.select("first", "n", "room", F.aggregate("room", start, _taken(seed, level))["out"].alias("got"))
         halves = F.array(
             F.struct(F.col("first"), F.slice("n", 1, level).alias("n"), F.col("got").alias("room")),
             F.struct((F.col("first") + level).alias("first"), F.slice(F.col("n"), level + 1, level).alias("n"), F.zip_with("room", "got", lambda r, g: r - g).alias("room")),
