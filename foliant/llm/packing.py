@@ -19,13 +19,15 @@ decided by the order of rows in the input's partitions; a task that is repeated
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
-import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,40 +42,83 @@ WORTH_A_CUT = 48
 END_ID = 2
 #: Tasks whose leftovers meet in one task of the next round.
 FAN = 64
-#: Parts of texts whose ids a task remembers, and the longest of them.
-REMEMBERED, LONGEST = 600_000, 64
+#: Parts of texts, and runs within them, whose ids a task remembers, and the longest of them.
+REMEMBERED, LONGEST = 900_000, 64
+#: How the tokenizer splits what it has brought into lower case.
+RUN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+MARKS = frozenset(".,;:!?")
+PLAIN = regex.compile(r"[\x21-\x7E\xC0-\xD6\xD8-\xF6\xF8-\xFF]+")
 
 
 class Encoder:
-    """Texts to little-endian unsigned 32-bit ids, with the end id."""
+    """Texts to little-endian unsigned 32-bit ids, with the end id.
+
+    Ids of parts between spaces are remembered, and so are those of the runs of letters, digits and marks that
+    the tokenizer makes of a part in lower case: far fewer. Parts of other than printable ASCII and Latin-1
+    letters, and such as may hold a special token, go to the tokenizer as they are.
+    """
 
     def __init__(self, path: str, end_id: int = END_ID):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
+        told = json.loads(self.tokenizer.to_str())
+        told |= {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}, "added_tokens": [], "post_processor": None}
+        self.model = Tokenizer.from_str(json.dumps(told))  # for what is split and in lower case already
+        self.parts: dict[str, bytes] = {"": b""}
+        self.runs: dict[str, bytes] = {}
         self.end = end_id.to_bytes(4, "little")
+        self.by_runs = self._splits_like_us()
+
+    def _splits_like_us(self) -> bool:
+        """Whether the tokenizer lower-cases and splits as RUN does; else only whole parts are remembered."""
+        probes = ["Ab's-7,x", "\u00c9t\u00e9!!", "don't're'LL", "a\u00ff\u00d612", "x_y<z>", "'S'd9'm"]
+        whole, run = ([i for i in t.encode_batch_fast(x, add_special_tokens=False)] for t, x in ((self.tokenizer, probes), (self.model, [r for p in probes for r in RUN.findall(p.lower())])))
+        return [i for e in whole for i in e.ids] == [i for e in run for i in e.ids]
+
+    @staticmethod
+    def _encode(tokenizer: object, strings: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for at in range(0, len(strings), 4096):
+            out += [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(strings[at : at + 4096], add_special_tokens=False)]
+        return out
+
+    def _split(self, part: str) -> list[str] | None:
+        """The runs of a part, or None if it is to be left to the tokenizer."""
+        letters, mark = (part, "") if part[-1] not in MARKS else (part[:-1], part[-1])
+        if letters.isalpha() and (letters.isascii() or PLAIN.fullmatch(letters)):
+            return [letters.lower(), mark] if mark else [letters.lower()]
+        return RUN.findall(part.lower()) if PLAIN.fullmatch(part) and "<|" not in part else None
+
+    def _learn(self, new: list[str]) -> None:
+        split = list(map(self._split, new)) if self.by_runs else [None] * len(new)
+        runs = {*chain.from_iterable(s for s in split if s)}
+        if len(self.runs) + len(runs) > REMEMBERED:
+            self.runs.clear()
+        unknown = list(runs.difference(self.runs))
+        self.runs.update(zip(unknown, self._encode(self.model, unknown), strict=True))
+        known, parts = self.runs.__getitem__, self.parts
+        for p, s in zip(new, split, strict=True):
+            if s:
+                parts[p] = known(s[0]) if len(s) == 1 else b"".join(map(known, s))
+        other = [p for p, s in zip(new, split, strict=True) if not s]
+        parts.update(zip(other, self._encode(self.tokenizer, other), strict=True))
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        new = set(chain.from_iterable(split)).difference(self.known)
-        known = self.known
-        if new:
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                known[""] = b""
-                new = set(chain.from_iterable(split))
-            parts = list(new)
-            for at in range(0, len(parts), 4096):
-                some = parts[at : at + 4096]
-                for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                    known[p] = np.array(e.ids, "<u4").tobytes()
-        out = [b"".join(map(known.__getitem__, s)) + self.end for s in split]
-        if new:
-            for p in new:
-                if len(p) > LONGEST:
-                    del known[p]
+        here = {*chain.from_iterable(split)}
+        new = here.difference(self.parts)
+        if len(self.parts) + len(new) > REMEMBERED:
+            self.parts.clear()
+            self.parts[""] = b""
+            new = here.difference(self.parts)
+        self._learn(list(new))
+        out = [b"".join(map(self.parts.__getitem__, s)) + self.end for s in split]
+        for p in new:
+            if len(p) > LONGEST:
+                del self.parts[p]
+                self.runs.pop(p.lower(), None)
         return out
 
 
