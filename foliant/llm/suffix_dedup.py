@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliant.llm._common import column, materialise, without
+from foliant.llm._common import column, drop_written, materialise, without
 
 LENGTH = 200
 #: Window starts that are read at a time.
@@ -264,7 +264,10 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     counted = each.where("n = 1").join(twice, ["window", "check"], "left_semi").select("_key", "_hash", "a", (F.col("a") + length).alias("b"))
 
     spans = known.unionByName(whole).unionByName(settled).unionByName(counted)
-    return spans.groupBy("_key", "_hash").agg(F.collect_list(F.struct("a", "b")).alias("spans"))  # fewer than the text has bytes
+    out = materialise(spans.groupBy("_key", "_hash").agg(F.collect_list(F.struct("a", "b")).alias("spans")))  # fewer than the text has bytes
+    for step in (kept, strings, contexts):
+        drop_written(docs.sparkSession, step)
+    return out
 
 
 def _lots(ids: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
