@@ -9,8 +9,9 @@
    values (rarest first, in one order for all). So only this prefix is joined; common passages, whose
    values are frequent, stay out of it.
 4. Within the list of a value, members meet a few pivots, never all each other. Collisions of such a
-   pair are counted over both signatures (lists are not read further); each class verifies its best
-   partners on full sets. Verified links make components.
+   pair are counted over both signatures (lists are not read further); each class verifies two
+   partners on full sets. Verified links make components. In two more rounds, components outside the largest
+   of a list try their most agreeing pairs with pivots of the largest.
 5. What is left are lists whose members are in several components. All members outside the list's
    largest component meet the members of other components: that covers each pair that could still
    join two components, and each is met once, under its rarest common value. Those that agree in 38
@@ -43,7 +44,10 @@ COORDINATES = 64
 MATCHES = 38
 PREFIX = COORDINATES - MATCHES + 1
 PIVOTS = 3
-PARTNERS = 2
+#: Agreements of likely copies, rounds that join components by few pairs, and pairs that a component tries in each.
+CLOSE = 54
+ROUNDS = 2
+TRIES = 3
 #: Words whose hashes a task remembers.
 REMEMBERED = 500_000
 
@@ -176,16 +180,33 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     signatures = listed.select("cid", "signature")
     met = meet.join(signatures.select(F.col("cid").alias("a"), F.col("signature").alias("sa")), "a").join(signatures.select(F.col("cid").alias("b"), F.col("signature").alias("sb")), "b")
     scored = met.select("a", "b", _agreements("sa", "sb").alias("n")).where(F.col("n") >= MATCHES)
-    best = scored.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "b")), asc=False), 1, PARTNERS).alias("best"))  # a few pivots by value, so bounded
-    pairs = best.select("a", F.explode("best.b").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # the partner that agrees most, and of those that agree as near copies do the first by hash, which is the first of many
+    hashed = F.struct(F.xxhash64("b").alias("h"), F.col("b"))
+    best = scored.groupBy("a").agg(F.max(F.struct("n", "b")).getField("b").alias("most"), F.min(F.when(F.col("n") >= CLOSE, hashed)).getField("b").alias("hub"))
+    pairs = best.select("a", F.explode(F.array("most", "hub")).alias("b")).where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = materialise(_verified(pairs, sets, similarity))
     first = materialise(components(links))
 
     # lists that hold several components
-    labelled = posts.join(first.withColumnRenamed("id", "cid"), "cid", "left").select("token", "cid", F.coalesce("root", "cid").alias("label"))
-    labelled = materialise(labelled)
-    by_label = labelled.groupBy("token", "label").agg(F.count("*").alias("m"))
-    mixed = by_label.groupBy("token").agg(F.max_by("label", F.struct("m", "label")).alias("largest"), F.count("*").alias("n")).where("n > 1").select("token", "largest")
+    def lists(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+        labelled = materialise(posts.join(found.withColumnRenamed("id", "cid"), "cid", "left").select("token", "cid", F.coalesce("root", "cid").alias("label")))
+        by_label = labelled.groupBy("token", "label").agg(F.count("*").alias("m"))
+        mixed = by_label.groupBy("token").agg(F.max_by("label", F.struct("m", "label")).alias("largest"), F.count("*").alias("n")).where("n > 1").select("token", "largest")
+        return labelled, mixed
+
+    for turn in range(ROUNDS):
+        labelled, mixed = lists(first)
+        members = labelled.join(mixed, "token")
+        hubs = members.where("label = largest").groupBy("token").agg(F.array_distinct(F.array(*[F.min(F.struct(F.xxhash64("cid", F.lit(100 * turn + i)).alias("h"), F.col("cid"))).getField("cid") for i in range(PIVOTS)])).alias("b"))
+        meet = members.where("label <> largest").join(hubs, "token").select("label", F.col("cid").alias("a"), F.explode("b").alias("b")).distinct()
+        met = meet.join(signatures.select(F.col("cid").alias("a"), F.col("signature").alias("sa")), "a").join(signatures.select(F.col("cid").alias("b"), F.col("signature").alias("sb")), "b")
+        scored = met.select("label", "a", "b", _agreements("sa", "sb").alias("n")).where(F.col("n") >= MATCHES)
+        tries = [F.max(F.struct("n", F.xxhash64("a", "b", F.lit(i)).alias("h"), "a", "b")) for i in range(TRIES)]
+        chosen = scored.groupBy("label").agg(F.array_distinct(F.transform(F.array(*tries), lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b")))).alias("p"))
+        more = _verified(chosen.select(F.inline("p")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, similarity)
+        first = materialise(components(first.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more)))
+
+    labelled, mixed = lists(first)
     members = labelled.join(mixed, "token").join(listed.select("cid", "prefix", "signature"), "cid")
     members = materialise(members)
     outside = members.where("label <> largest").select("token", *[F.col(c).alias(f"{c}_") for c in ("cid", "label", "prefix", "signature")])
