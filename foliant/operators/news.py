@@ -59,7 +59,7 @@ def batches(items: DataFrame, company: str, size: int = BATCH, body: int = BODY)
 def parsed_index(x: Column) -> Column:
     """An article number out of JSON text: integers, integral floats and "[n]"; nothing else (not true, 1.7 or words)."""
     bare = F.regexp_extract(F.coalesce(x, F.lit("")), r'^\s*"?\[?([0-9]+)(?:\.0+)?\]?"?\s*$', 1)
-    return F.when(bare != "", bare.try_cast("int") if hasattr(bare, "try_cast") else bare.cast("int"))
+    return F.when(bare != "", bare.try_cast("int"))
 
 
 def degraded(value: Column, allowed: tuple[str, ...], otherwise: str) -> Column:

@@ -80,11 +80,15 @@ def by_text(chunks: DataFrame, query: str, k: int, where: Column | None = None,
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))  # over k rows
 
 
+def _equals(word: str):
+    return lambda t: t == word
+
+
 def bm25(chunks: DataFrame, query: str, k: int, text: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Okapi BM25 over any of the query's terms: id, score, rank."""
     wanted = [w for w in dict.fromkeys("".join(c if c.isascii() and c.isalnum() else " " for c in query.lower()).split()) if w not in STOP_WORDS]
     docs = chunks.select("id", terms(text).alias("_terms"))
-    counts = [F.size(F.filter("_terms", lambda t, w=w: t == w)).alias(f"n{i}") for i, w in enumerate(wanted)]
+    counts = [F.size(F.filter("_terms", _equals(w))).alias(f"n{i}") for i, w in enumerate(wanted)]
     t = docs.select("id", F.size("_terms").alias("len"), *counts)
     stats = t.agg(F.count("*").alias("docs"), F.avg("len").alias("mean"), *[F.count_if(F.col(f"n{i}") > 0).alias(f"df{i}") for i in range(len(wanted))])
     score = F.lit(0.0)
@@ -118,9 +122,12 @@ def merge(ranked: DataFrame, k: int) -> DataFrame:
     return best.orderBy(F.desc("score"), "seen").limit(k).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "seen"))).select("id", "score", "rank")
 
 
-#: Questions that compare or combine are decomposed; those that ask for causes or change in brief are expanded.
-DECOMPOSE = r"(?i)\b(compare|compared|versus|vs|difference between|both|respectively|each of)\b"
-EXPAND = r"(?i)\b(why|how come|trend|changed?|drivers?|risks?)\b"
+#: Signals of questions about several facts, and terms that filers phrase in other words.
+DECOMPOSE = (
+    r"(?i)\b(vs\.?|versus|relative\s+to|compar(e|ed|ing)\b|as\s+a?\s*%\s*of|as\s+percentage\s+of|faster\s+than|slower\s+than|"
+    r"comes?\s+from.*\bvs\b|trajectory|trend|ratio\s+of|growing.*(faster|slower)|buyback.*operational|operational.*buyback)"
+)
+EXPAND = r"(?i)\b(supply\s+chain|contingent\s+liabilit|capital\s+intensity|buyback|EBITDA|customer\s+concentration|moat|switching\s+cost|pricing\s+power)"
 
 
 def route(question: Column) -> Column:
