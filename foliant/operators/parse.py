@@ -111,6 +111,8 @@ def headings(blocks: list[str]) -> list[tuple[int, str, str]]:
 def sections(blocks: list[str], form: str | None) -> list[tuple[list[str], int, str]]:
     """(path, order, content). An item's heading is the one with most text up to the next heading, the last of equals: not its line in the contents."""
     found = headings(blocks)
+    if not found:
+        return []
     best: dict[str, tuple[int, int, str]] = {}
     for (i, item, title), after in zip(found, [*[f[0] for f in found[1:]], len(blocks)], strict=True):
         best[item] = max(best.get(item, (-1, -1, "")), (after - i - 1, i, title), key=lambda x: x[:2])
