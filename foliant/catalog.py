@@ -573,3 +573,6 @@ def S1_windowed_events(spark, d):
 @query()
 def Q1_embed(spark, d):
     return providers.embed(star.read(spark, d, "documents"), "doc_id", "text")
+
+
+from foliant import catalog_more as _more  # noqa: E402, F401  registers its queries
