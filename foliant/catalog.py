@@ -101,22 +101,22 @@ def A16_metric_trend(spark, d):
     return g.agg(F.count("*").alias("n"), F.round(F.sum(F.col("o_totalprice").cast("decimal(38,4)")).cast("double"), 2).alias("revenue"))
 
 
-@query(f"{_WITH}, k AS (SELECT * FROM filings WHERE id % 3 <> 0) SELECT f.accession_number, k.id IS NOT NULL AS in_corpus, k.status AS corpus_status FROM filings f LEFT JOIN k ON k.accession_number = f.accession_number")
+@query(f"{_WITH}, k AS (SELECT * FROM filings WHERE status <> 'parsed') SELECT f.accession_number, k.id IS NOT NULL AS in_corpus, k.status AS corpus_status FROM filings f LEFT JOIN k ON k.accession_number = f.accession_number")
 def D5_in_corpus(spark, d):
     f = star.filings(spark, d)
-    return status.in_corpus(f.select("accession_number"), f.where("id % 3 <> 0"))
+    return status.in_corpus(f.select("accession_number"), f.where("status <> 'parsed'"))
 
 
-@query(f"{_WITH} SELECT accession_number, filed_date FROM filings f WHERE NOT EXISTS (SELECT 1 FROM filings k WHERE k.id % 3 <> 0 AND k.accession_number = f.accession_number)")
+@query(f"{_WITH} SELECT accession_number, filed_date FROM filings f WHERE NOT EXISTS (SELECT 1 FROM filings k WHERE k.status <> 'parsed' AND k.accession_number = f.accession_number)")
 def D6_new_filings(spark, d):
     f = star.filings(spark, d)
-    return status.new_filings(f.select("accession_number", "filed_date"), f.where("id % 3 <> 0"))
+    return status.new_filings(f.select("accession_number", "filed_date"), f.where("status <> 'parsed'"))
 
 
-@query(f"{_WITH} SELECT count(*) AS total, count(*) FILTER (WHERE id % 3 <> 0) AS already, count(*) FILTER (WHERE id % 3 = 0) AS new FROM filings")
+@query(f"{_WITH} SELECT count(*) AS total, count(*) FILTER (WHERE status <> 'parsed') AS already, count(*) FILTER (WHERE status = 'parsed') AS new FROM filings")
 def D6_new_counts(spark, d):
     f = star.filings(spark, d)
-    return status.new_counts(f.select("accession_number"), f.where("id % 3 <> 0"))
+    return status.new_counts(f.select("accession_number"), f.where("status <> 'parsed'"))
 
 
 # --- sources and sinks ------------------------------------------------------------------------------
@@ -237,10 +237,10 @@ _TOKENS = "list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: N
 
 def _vectors(spark, d):
     e = star.read(spark, d, "embeddings").withColumnRenamed("vec_id", "id")
-    return e, e.where("id < 5").select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
+    return e, e.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
 
 
-@query(f"SELECT query_id, id, similarity, rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, {_NEAR} AS similarity, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_NEAR} DESC, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id < 5 AND e.label <> 3) WHERE rank <= 10")
+@query(f"SELECT query_id, id, similarity, rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, {_NEAR} AS similarity, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_NEAR} DESC, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0 AND e.label <> 3) WHERE rank <= 10")
 def V1_vector_search(spark, d):
     e, q = _vectors(spark, d)
     return search.by_vector(e, q, 10, F.col("label") != 3)
@@ -255,18 +255,18 @@ def V2_text_search(spark, d):
     return search.by_text(docs, "the ing of", 20)
 
 
-@query(f"""WITH v AS (SELECT id, rank FROM (SELECT e.vec_id AS id, row_number() OVER (ORDER BY {_NEAR} DESC, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id = 1) WHERE rank <= 30),
+@query(f"""WITH v AS (SELECT id, rank FROM (SELECT e.vec_id AS id, row_number() OVER (ORDER BY {_NEAR} DESC, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id = 0) WHERE rank <= 30),
 t AS (SELECT id, rank FROM {_LEXICAL.replace(chr(39) + 'ther' + chr(39) + ', ' + chr(39) + 'thand' + chr(39) + ', ', '')} WHERE rank <= 30),
 b AS (SELECT coalesce(v.id, t.id) AS id, v.rank AS vector_rank, t.rank AS text_rank, round(coalesce(1.0 / (60 + v.rank), 0.0) + coalesce(1.0 / (60 + t.rank), 0.0), 9) AS score FROM v FULL JOIN t ON v.id = t.id)
 SELECT * FROM (SELECT id, score, vector_rank, text_rank, row_number() OVER (ORDER BY score DESC, vector_rank ASC NULLS LAST, text_rank ASC NULLS LAST) AS rank FROM b) WHERE rank <= 10""")
 def V4_hybrid_search(spark, d):
     e, q = _vectors(spark, d)
     docs = star.read(spark, d, "documents").withColumnRenamed("doc_id", "id")
-    vector = search.by_vector(e, q.where("query_id = 1"), 30)
+    vector = search.by_vector(e, q.where("query_id = 0"), 30)
     return search.fuse(vector, search.by_text(docs, "ing", 30), 10)
 
 
-@query(f"""WITH r AS (SELECT query_id AS sub, id, similarity AS score, rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, {_NEAR} AS similarity, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_NEAR} DESC, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id < 5) WHERE rank <= 10),
+@query(f"""WITH r AS (SELECT query_id AS sub, id, similarity AS score, rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, {_NEAR} AS similarity, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_NEAR} DESC, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0) WHERE rank <= 10),
 m AS (SELECT id, max(score) AS score, min(sub * 1000000 + rank) AS seen FROM r GROUP BY id)
 SELECT id, score, rank FROM (SELECT id, score, row_number() OVER (ORDER BY score DESC, seen) AS rank FROM m) WHERE rank <= 10""")
 def V5_merged_search(spark, d):
@@ -275,10 +275,10 @@ def V5_merged_search(spark, d):
     return search.merge(ranked, 10)
 
 
-@query(f"SELECT id, max(similarity) AS similarity FROM (SELECT e.vec_id AS id, {_NEAR} AS similarity, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_NEAR} DESC, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id < 4 AND e.label = 2) WHERE rank <= 5 GROUP BY id")
+@query(f"SELECT id, max(similarity) AS similarity FROM (SELECT e.vec_id AS id, {_NEAR} AS similarity, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_NEAR} DESC, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0 AND e.label = 2) WHERE rank <= 5 GROUP BY id")
 def V7_extraction_search(spark, d):
     e, q = _vectors(spark, d)
-    ranked = search.by_vector(e, q.where("query_id < 4"), 5, F.col("label") == 2)
+    ranked = search.by_vector(e, q, 5, F.col("label") == 2)
     return ranked.groupBy("id").agg(F.max("similarity").alias("similarity"))
 
 
@@ -509,12 +509,13 @@ def _ranked(spark, d):
 
 
 def _gold(spark, d):
-    e = star.read(spark, d, "embeddings")
-    return e.where("label < 5 and vec_id % 4 = 0").select(F.col("label").cast("long").alias("qid"), F.when(F.col("label") < 2, "low").otherwise("high").alias("category"), (F.col("vec_id") % 3).cast("string").alias("component"), F.col("vec_id").alias("id"))
+    """For each query four neighbours by id, in two components."""
+    q = _vectors(spark, d)[0].where("id % 20 = 0")
+    return q.select(F.col("id").alias("qid"), F.when(F.col("label") < 5, "low").otherwise("high").alias("category"), F.explode(F.array(*map(F.lit, range(1, 5)))).alias("i")).select("qid", "category", (F.col("i") % 2).cast("string").alias("component"), (F.col("qid") + F.col("i")).alias("id"))
 
 
-_EVAL = f"""r AS (SELECT query_id AS qid, id, rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_NEAR} DESC, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id < 5) WHERE rank <= 20),
-g AS (SELECT CAST(label AS BIGINT) AS qid, CASE WHEN label < 2 THEN 'low' ELSE 'high' END AS category, CAST(vec_id % 3 AS VARCHAR) AS component, vec_id AS id FROM embeddings WHERE label < 5 AND vec_id % 4 = 0),
+_EVAL = f"""r AS (SELECT query_id AS qid, id, rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_NEAR} DESC, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0) WHERE rank <= 20),
+g AS (SELECT vec_id AS qid, CASE WHEN label < 5 THEN 'low' ELSE 'high' END AS category, CAST(i % 2 AS VARCHAR) AS component, vec_id + i AS id FROM embeddings, (SELECT unnest([1, 2, 3, 4]) AS i) n WHERE vec_id % 20 = 0),
 h AS (SELECT g.*, r.rank FROM g LEFT JOIN r ON r.qid = g.qid AND r.id = g.id),
 a AS (SELECT qid, category, coalesce(round(1 / min(rank), 6), 0.0) AS reciprocal_rank, round(count(*) FILTER (WHERE rank <= 5) / count(*), 6) AS recall_5, round(count(*) FILTER (WHERE rank <= 10) / count(*), 6) AS recall_10, CASE WHEN count(*) FILTER (WHERE rank <= 5) > 0 THEN 1.0 ELSE 0.0 END AS success_5, CASE WHEN count(*) FILTER (WHERE rank <= 10) > 0 THEN 1.0 ELSE 0.0 END AS success_10 FROM h GROUP BY qid, category),
 c AS (SELECT qid, round(count(*) FILTER (WHERE m <= 5) / count(*), 6) AS coverage_5, round(count(*) FILTER (WHERE m <= 10) / count(*), 6) AS coverage_10 FROM (SELECT qid, component, min(rank) AS m FROM h GROUP BY qid, component) GROUP BY qid),

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RRF_K = 60
-MOST_QUERIES = 1000
+#: Queries that are sent to the scan at a time.
+BLOCK = 1000
 #: Words that carry no meaning in a query.
 STOP_WORDS = frozenset("a an and are as at be but by for from has have in into is it its of on or that the their this to was were what which will with".split())
 
@@ -50,15 +51,23 @@ def cosine(a: str, b: str) -> Column:
 
 
 def by_vector(chunks: DataFrame, queries: DataFrame, k: int, where: Column | None = None) -> DataFrame:
-    """For each query (query_id, query), at most MOST_QUERIES: its k nearest chunks with an embedding of its length: query_id, id, similarity, rank.
+    """For each query (query_id, query): its k nearest chunks with an embedding of its length: query_id, id, similarity, rank.
 
-    An exact scan: chunks are read once and only each query's best leave a task (window group limit).
+    An exact scan: chunks are read and only each query's best leave a task (window group limit). Queries are
+    counted and sent out in blocks of BLOCK; more blocks are more scans.
     """
     c = chunks.where(F.col("embedding").isNotNull() & (F.lit(True) if where is None else where))
-    # a stated set of queries against all chunks: at most MOST_QUERIES rows are sent out
-    scored = c.join(F.broadcast(queries.select("query_id", "query").limit(MOST_QUERIES)), F.size("embedding") == F.size("query")).select("query_id", "id", F.round(cosine("embedding", "query"), 6).alias("similarity"))
+    asked = queries.select("query_id", "query")
+    blocks = -(-asked.count() // BLOCK)
+    numbered = asked.withColumn("_block", ((F.row_number().over(Window.orderBy("query_id")) - 1) / BLOCK).cast("int")) if blocks > 1 else asked
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    return scored.where("similarity is not null").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    out = None
+    for i in range(max(1, blocks)):
+        few = numbered.where(F.col("_block") == i).drop("_block") if blocks > 1 else asked  # at most BLOCK rows
+        scored = c.join(F.broadcast(few), F.size("embedding") == F.size("query")).select("query_id", "id", F.round(cosine("embedding", "query"), 6).alias("similarity"))
+        best = scored.where("similarity is not null").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        out = best if out is None else out.unionByName(best)
+    return out
 
 
 def terms(text: str) -> Column:
