@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliant.llm._common import column, components, materialise
+from foliant.llm._common import column, components, drop_written, materialise
 
 COORDINATES = 64
 MATCHES = 38
@@ -194,6 +194,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
         mixed = by_label.groupBy("token").agg(F.max_by("label", F.struct("m", "label")).alias("largest"), F.count("*").alias("n")).where("n > 1").select("token", "largest")
         return labelled, mixed
 
+    spent = [listed, sets, links]
     for turn in range(ROUNDS):
         labelled, mixed = lists(first)
         members = labelled.join(mixed, "token")
@@ -203,7 +204,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
         scored = met.select("label", "a", "b", _agreements("sa", "sb").alias("n")).where(F.col("n") >= MATCHES)
         tries = [F.max(F.struct("n", F.xxhash64("a", "b", F.lit(i)).alias("h"), "a", "b")) for i in range(TRIES)]
         chosen = scored.groupBy("label").agg(F.array_distinct(F.transform(F.array(*tries), lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b")))).alias("p"))
+        spent.append(labelled)
         more = _verified(chosen.select(F.inline("p")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, similarity)
+        spent.append(first)
         first = materialise(components(first.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more)))
 
     labelled, mixed = lists(first)
@@ -219,6 +222,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     more = _verified(meet.select(F.col("cid").alias("a"), F.col("cid_").alias("b")), sets, similarity)
     joined = first.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more)
     final = components(joined)
+    for step in (*spent, first, labelled, members):  # the result needs only the documents, the classes and their components
+        drop_written(docs.sparkSession, step)
 
     named = classes.select("set_hash", "cid", "low").join(final.withColumnRenamed("id", "cid"), "cid", "left").select("set_hash", "low", F.coalesce("root", "cid").alias("class_id"))
     least = named.groupBy("class_id").agg(F.min("low").alias("component_id"))
