@@ -4,7 +4,7 @@ Pages with a known outcome (1: to block) give every host a binomial count. A suf
 prior fitted to all outcomes, a registered domain ("example.com") one centred on its suffix, a host one
 centred on its domain; each prior weighs as many pages as its strength says. Strengths come from the
 data by the method of moments: how much more the rates of the children differ than their counts alone
-would make them. A page is blocked if the lower bound of its host's posterior, mean less `z` standard
+would make them. A prior's centre leaves out the child's own pages, which would count twice. A page is blocked if the lower bound of its host's posterior, mean less `z` standard
 deviations, is above a threshold; a host without outcomes falls back on its domain, then its suffix.
 
 All counts are integers and all joins are on aggregated tables, so a host with a third of all pages is
@@ -53,6 +53,8 @@ THRESHOLD = 0.5
 Z = 1.645
 #: Bounds of a prior's strength, in pages.
 LEAST, MOST = 1.0, 1000.0
+#: The strength where children are too few to tell how much they differ.
+UNKNOWN = 2.0
 
 
 
@@ -97,8 +99,8 @@ def _strength(child: DataFrame, parent: str, mean: str) -> DataFrame:
     spread = F.sum((n * (rate - m) * (rate - m)).cast("decimal(38,12)")).cast("double")  # decimals add up alike in any order
     g = child.groupBy(parent).agg(spread.alias("s"), F.count("*").cast("double").alias("k"), F.sum("n").cast("double").alias("total"), F.max(mean).alias("m"))
     r = (F.col("s") / (F.col("m") * (1 - F.col("m"))) - F.col("k")) / (F.col("total") - F.col("k"))
-    r = F.when((F.col("m") > 0) & (F.col("m") < 1) & (F.col("total") > F.col("k")), r).otherwise(F.lit(0.0))
-    strength = F.when(r <= 0, F.lit(MOST)).otherwise(F.greatest(F.lit(LEAST), F.least(F.lit(MOST), (1 - r) / r)))
+    known = (F.col("m") > 0) & (F.col("m") < 1) & (F.col("k") > 1) & (F.col("total") > F.col("k"))
+    strength = F.when(~known, F.lit(UNKNOWN)).when(r <= 0, F.lit(MOST)).otherwise(F.greatest(F.lit(LEAST), F.least(F.lit(MOST), (1 - r) / r)))
     return g.select(parent, F.round(strength, 6).alias("strength"))
 
 
@@ -111,17 +113,20 @@ def reputation(outcomes: DataFrame, url_host: str = "host", bad: str = "bad") ->
     everything = suffixes.groupBy().agg(F.sum("n").alias("all_n"), F.sum("bad").alias("all_bad")).select(((F.col("all_bad") + 1) / (F.col("all_n") + 2)).alias("mean"))
     level: dict[str, DataFrame] = {}
 
-    def posterior(df: DataFrame, key: str, strength: Column) -> DataFrame:
-        a, b = F.col("mean") * strength, (1 - F.col("mean")) * strength
+    def posterior(df: DataFrame, key: str, strength: Column, prior: Column) -> DataFrame:
+        a, b = prior * strength, (1 - prior) * strength
         return df.select(key, "n", "bad", (a + F.col("bad")).alias("alpha"), (b + F.col("n") - F.col("bad")).alias("beta"))
 
-    level["suffix"] = posterior(suffixes.join(F.broadcast(everything)), "suffix", F.lit(2.0))  # one row is sent out
-    above = level["suffix"].select("suffix", (F.col("alpha") / (F.col("alpha") + F.col("beta"))).alias("mean"))
-    with_mean = domains.join(above, "suffix")
-    level["domain"] = posterior(with_mean.join(_strength(with_mean, "suffix", "mean"), "suffix"), "domain", F.col("strength"))
-    above = level["domain"].select("domain", (F.col("alpha") / (F.col("alpha") + F.col("beta"))).alias("mean"))
-    with_mean = hosts.join(above, "domain")
-    level["host"] = posterior(with_mean.join(_strength(with_mean, "domain", "mean"), "domain"), "host", F.col("strength"))
+    def above(key: str) -> DataFrame:
+        return level[key].select(key, F.col("alpha").alias("a"), (F.col("alpha") + F.col("beta")).alias("ab"), (F.col("alpha") / (F.col("alpha") + F.col("beta"))).alias("mean"))
+
+    # what the parent would be like without this child's own pages, which count in the child already
+    others = (F.col("a") - F.col("bad")) / (F.col("ab") - F.col("n"))
+    level["suffix"] = posterior(suffixes.join(F.broadcast(everything)), "suffix", F.lit(UNKNOWN), F.col("mean"))  # one row is sent out
+    with_mean = domains.join(above("suffix"), "suffix")
+    level["domain"] = posterior(with_mean.join(_strength(with_mean, "suffix", "mean"), "suffix"), "domain", F.col("strength"), others)
+    with_mean = hosts.join(above("domain"), "domain")
+    level["host"] = posterior(with_mean.join(_strength(with_mean, "domain", "mean"), "domain"), "host", F.col("strength"), others)
     return level
 
 
@@ -167,8 +172,8 @@ def op7_sql() -> str:
     parts = """CASE WHEN list_contains([{two}], array_to_string(list_slice(string_split(host, '.'), -2, -1), '.')) THEN array_to_string(list_slice(string_split(host, '.'), {a}, -1), '.') ELSE array_to_string(list_slice(string_split(host, '.'), {b}, -1), '.') END"""
 
     def strength(child: str, parent: str) -> str:
-        return f"""SELECT {parent}, round(CASE WHEN r <= 0 THEN {MOST} ELSE greatest({LEAST}, least({MOST}, (1 - r) / r)) END, 6) AS strength FROM (
-  SELECT {parent}, CASE WHEN m > 0 AND m < 1 AND total > k THEN (s / (m * (1 - m)) - k) / (total - k) ELSE 0.0 END AS r FROM (
+        return f"""SELECT {parent}, round(CASE WHEN NOT known THEN {UNKNOWN} WHEN r <= 0 THEN {MOST} ELSE greatest({LEAST}, least({MOST}, (1 - r) / r)) END, 6) AS strength FROM (
+  SELECT {parent}, m > 0 AND m < 1 AND k > 1 AND total > k AS known, CASE WHEN m > 0 AND m < 1 AND total > k THEN (s / (m * (1 - m)) - k) / (total - k) ELSE 0.0 END AS r FROM (
     SELECT {parent}, CAST(sum(CAST(n * (bad / n - mean) * (bad / n - mean) AS DECIMAL(38,12))) AS DOUBLE) AS s, CAST(count(*) AS DOUBLE) AS k, CAST(sum(n) AS DOUBLE) AS total, max(mean) AS m FROM {child} GROUP BY {parent}))"""
 
     bound = f"round(alpha / (alpha + beta) - {Z} * sqrt(alpha * beta / ((alpha + beta) * (alpha + beta) * (alpha + beta + 1))), 6)"
@@ -183,13 +188,13 @@ hosts AS (SELECT host, CAST(count(*) AS DOUBLE) AS n, CAST(sum(CASE WHEN rule IN
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY domain, suffix),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY suffix),
 everything AS (SELECT (sum(bad) + 1) / (sum(n) + 2) AS mean FROM suffixes),
-suffix_level AS (SELECT suffix, mean * 2.0 + bad AS alpha, (1 - mean) * 2.0 + n - bad AS beta FROM suffixes, everything),
-domain_mean AS (SELECT d.*, alpha / (alpha + beta) AS mean FROM domains d JOIN suffix_level USING (suffix)),
+suffix_level AS (SELECT suffix, mean * {UNKNOWN} + bad AS alpha, (1 - mean) * {UNKNOWN} + n - bad AS beta FROM suffixes, everything),
+domain_mean AS (SELECT d.*, alpha / (alpha + beta) AS mean, (alpha - d.bad) / (alpha + beta - d.n) AS prior FROM domains d JOIN suffix_level USING (suffix)),
 domain_strength AS ({strength("domain_mean", "suffix")}),
-domain_level AS (SELECT domain, mean * strength + bad AS alpha, (1 - mean) * strength + n - bad AS beta FROM domain_mean JOIN domain_strength USING (suffix)),
-host_mean AS (SELECT h.*, alpha / (alpha + beta) AS mean FROM hosts h JOIN domain_level USING (domain)),
+domain_level AS (SELECT domain, prior * strength + bad AS alpha, (1 - prior) * strength + n - bad AS beta FROM domain_mean JOIN domain_strength USING (suffix)),
+host_mean AS (SELECT h.*, alpha / (alpha + beta) AS mean, (alpha - h.bad) / (alpha + beta - h.n) AS prior FROM hosts h JOIN domain_level USING (domain)),
 host_strength AS ({strength("host_mean", "domain")}),
-host_level AS (SELECT host, mean * strength + bad AS alpha, (1 - mean) * strength + n - bad AS beta FROM host_mean JOIN host_strength USING (domain)),
+host_level AS (SELECT host, prior * strength + bad AS alpha, (1 - prior) * strength + n - bad AS beta FROM host_mean JOIN host_strength USING (domain)),
 seen AS (SELECT host, {parts.format(two=two_levels, a=-3, b=-2)} AS domain, {parts.format(two=two_levels, a=-2, b=-1)} AS suffix FROM (SELECT DISTINCT host FROM told)),
 judged AS (SELECT seen.host, h.b AS hb, d.b AS db, s.b AS sb FROM seen
   LEFT JOIN (SELECT host, {bound} AS b FROM host_level) h ON h.host = seen.host
