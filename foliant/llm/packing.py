@@ -255,7 +255,9 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
         out = out.unionByName(more)
     columns = [F.col("_key").alias(key), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     if with_ids:
-        numbers = F.transform(F.sequence(F.lit(0), F.octet_length("ids") / 4 - 1), lambda i: F.conv(F.hex(F.reverse(F.substring("ids", i * 4 + 1, F.lit(4)))), 16, 10).cast("int"))
+        digits = F.hex("ids")  # little-endian, eight digits to an id
+        byte = lambda i, j: F.substring(digits, i * 8 + 2 * j + 1, F.lit(2))
+        numbers = F.transform(F.sequence(F.lit(0), (F.octet_length("ids") / 4).cast("int") - 1), lambda i: F.conv(F.concat(*[byte(i, j) for j in (3, 2, 1, 0)]), 16, 10).cast("int"))
         columns.append(numbers.alias("ids"))
     return out.select(*columns)
 
