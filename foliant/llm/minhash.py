@@ -12,13 +12,13 @@
    pair are counted over both signatures (lists are not read further); each class verifies two
    partners on full sets. Verified links make components. In two more rounds, components outside the largest
    of a list try their most agreeing pairs with pivots of the largest.
-5. What is left are lists whose members are in several components. All members outside the list's
-   largest component meet the members of other components: that covers each pair that could still
-   join two components, and each is met once, under its rarest common value. Those that agree in 38
-   coordinates are verified on full sets too. So of all pairs that pass 3. no link that matters is lost.
+5. What is left are lists whose members are in several components. They are cut into blocks of bounded size, and each
+   pair of blocks compares all its members at once: agreements of signatures, then sizes of intersections of the full
+   sets as a product of matrices. Pairs are not written out; only links that join components leave the task.
+   So of all pairs that pass 3. no link that matters is lost.
 
-A list, or a group of copies, of any size is combined before the shuffle or split by the join; its
-cost is its size times its pivots and its members outside the largest component.
+A list, or a group of copies, of any size is combined before the shuffle or split by the join. Lists within one
+component, which is what copies and near copies mostly are, cost their size times the pivots.
 
 Defined cases: A-Z are lower-cased and words are what white space (bytes 09-0D and 20) parts; a text of
 fewer words than a shingle is one shingle of all of them; null, empty and blank texts have no set and are
@@ -48,6 +48,8 @@ PIVOTS = 3
 CLOSE = 54
 ROUNDS = 2
 TRIES = 3
+#: Members and bytes of sets in a block of a list, and columns of a matrix at a time.
+BLOCK, BLOCK_BYTES, COLUMNS = 512, 32 << 20, 8_192
 #: Words whose hashes a task remembers.
 REMEMBERED = 500_000
 
@@ -135,6 +137,76 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, schema)
 
 
+def _across(members: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links that join the labels of a list, out of (cid, token, label, signature, shingles).
+
+    Lists are cut into blocks of at most BLOCK members and BLOCK_BYTES of sets, and each pair of blocks is one group of
+    bounded size. In a group, agreements and common shingles of all members are matrices, so pairs are neither
+    sent nor written; what leaves it are the links of a spanning forest, as fewer cannot join as much.
+    """
+    hundredths = round(similarity * 100)
+    size = members.groupBy("token").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.octet_length("shingles")) / BLOCK_BYTES)).cast("int").alias("blocks"))
+    cut = members.join(size, "token").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    group = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least(i, F.col("block")).alias("i"), F.greatest(i, F.col("block")).alias("j")))
+    dealt = cut.select("cid", "token", "label", "signature", "shingles", "block", F.explode(group).alias("g"))
+    dealt = dealt.select("token", F.col("g.i").alias("i"), F.col("g.j").alias("j"), "block", "cid", "label", "signature", "shingles")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for b in batches:
+            small = [b.column(i).to_pylist() for i in range(6)]
+            for i, row in enumerate(zip(*small, strict=True)):
+                if held and held[-1][:3] != row[:3]:
+                    yield _links(held, hundredths)
+                    held = []
+                held.append((*row, b.column(6)[i].values.to_numpy(), np.frombuffer(b.column(7)[i].as_buffer(), np.uint64)))
+        if held:
+            yield _links(held, hundredths)
+
+    return dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(run, "a long, b long")
+
+
+def _links(rows: list[tuple], hundredths: int) -> pa.RecordBatch:
+    """Links of one group (token, i, j, block, cid, label, signature, shingles): first come, and only where labels are not joined yet."""
+    _, i, j = rows[0][:3]
+    block = np.array([r[3] for r in rows])
+    label = np.unique([r[5] for r in rows], return_inverse=True)[1]
+    signatures = np.stack([r[6] for r in rows])
+    n = np.array([len(r[7]) for r in rows])
+    apart = np.triu(label[:, None] != label[None, :], 1)
+    if i != j:
+        apart &= block[:, None] != block[None, :]
+    found: list[tuple[int, int]] = []
+    if apart.any():
+        agree = np.zeros(apart.shape, np.uint8)
+        for c in range(COORDINATES):
+            agree += signatures[:, c][:, None] == signatures[:, c][None, :]
+        apart &= agree >= MATCHES
+    if apart.any():
+        every = np.concatenate([r[7] for r in rows])
+        _, which, times = np.unique(every, return_inverse=True, return_counts=True)
+        shared = times > 1
+        place = np.cumsum(shared) - 1
+        keep = shared[which]
+        at = np.repeat(np.arange(len(rows)), n)[keep]
+        where = place[which[keep]]
+        common = np.zeros((len(rows), len(rows)), np.float32)
+        for low in range(0, int(shared.sum()), COLUMNS):  # common shingles, some columns at a time
+            part = (where >= low) & (where < low + COLUMNS)
+            x = np.zeros((len(rows), min(COLUMNS, int(shared.sum()) - low)), np.float32)
+            x[at[part], where[part] - low] = 1
+            common += x @ x.T
+        common = common.astype(np.int64)
+        apart &= 100 * common >= hundredths * (n[:, None] + n[None, :] - common)
+        root = np.arange(label.max() + 1)
+        for a, b in zip(*np.nonzero(apart), strict=True):
+            p, q = root[label[a]], root[label[b]]
+            if p != q:
+                root[root == q] = p
+                found.append((rows[a][4], rows[b][4]))
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row per document: key, text_hash, n_shingles, class_id, component_id (smallest key of its component), kept (key = component_id).
 
@@ -210,16 +282,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
         first = materialise(components(first.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more)))
 
     labelled, mixed = lists(first)
-    members = labelled.join(mixed, "token").join(listed.select("cid", "prefix", "signature"), "cid")
+    members = labelled.join(mixed, "token").select("token", "cid", "label").join(signatures, "cid").join(sets, "cid")
     members = materialise(members)
-    outside = members.where("label <> largest").select("token", *[F.col(c).alias(f"{c}_") for c in ("cid", "label", "prefix", "signature")])
-    meet = members.join(outside, "token").where(
-        (F.col("label") != F.col("label_"))
-        & ((F.col("label") == F.col("largest")) | (F.col("cid") < F.col("cid_")))
-        & (F.get(F.array_intersect("prefix", "prefix_"), F.lit(0)) == F.col("token"))
-        & (_agreements("signature", "signature_") >= MATCHES)
-    )
-    more = _verified(meet.select(F.col("cid").alias("a"), F.col("cid_").alias("b")), sets, similarity)
+    more = _across(members, similarity)
     joined = first.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more)
     final = components(joined)
     for step in (*spent, first, labelled, members):  # the result needs only the documents, the classes and their components
