@@ -1,3 +1,8 @@
+import random
+import time
+from itertools import combinations, product
+
+from foliant import catalog, catalog_more
 from foliant.operators import verify
 
 CHUNK = "Revenue was $3,420.5 thousand against 1,283.2 and 2,344.63; 1,364.1 in 2024; 10874.36 in all; 877,433 and 615,433; 1,271 and 66,295."
@@ -58,3 +63,33 @@ def test_verify_on_rows(spark):
     got = verify.verify(df).collect()
     assert [(r.id, r.value, r["class"], r.chunk) for r in got] == [(1, "1,364.1", "verified", 7)]
     assert verify.counts(verify.verify(df)).first().verified == 1
+
+
+def test_derivable_equals_all_signed_sums():
+    draw = random.Random(3)
+    seen = set()
+    for _ in range(300):
+        parts = [draw.choice([draw.uniform(0, 1e5), float(draw.randint(1, 300)), round(draw.uniform(0, 9e3), 2)]) for _ in range(draw.randint(0, 7))]
+        target = draw.choice([draw.uniform(0, 1e5), float(draw.randint(1, 600)), abs(sum(parts[:4]) - 0.05)])
+        sums = (sum(s * x for s, x in zip(signs, some, strict=True)) for n in (2, 3, 4) for some in combinations(parts, n) for signs in product((1, -1), repeat=n))
+        expected = any(abs(s - target) <= max(0.1, target * 0.001) for s in sums)
+        assert verify.derivable(target, parts) == expected
+        seen.add(expected)
+    assert seen == {True, False}
+
+
+def test_derivable_is_fast_on_dense_figures():
+    draw = random.Random(4)
+    parts = [10_000.0 * draw.randint(1, 10**6) for _ in range(70)]
+    began = time.time()
+    assert not verify.derivable(1_005_000.0, parts)  # all sums are multiples of 10,000
+    assert time.time() - began < 5
+
+
+def test_whole_texts_are_verified(spark, tmp_path):
+    text = "word " * 500 + "Income was 4,321.5 then, and 9,753.25 of it was in sales."
+    spark.createDataFrame([(0, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.value: r["class"] for r in catalog.K11_verify(spark, str(tmp_path)).collect()}
+    assert got["4,321.5"] == got["9,753.25"] == "verified"
+    assert catalog.K13_verdict_counts(spark, str(tmp_path)).first().verified == len([c for c in got.values() if c == "verified"])
+    assert [r.value for r in catalog_more.K8_derived_totals(spark, str(tmp_path)).collect()] == ["67,566"]
