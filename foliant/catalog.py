@@ -17,7 +17,7 @@ from foliant.streaming import ingest as streams
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-FLAGSHIP = "V4_hybrid_search"
+FLAGSHIP = "V4_hybrid_searches"
 
 
 def query(sql: str | None = None):
@@ -266,6 +266,23 @@ def V4_hybrid_search(spark, d):
     return search.fuse(vector, search.by_text(docs, "ing", 30), 10)
 
 
+#: Each query's words are the first three terms of the document of its number.
+_HYBRID = f"""d AS (SELECT doc_id AS id, {_TOKENS} AS t FROM documents),
+q AS (SELECT vec_id AS query_id, list_distinct(t[1:3]) AS w FROM embeddings JOIN d ON id = vec_id WHERE vec_id % 20 = 0),
+v AS (SELECT query_id, id, rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_NEAR} DESC, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0) WHERE rank <= 30),
+t AS (SELECT query_id, id, rank FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT query_id, id, round(len(list_filter(t, lambda x: list_contains(w, x))) / len(t), 6) AS score FROM d, q WHERE len(w) > 0 AND list_has_all(t, w))) WHERE rank <= 30),
+b AS (SELECT query_id, id, v.rank AS vector_rank, t.rank AS text_rank, round(coalesce(1.0 / (60 + v.rank), 0.0) + coalesce(1.0 / (60 + t.rank), 0.0), 9) AS score FROM v FULL JOIN t USING (query_id, id)),
+h AS (SELECT * FROM (SELECT query_id, id, score, vector_rank, text_rank, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vector_rank ASC NULLS LAST, text_rank ASC NULLS LAST) AS rank FROM b) WHERE rank <= 10)"""
+
+
+@query(f"WITH {_HYBRID} SELECT query_id, id, score, vector_rank, text_rank, rank FROM h")
+def V4_hybrid_searches(spark, d):
+    e, q = _vectors(spark, d)
+    docs = star.read(spark, d, "documents").withColumnRenamed("doc_id", "id")
+    asked = q.join(docs.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.array_join(F.slice(search.terms("text"), 1, 3), " ").alias("query_text")), "query_id", "left")
+    return search.fuse(search.by_vector(e, q, 30), search.by_text(docs, asked, 30), 10)
+
+
 @query(f"""WITH r AS (SELECT query_id AS sub, id, similarity AS score, rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, {_NEAR} AS similarity, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_NEAR} DESC, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0) WHERE rank <= 10),
 m AS (SELECT id, max(score) AS score, min(sub * 1000000 + rank) AS seen FROM r GROUP BY id)
 SELECT id, score, rank FROM (SELECT id, score, row_number() OVER (ORDER BY score DESC, seen) AS rank FROM m) WHERE rank <= 10""")

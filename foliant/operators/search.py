@@ -76,9 +76,19 @@ def terms(text: str) -> Column:
     return F.filter(words, lambda w: ~w.isin(*sorted(STOP_WORDS)))
 
 
-def by_text(chunks: DataFrame, query: str, k: int, where: Column | None = None, text: str = "text") -> DataFrame:
-    """Chunks that have all terms of the query, by the share of the query's terms among the chunk's: id, score, rank. A query of stop words matches nothing."""
-    wanted = [w for w in dict.fromkeys("".join(c if c.isascii() and c.isalnum() else " " for c in query.lower()).split()) if w not in STOP_WORDS]
+def _words(query: str) -> list[str]:
+    """The terms of a query, each once."""
+    return [w for w in dict.fromkeys("".join(c if c.isascii() and c.isalnum() else " " for c in query.lower()).split()) if w not in STOP_WORDS]
+
+
+def by_text(chunks: DataFrame, query: str | DataFrame, k: int, where: Column | None = None, text: str = "text") -> DataFrame:
+    """Chunks that have all terms of the query, by the share of the query's terms among the chunk's: id, score, rank. A query of stop words matches nothing.
+
+    For queries as rows (query_id, query_text): query_id, id, score, rank, each query's k.
+    """
+    if isinstance(query, DataFrame):
+        return _by_texts(chunks, query, k, where, text)
+    wanted = _words(query)
     if not wanted:
         return chunks.select("id", F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
     found = (chunks if where is None else chunks.where(where)).select("id", terms(text).alias("_terms"))
@@ -89,13 +99,26 @@ def by_text(chunks: DataFrame, query: str, k: int, where: Column | None = None,
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))  # over k rows
 
 
+def _by_texts(chunks: DataFrame, queries: DataFrame, k: int, where: Column | None, text: str) -> DataFrame:
+    """Words of chunks meet the queries that ask for them; a chunk that gives a query all of its words is a match."""
+    asked = queries.select("query_id", F.array_distinct(terms("query_text")).alias("_words"))
+    asked = asked.select("query_id", F.size("_words").alias("_asked"), F.explode("_words").alias("_term"))
+    found = (chunks if where is None else chunks.where(where)).select("id", terms(text).alias("_terms"))
+    words = found.select("id", F.size("_terms").alias("_len"), F.explode("_terms").alias("_term")).join(asked.select("_term").distinct(), "_term", "left_semi")
+    met = words.groupBy("id", "_len", "_term").agg(F.count("*").alias("_n")).join(asked, "_term")
+    all_met = met.groupBy("query_id", "_asked", "id", "_len").agg(F.count("*").alias("_met"), F.sum("_n").alias("_n")).where("_met = _asked")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    scored = all_met.select("query_id", "id", F.round(F.col("_n") / F.col("_len"), 6).alias("score"))
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def _equals(word: str):
     return lambda t: t == word
 
 
 def bm25(chunks: DataFrame, query: str, k: int, text: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Okapi BM25 over any of the query's terms: id, score, rank."""
-    wanted = [w for w in dict.fromkeys("".join(c if c.isascii() and c.isalnum() else " " for c in query.lower()).split()) if w not in STOP_WORDS]
+    wanted = _words(query)
     docs = chunks.select("id", terms(text).alias("_terms"))
     counts = [F.size(F.filter("_terms", _equals(w))).alias(f"n{i}") for i, w in enumerate(wanted)]
     t = docs.select("id", F.size("_terms").alias("len"), *counts)
@@ -110,19 +133,24 @@ def bm25(chunks: DataFrame, query: str, k: int, text: str = "text", k1: float =
 
 
 def fuse(vector: DataFrame, text: DataFrame, k: int, rrf_k: int = RRF_K) -> DataFrame:
-    """Reciprocal rank fusion of two ranked lists (id, rank): id, score, rank. Ties: by vector rank, those without it last, then by text rank."""
-    v = vector.select("id", F.col("rank").alias("vector_rank"))
-    t = text.select("id", F.col("rank").alias("text_rank"))
+    """Reciprocal rank fusion of two ranked lists (id, rank): id, score, rank. Ties: by vector rank, those without it last, then by text rank.
+
+    If both have a query_id, lists are fused by query, and each keeps its k; otherwise they are those of one query.
+    """
+    by = ["query_id"] if "query_id" in vector.columns and "query_id" in text.columns else []
+    v = vector.select(*by, "id", F.col("rank").alias("vector_rank"))
+    t = text.select(*by, "id", F.col("rank").alias("text_rank"))
     part = lambda r: F.coalesce(F.lit(1.0) / (F.lit(rrf_k) + F.col(r)), F.lit(0.0))
-    both = v.join(t, "id", "full").select("id", "vector_rank", "text_rank", F.round(part("vector_rank") + part("text_rank"), 9).alias("score"))
+    both = v.join(t, [*by, "id"], "full").select(*by, "id", "vector_rank", "text_rank", F.round(part("vector_rank") + part("text_rank"), 9).alias("score"))
     order = [F.desc("score"), F.asc_nulls_last("vector_rank"), F.asc_nulls_last("text_rank")]
-    top = both.orderBy(*order).limit(k)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order))).select("id", "score", "vector_rank", "text_rank", "rank")
+    top = both if by else both.orderBy(*order).limit(k)
+    ranked = top.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
+    return ranked.select(*by, "id", "score", "vector_rank", "text_rank", "rank")
 
 
-def hybrid(chunks: DataFrame, queries: DataFrame, query_text: str, k: int, where: Column | None = None) -> DataFrame:
-    """Vector and text candidates, three times k of each, fused."""
-    return fuse(by_vector(chunks, queries, 3 * k, where), by_text(chunks, query_text, 3 * k, where), k)
+def hybrid(chunks: DataFrame, queries: DataFrame, k: int, where: Column | None = None) -> DataFrame:
+    """For each query (query_id, query, query_text): vector and text candidates, three times k of each, fused."""
+    return fuse(by_vector(chunks, queries, 3 * k, where), by_text(chunks, queries, 3 * k, where), k)
 
 
 def merge(ranked: DataFrame, k: int) -> DataFrame:

@@ -2,6 +2,7 @@ from datetime import date
 
 import pytest
 
+from foliant import catalog, catalog_more
 from foliant.functions import providers, values
 from foliant.operators import search, store
 from foliant.plans import ingest
@@ -32,6 +33,23 @@ def test_fusion_orders_ties_like_insertion(spark):
     assert got[0].score == round(2 / 62, 9)
 
 
+def test_hybrid_search_keeps_queries_apart(spark):
+    chunks = spark.createDataFrame([(1, [1.0, 0.0], "net sales rose"), (2, [0.0, 1.0], "net loss"), (3, [0.6, 0.8], "sales, sales and loss")], "id int, embedding array<float>, text string")
+    asked = spark.createDataFrame([(7, [1.0, 0.0], "the sales"), (8, [0.0, 1.0], "loss net"), (9, [0.0, 1.0], "of the"), (10, [1.0, 0.0], None)], "query_id int, query array<float>, query_text string")
+    found = search.by_text(chunks, asked, 5).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.id, r.score) for r in found] == [(7, 3, 0.666667), (7, 1, 0.333333), (8, 2, 1.0)]
+    got: dict[int, list] = {}
+    for r in search.hybrid(chunks, asked, 2).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.id, r.vector_rank, r.text_rank, r.rank))
+    assert got == {7: [(1, 1, 2, 1), (3, 2, 1, 2)], 8: [(2, 1, 1, 1), (3, 2, None, 2)], 9: [(2, 1, None, 1), (3, 2, None, 2)], 10: [(1, 1, None, 1), (3, 2, None, 2)]}
+
+
+def test_searches_take_every_stated_query(spark):
+    d = "/root/testdata/sf0.001"
+    assert catalog.V4_hybrid_searches(spark, d).select("query_id").distinct().count() == 25
+    assert catalog_more.Q1_similar_to_first(spark, d).select("query_id").distinct().count() == 10
+
+
 def test_text_search_needs_all_terms(spark):
     docs = spark.createDataFrame([(1, "Net sales rose"), (2, "sales"), (3, None)], "id int, text string")
     assert [r.id for r in search.by_text(docs, "the sales NET", 5).collect()] == [1]
