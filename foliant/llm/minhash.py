@@ -4,8 +4,8 @@
    with one and the same set form a class; from here on there is one entry per class.
 2. Every class is posted under each (coordinate, value) of its signature, and the postings are counted.
    A value that only one class has cannot collide.
-3. Two classes with J >= 0.8 agree in about 0.8 of 64 coordinates; fewer than MATCHES = 38 happens
-   once in two million. Classes that agree in 38 must share one of their 64 - 38 + 1 = 27 rarest
+3. Two classes with J >= 0.8 agree in about 0.8 of 64 coordinates; fewer than MATCHES = 33 happens
+   once in twelve million (binomial, 8.2e-8). Classes that agree in 33 must share one of their 64 - 33 + 1 = 32 rarest
    values (rarest first, in one order for all). So only this prefix is joined; common passages, whose
    values are frequent, stay out of it.
 4. Within the list of a value, members meet a few pivots, never all each other. Collisions of such a
@@ -41,7 +41,7 @@ from pyspark.sql import types as T
 from foliant.llm._common import column, components, drop_written, materialise
 
 COORDINATES = 64
-MATCHES = 38
+MATCHES = 33
 PREFIX = COORDINATES - MATCHES + 1
 PIVOTS = 3
 #: Agreements of likely copies, rounds that join components by few pairs, and pairs that a component tries in each.
