@@ -452,6 +452,19 @@ def K10_quote_match(spark, d):
     return b.join(F.broadcast(corpus)).agg(F.count("*").alias("benchmark"), F.count_if(F.contains("corpus", verify.normalized(F.col("text")))).alias("quoted"))
 
 
+_PLAIN = """lower(trim(regexp_replace(translate(text, '“”‘’—–', '""''''--'), '\\s+', ' ', 'g')))"""
+
+
+@query(f"""SELECT b.item_id, count(d.doc_id) AS documents, min(d.doc_id) AS first_document FROM (SELECT item_id, {_PLAIN} AS t FROM benchmark) b
+LEFT JOIN (SELECT doc_id, {_PLAIN} AS t FROM documents) d ON contains(d.t, b.t) GROUP BY b.item_id""")
+def K10_quotes_in_documents(spark, d):
+    b = star.read(spark, d, "benchmark").select("item_id", verify.normalized(F.col("text")).alias("quote"))
+    docs = star.read(spark, d, "documents").select("doc_id", verify.normalized(F.col("text")).alias("t"))
+    found = docs.join(F.broadcast(b), F.contains("t", "quote"))  # the benchmark is a bounded set of queries
+    counted = found.groupBy("item_id").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first_document"))
+    return b.select("item_id").join(counted, "item_id", "left").select("item_id", F.coalesce("documents", F.lit(0)).alias("documents"), "first_document")
+
+
 @query()
 def K11_verify(spark, d):
     docs = star.read(spark, d, "documents")

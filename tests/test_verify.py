@@ -93,3 +93,11 @@ def test_whole_texts_are_verified(spark, tmp_path):
     assert got["4,321.5"] == got["9,753.25"] == "verified"
     assert catalog.K13_verdict_counts(spark, str(tmp_path)).first().verified == len([c for c in got.values() if c == "verified"])
     assert [r.value for r in catalog_more.K8_derived_totals(spark, str(tmp_path)).collect()] == ["67,566"]
+
+
+def test_quotations_are_found_in_documents(spark, tmp_path):
+    spark.createDataFrame([(1, "Net sales — as “stated” — rose"), (2, "Nobody quotes this")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = [(5, "It says: net  sales - as \"stated\"\n- ROSE again."), (6, "x " * 3000 + "Net sales — as “stated” — rose"), (7, "Net sales rose"), (8, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalog.K10_quotes_in_documents(spark, str(tmp_path)).orderBy("item_id").collect()
+    assert [tuple(r) for r in got] == [(1, 2, 5), (2, 0, None)]
