@@ -292,6 +292,13 @@ def V5_merged_search(spark, d):
     return search.merge(ranked, 10)
 
 
+@query(f"""WITH {_HYBRID}, m AS (SELECT id, max(score) AS score, min(query_id * 1000000 + rank) AS seen FROM h GROUP BY id)
+SELECT id, score, rank FROM (SELECT id, score, row_number() OVER (ORDER BY score DESC, seen) AS rank FROM m) WHERE rank <= 10""")
+def V5_merged_hybrid(spark, d):
+    ranked = V4_hybrid_searches(spark, d).select(F.col("query_id").alias("sub"), "id", "score", "rank")
+    return search.merge(ranked, 10)
+
+
 @query(f"SELECT id, max(similarity) AS similarity FROM (SELECT e.vec_id AS id, {_NEAR} AS similarity, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_NEAR} DESC, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0 AND e.label = 2) WHERE rank <= 5 GROUP BY id")
 def V7_extraction_search(spark, d):
     e, q = _vectors(spark, d)

@@ -47,6 +47,7 @@ def test_hybrid_search_keeps_queries_apart(spark):
 def test_searches_take_every_stated_query(spark):
     d = "/root/testdata/sf0.001"
     assert catalog.V4_hybrid_searches(spark, d).select("query_id").distinct().count() == 25
+    assert catalog.V5_merged_hybrid(spark, d).count() == 10
     assert catalog_more.Q1_similar_to_first(spark, d).select("query_id").distinct().count() == 10
 
 
