@@ -128,13 +128,27 @@ class Scanner:
                 high = found[at] + m + k
             at += 1
             low, high = max(0, low), min(len(text), high)
-            while low < high and (hit := pattern.search(text, low, high)):
+            stretches, tried, here = [(low, high)], set(), []
+            while stretches:  # the best match of a stretch, then what is before and after it
+                low, high = stretch = stretches.pop()
+                if high - low < m - k or stretch in tried or not (hit := pattern.search(text, low, high)):
+                    continue
+                tried.add(stretch)
                 changes = sum(hit.fuzzy_counts)
                 a, b = hit.span()
                 a, b, changes = self._trimmed(text, a, b, n.words, changes, k)
                 if a >= 0:
-                    spans.append(Span(n.label, a - 1, b - 1, changes, m, n.base))
-                low = max(hit.start() + 1, b)
+                    here.append(Span(n.label, a - 1, b - 1, changes, m, n.base))
+                    stretches += [(low, min(hit.start(), a)), (max(hit.start() + 1, b), high)]
+                else:
+                    stretches += [(low, hit.start()), (hit.start() + 1, high)]
+            kept: list[Span] = []
+            for span in sorted(here, key=lambda s: (s.start, s.changes)):  # whole words can reach into the next stretch
+                if not kept or kept[-1].end <= span.start:
+                    kept.append(span)
+                elif span.changes < kept[-1].changes:
+                    kept[-1] = span
+            spans += kept
         return spans
 
     def _plausible(self, i: int, window: str) -> bool:

@@ -56,6 +56,16 @@ def test_fuzzy_against_all_windows():
         assert bool(scanner.scan(words)) == exists
 
 
+def test_notices_back_to_back_are_all_found():
+    scanner = ls.Scanner()
+    twice = "licenced under the gnu general public licence licensed under the gnu general public license"
+    assert [(s.start, s.changes) for s in scanner.scan(twice) if s.label == "gpl-notice"] == [(0, 2), (46, 0)]
+    refused = "licenced under cc by licensed under cc bypass"
+    assert [(s.start, s.end, s.changes) for s in scanner.scan(refused) if s.label == "cc-by-notice"] == [(0, 20, 1)]
+    many = " ".join(["licenced under cc by", "licensed under cc by"] * 50)
+    assert len([s for s in scanner.scan(many) if s.label == "cc-by-notice"]) == 100
+
+
 def test_unrelated_text_has_no_labels(spark):
     df = spark.createDataFrame([(1, "the license of software " * 50, 7)], "doc_id long, text string, label int")
     r = ls.summary(df).first()
