@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import gc
-import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,12 +17,11 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; only where that is unset, one in the warehouse, which is shared too."""
     sc = spark.sparkContext
     at = sc.getCheckpointDir()
     if at is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="foliant-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_foliant")
         at = sc.getCheckpointDir()
     return at
 
@@ -76,6 +78,29 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[column(n) for n in df.columns if n.lower() not in taken])
 
 
+def by_position(df: DataFrame) -> DataFrame:
+    """`df` with columns c0, c1, ...: whatever its columns are called, no step's names clash with them."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def _trim() -> None:
+    """Gives memory that is free within this process back to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """`run` over batches, after which its worker, which later tasks use again, gives back the memory that the task took."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        _trim()
+
+    return wrapped
+
+
 def column(name: str) -> Column:
     """A column by its exact name, dots and all."""
     return F.col("`" + name.replace("`", "``") + "`")

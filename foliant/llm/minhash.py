@@ -12,13 +12,16 @@
    pair are counted over both signatures (lists are not read further); each class verifies two
    partners on full sets. Verified links make components. In two more rounds, components outside the largest
    of a list try their most agreeing pairs with pivots of the largest.
-5. What is left are lists whose members are in several components. They are cut into blocks of bounded size, and each
-   pair of blocks compares all its members at once: agreements of signatures, then sizes of intersections of the full
-   sets as a product of matrices. Pairs are not written out; only links that join components leave the task.
-   So of all pairs that pass 3. no link that matters is lost.
+5. What is left are lists whose members are in several components; of lists with the same members one is read. Members
+   outside a list's largest component are cut into blocks of bounded size and meet each other and the largest
+   component, blockwise, by their signatures alone (64 numbers). What leaves a pair of blocks are the members
+   that agree with one of another component, each once, whatever the number of its partners. Only these send
+   their full sets to that pair of blocks, which counts common shingles as a product of matrices; only links
+   that join components leave the task. So of all pairs that pass 3. no link that matters is lost.
 
 A list, or a group of copies, of any size is combined before the shuffle or split by the join. Lists within one
-component, which is what copies and near copies mostly are, cost their size times the pivots.
+component, which is what copies and near copies mostly are, cost their size times the pivots. Full sets are
+made of classes only that agree with another in MATCHES coordinates at least by the counts of step 2.
 
 Defined cases: A-Z are lower-cased and words are what white space (bytes 09-0D and 20) parts; a text of
 fewer words than a shingle is one shingle of all of them; null, empty and blank texts have no set and are
@@ -38,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliant.llm._common import column, components, drop_written, materialise
+from foliant.llm._common import by_position, column, components, drop_written, materialise, tidy
 
 COORDINATES = 64
 MATCHES = 33
@@ -49,9 +52,9 @@ CLOSE = 54
 ROUNDS = 2
 TRIES = 3
 #: Members and bytes of sets in a block of a list, and columns of a matrix at a time.
-BLOCK, BLOCK_BYTES, COLUMNS = 512, 32 << 20, 8_192
-#: Words whose hashes a task remembers.
-REMEMBERED = 500_000
+BLOCK, BLOCK_BYTES, COLUMNS = 512, 4 << 20, 4_096
+#: Texts or sets that are Python objects at a time, and bytes of words whose hashes a task remembers.
+SLICE, REMEMBERED_BYTES = 64, 16 << 20
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = np.random.default_rng(20240229).integers(1, 1 << 63, (2, COORDINATES), dtype=np.uint64)
@@ -62,17 +65,20 @@ class Shingler:
     """Texts to sorted arrays of distinct shingle hashes."""
 
     def __init__(self, words: int):
-        self.words, self.known = words, {}
+        self.words, self.known, self.held = words, {}, 0
 
     def __call__(self, text: str | None) -> np.ndarray:
         parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
         if not parts:
             return np.empty(0, np.uint64)
         known = self.known
-        if len(known) > REMEMBERED:
+        new = {*parts}.difference(known)
+        if self.held > REMEMBERED_BYTES:
             known.clear()
-        for w in {*parts}.difference(known):
+            self.held, new = 0, {*parts}
+        for w in new:
             known[w] = xxhash.xxh64_intdigest(w)
+        self.held += 150 * len(new) + sum(map(len, new))
         h = np.fromiter(map(known.__getitem__, parts), np.uint64, len(parts))
         n = min(self.words, len(h))
         out = np.full(len(h) - n + 1, n, np.uint64)
@@ -99,14 +105,15 @@ def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text", words: in
         shingler = Shingler(words)
         for b in batches:
             n, hashes, sigs = [], [], []
-            for t in b.column(2).to_pylist():
-                s = shingler(t)
-                n.append(len(s))
-                hashes.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                sigs.append(signature(s) if len(s) else None)
+            for at in range(0, b.num_rows, SLICE):
+                for t in b.column(2).slice(at, SLICE).to_pylist():
+                    s = shingler(t)
+                    n.append(len(s))
+                    hashes.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                    sigs.append(signature(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(hashes, pa.binary()), pa.array(sigs, pa.list_(pa.int32()))], names=[f.name for f in schema])
 
-    return docs.select(column(key), F.xxhash64(column(text)).alias("text_hash"), column(text)).mapInArrow(run, schema)
+    return docs.select(column(key), F.xxhash64(column(text)).alias("text_hash"), column(text)).mapInArrow(tidy(run), schema)
 
 
 def _agreements(a: str, b: str) -> Column:
@@ -134,54 +141,91 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
                 keep.append(100 * common >= hundredths * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, schema)
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(tidy(run), schema)
 
 
-def _across(members: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): links that join the labels of a list, out of (cid, token, label, signature, shingles).
+_GROUP = "token long, i int, j int, block int, cid long, label long, signature array<int>"
 
-    Lists are cut into blocks of at most BLOCK members and BLOCK_BYTES of sets, and each pair of blocks is one group of
-    bounded size. In a group, agreements and common shingles of all members are matrices, so pairs are neither
-    sent nor written; what leaves it are the links of a spanning forest, as fewer cannot join as much.
-    """
-    hundredths = round(similarity * 100)
-    size = members.groupBy("token").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.octet_length("shingles")) / BLOCK_BYTES)).cast("int").alias("blocks"))
-    cut = members.join(size, "token").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    group = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least(i, F.col("block")).alias("i"), F.greatest(i, F.col("block")).alias("j")))
-    dealt = cut.select("cid", "token", "label", "signature", "shingles", "block", F.explode(group).alias("g"))
-    dealt = dealt.select("token", F.col("g.i").alias("i"), F.col("g.j").alias("j"), "block", "cid", "label", "signature", "shingles")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        for b in batches:
-            small = [b.column(i).to_pylist() for i in range(6)]
-            for i, row in enumerate(zip(*small, strict=True)):
-                if held and held[-1][:3] != row[:3]:
-                    yield _links(held, hundredths)
-                    held = []
-                held.append((*row, b.column(6)[i].values.to_numpy(), np.frombuffer(b.column(7)[i].as_buffer(), np.uint64)))
-        if held:
-            yield _links(held, hundredths)
 
-    return dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(run, "a long, b long")
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The rows of each (token, i, j), which come one group after the other."""
+    held: list[tuple] = []
+    for b in batches:
+        small = [b.column(i).to_pylist() for i in range(6)]
+        for i, row in enumerate(zip(*small, strict=True)):
+            if held and held[-1][:3] != row[:3]:
+                yield held
+                held = []
+            held.append((*row, b.column(6)[i].values.to_numpy(), b.column(7)[i].as_py()))
+    if held:
+        yield held
 
 
-def _links(rows: list[tuple], hundredths: int) -> pa.RecordBatch:
-    """Links of one group (token, i, j, block, cid, label, signature, shingles): first come, and only where labels are not joined yet."""
+def _candidates(rows: list[tuple], n: np.ndarray, hundredths: int) -> np.ndarray:
+    """Which pairs of a group (token, i, j, block, cid, label, signature, ..) are of two components, of sizes that allow the similarity, and agree."""
     _, i, j = rows[0][:3]
     block = np.array([r[3] for r in rows])
-    label = np.unique([r[5] for r in rows], return_inverse=True)[1]
-    signatures = np.stack([r[6] for r in rows])
-    n = np.array([len(r[7]) for r in rows])
+    label = np.array([r[5] for r in rows])
     apart = np.triu(label[:, None] != label[None, :], 1)
     if i != j:
         apart &= block[:, None] != block[None, :]
-    found: list[tuple[int, int]] = []
+    apart &= 100 * np.minimum(n[:, None], n[None, :]) >= hundredths * np.maximum(n[:, None], n[None, :])
     if apart.any():
+        signatures = np.stack([r[6] for r in rows])
         agree = np.zeros(apart.shape, np.uint8)
         for c in range(COORDINATES):
             agree += signatures[:, c][:, None] == signatures[:, c][None, :]
         apart &= agree >= MATCHES
+    return apart
+
+
+def _across(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links that join the labels of a list, out of (token, largest, cid, label, n, signature) and sets (cid, shingles).
+
+    Members outside the largest label are cut into blocks of about BLOCK members and BLOCK_BYTES of sets, those of the
+    largest into further ones, and each pair of blocks but those of the largest among themselves is one group of
+    bounded size. A first pass over signatures finds the members of each group that have a partner; only
+    their sets go there. Pairs are neither sent nor written; what leaves a group are the links of a
+    spanning forest, as fewer cannot join as much.
+    """
+    hundredths = round(similarity * 100)
+    inside = F.col("label") == F.col("largest")
+    cost = F.lit(1.0 / BLOCK) + F.col("n") * (8.0 / BLOCK_BYTES)
+    size = members.groupBy("token").agg(F.ceil(F.sum(F.when(inside, 0.0).otherwise(cost))).cast("int").alias("few"), F.ceil(F.sum(F.when(inside, cost).otherwise(0.0))).cast("int").alias("many"))
+    hashed = F.xxhash64("cid", "token")
+    block = F.when(inside, F.col("few") + F.pmod(hashed, F.greatest("many", F.lit(1)))).otherwise(F.pmod(hashed, F.greatest("few", F.lit(1)))).cast("int")
+    cut = members.join(size, "token").withColumn("block", block)
+    met = F.transform(F.sequence(F.lit(0), F.when(inside, F.col("few")).otherwise(F.col("few") + F.col("many")) - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))
+    dealt = cut.select("token", "block", "cid", "label", "signature", "n", F.explode(met).alias("g"))
+    dealt = dealt.select("token", F.col("g.i").alias("i"), F.col("g.j").alias("j"), "block", "cid", "label", "signature", "n")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches):
+            apart = _candidates(rows, np.array([r[7] for r in rows]), hundredths)
+            there = np.flatnonzero(apart.any(axis=0) | apart.any(axis=1))
+            if len(there):
+                cols = list(zip(*(rows[x][:7] for x in there), strict=True))
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["token", "i", "j", "block", "cid", "label", "signature"])
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches):
+            yield _links([(*r[:7], np.frombuffer(r[7], np.uint64)) for r in rows], hundredths)
+
+    group = ["token", "i", "j"]
+    partnered = materialise(dealt.repartition(*group).sortWithinPartitions(*group).mapInArrow(tidy(near), _GROUP))
+    with_sets = partnered.join(sets, "cid").select(*partnered.columns, "shingles")
+    out = materialise(with_sets.repartition(*group).sortWithinPartitions(*group).mapInArrow(tidy(linked), "a long, b long"))
+    drop_written(members.sparkSession, partnered)
+    return out
+
+
+def _links(rows: list[tuple], hundredths: int) -> pa.RecordBatch:
+    """Links of one group (token, i, j, block, cid, label, signature, shingles): first come, and only where labels are not joined yet."""
+    label = np.unique([r[5] for r in rows], return_inverse=True)[1]
+    n = np.array([len(r[7]) for r in rows])
+    found: list[tuple[int, int]] = []
+    apart = _candidates(rows, n, hundredths)
     if apart.any():
         every = np.concatenate([r[7] for r in rows])
         _, which, times = np.unique(every, return_inverse=True, return_counts=True)
@@ -218,7 +262,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     classes = (
         rows.where("set_hash is not null")
         .groupBy("set_hash")
-        .agg(F.min(column(key)).alias("low"), F.min(F.struct(column(key).alias("k"), F.col("text_hash").alias("h"))).alias("one"), F.first("signature").alias("signature"))
+        .agg(F.min(column(key)).alias("low"), F.min(F.struct(column(key).alias("k"), F.col("text_hash").alias("h"))).alias("one"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n"))
         .withColumn("cid", F.monotonically_increasing_id())
     )
     classes = materialise(classes)
@@ -230,20 +274,23 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     common = posted.join(shared, "token").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("values"))  # 64 at most
     n = F.size("values")
     prefix = F.transform(F.slice("values", F.lit(1), F.greatest(F.lit(0), F.lit(PREFIX - COORDINATES) + n)), lambda v: v["token"])
-    listed = materialise(common.where(n >= MATCHES).select("cid", prefix.alias("prefix")).join(classes.select("cid", "one", "signature"), "cid"))
+    listed = materialise(common.where(n >= MATCHES).select("cid", prefix.alias("prefix")).join(classes.select("cid", "signature"), "cid"))
     posts = listed.select("cid", F.explode("prefix").alias("token"))
 
-    # full sets of the classes that have any list in common with others
-    wanted = listed.select(F.col("one.k").alias("_k"), F.col("one.h").alias("_h"), "cid")
+    # full sets of the classes that have any list in common with others; a table of three numbers a class, so that the
+    # planner sends it to the texts while its size is below the threshold for that, and exchanges both beyond
+    wanted = materialise(classes.select("cid", F.col("one.k").alias("_k"), F.col("one.h").alias("_h")).join(listed.select("cid"), "cid", "left_semi"))
     texts = docs.select(column(key).alias("_key"), F.xxhash64(column(text)).alias("_hash"), column(text).alias("_text"))
     found = texts.join(wanted, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_hash") == F.col("_h"))).select("cid", "_text")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingler(t).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["cid", "shingles"])
+            for at in range(0, b.num_rows, SLICE):
+                part = b.slice(at, SLICE)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingler(t).tobytes() for t in part.column(1).to_pylist()], pa.binary())], names=["cid", "shingles"])
 
-    sets = materialise(found.mapInArrow(full, "cid long, shingles binary").dropDuplicates(["cid"]))
+    sets = materialise(found.mapInArrow(tidy(full), "cid long, shingles binary").dropDuplicates(["cid"]))
 
     # members meet pivots
     pivots = posts.groupBy("token").agg(F.count("*").alias("m"), F.array(*[F.min(F.struct(F.xxhash64("cid", F.lit(i)).alias("h"), F.col("cid"))) for i in range(PIVOTS)]).alias("p")).where("m > 1")
@@ -259,14 +306,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     links = materialise(_verified(pairs, sets, similarity))
     first = materialise(components(links))
 
-    # lists that hold several components
+    # lists that hold several components, and of those with the same members (count, and sums of two hashes) one
     def lists(found: DataFrame) -> tuple[DataFrame, DataFrame]:
         labelled = materialise(posts.join(found.withColumnRenamed("id", "cid"), "cid", "left").select("token", "cid", F.coalesce("root", "cid").alias("label")))
-        by_label = labelled.groupBy("token", "label").agg(F.count("*").alias("m"))
-        mixed = by_label.groupBy("token").agg(F.max_by("label", F.struct("m", "label")).alias("largest"), F.count("*").alias("n")).where("n > 1").select("token", "largest")
-        return labelled, mixed
+        sums = [F.sum(F.xxhash64(F.lit(i), "cid").cast("decimal(38,0)")).alias(f"s{i}") for i in (1, 2)]
+        by_label = labelled.groupBy("token", "label").agg(F.count("*").alias("m"), *sums)
+        mixed = by_label.groupBy("token").agg(F.max_by("label", F.struct("m", "label")).alias("largest"), F.count("*").alias("n"), F.sum("m").alias("m"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2")).where("n > 1")
+        return labelled, mixed.groupBy("m", "s1", "s2").agg(F.min("token").alias("token"), F.first("largest").alias("largest")).select("token", "largest")
 
-    spent = [listed, sets, links]
+    spent = [listed, wanted, sets, links]
     for turn in range(ROUNDS):
         labelled, mixed = lists(first)
         members = labelled.join(mixed, "token")
@@ -282,9 +330,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
         first = materialise(components(first.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more)))
 
     labelled, mixed = lists(first)
-    members = labelled.join(mixed, "token").select("token", "cid", "label").join(signatures, "cid").join(sets, "cid")
-    members = materialise(members)
-    more = _across(members, similarity)
+    sizes = classes.select("cid", F.col("n").alias("n"))
+    members = materialise(labelled.join(mixed, "token").join(signatures, "cid").join(sizes, "cid").select("token", "largest", "cid", "label", "n", "signature"))
+    more = _across(members, sets, similarity)
     joined = first.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more)
     final = components(joined)
     for step in (*spent, first, labelled, members):  # the result needs only the documents, the classes and their components
@@ -300,12 +348,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """`docs` with one document of each group of near-duplicates; those without words all stay."""
-    near = near_duplicates(docs, key, text, words, similarity).where("kept")
-    kept = near.where("class_id is not null").groupBy("class_id").agg(F.min(F.struct(column(key).alias("k"), F.col("text_hash").alias("h"))).alias("one")).select("one.k", "one.h")
-    there = docs.withColumn("_hash", F.xxhash64(column(text)))
-    blank = F.coalesce(F.regexp_replace(column(text), r"[\x20\x09-\x0D]+", ""), F.lit("")) == ""
-    worded = there.where(~blank).join(kept, column(key).eqNullSafe(F.col("k")) & (F.col("_hash") == F.col("h")), "left_semi").dropDuplicates([key, "_hash"])
-    return worded.unionByName(there.where(blank)).select(*map(column, docs.columns))
+    base = by_position(docs)
+    k, t = (F.col(f"c{docs.columns.index(c)}") for c in (key, text))
+    near = near_duplicates(base.select(k.alias("key"), t.alias("text")), "key", "text", words, similarity).where("kept and class_id is not null")
+    # one column for the pair, so that what the join has dealt need not be dealt again to drop repeated rows
+    pair = lambda a, b: F.struct(a.alias("k"), b.alias("h"))
+    kept = near.groupBy("class_id").agg(F.min(pair(F.col("key"), F.col("text_hash"))).alias("pair")).select("pair")
+    worded = F.coalesce(F.rlike(t, F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
+    some = base.where(worded).withColumn("pair", pair(k, F.xxhash64(t))).join(kept, "pair", "left_semi").dropDuplicates(["pair"]).drop("pair")
+    return some.unionByName(base.where(~worded)).toDF(*docs.columns)
 
 
 def op5_minhash(spark, sf_dir: str) -> DataFrame:

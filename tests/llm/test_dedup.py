@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 from collections import Counter
 
@@ -60,6 +61,30 @@ def test_near_duplicates_are_those_of_all_pairs(spark, words):
     assert all(r.n_shingles == len(sets[r.doc_id]) and r.kept == (r.doc_id == want[r.doc_id]) for r in got)
 
 
+@pytest.mark.parametrize(("block", "size", "columns"), [(7, 1 << 20, 50), (512, 1500, 4096)])
+def test_lists_of_several_blocks_lose_no_link(spark, monkeypatch, block, size, columns):
+    monkeypatch.setattr(mh, "BLOCK", block)
+    monkeypatch.setattr(mh, "BLOCK_BYTES", size)
+    monkeypatch.setattr(mh, "COLUMNS", columns)
+    monkeypatch.setattr(mh, "ROUNDS", 0)  # more is left to the blocks
+    draw = random.Random(block)
+    common = [f"c{i}" for i in range(60)]
+    rows = []
+    for i in range(160):  # all share most words; some pairs, here and there, share enough
+        own = random.Random(draw.randrange(60))
+        w = common + [f"o{own.randrange(10**6)}" for _ in range(own.randrange(14, 30))]
+        rows.append((i, " ".join([*w, f"e{draw.randrange(3)}"])))
+    sets, want = brute_components(rows, 5)
+    assert 20 < len(set(want.values())) < 120
+    got = mh.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
+def test_stated_rate_of_missed_pairs():
+    p = sum(math.comb(64, k) * 0.8**k * 0.2 ** (64 - k) for k in range(mh.MATCHES))
+    assert 8e-8 < p < 8.4e-8
+
+
 def test_signatures_estimate_similarity():
     r = np.random.default_rng(1)
     a = np.unique(r.integers(1, 1 << 63, 1000, dtype=np.uint64))
