@@ -1,7 +1,11 @@
+import math
 import random
+from collections import Counter
 
 import numpy as np
+import pytest
 from foliant.llm import importance as im
+from pyspark.sql import functions as F
 
 GOOD = "the of and to in that is was for on with as his they at be this from have".split()
 
@@ -40,13 +44,65 @@ def test_held_out_accuracy(spark):
     assert chosen.columns == d.columns and sorted(r.doc_id for r in chosen.collect()) == sorted(i for i, k in kept.items() if k)
 
 
-def test_counts_against_plain(spark):
-    d, _, _ = frames(spark, 2, 60)
-    f = im.Features()
-    want = np.zeros(im.BUCKETS, int)
-    for r in d.collect():
-        want[f(r.text)] += 1
-    assert (im.bucket_counts(d.repartition(7)) == want).all()
+def plain_grams(text):
+    """The n-grams of a text as (kind, bucket), one after the other."""
+    tokens = im._TOKEN.findall(text or "")
+    codes = [im.Features.token(t) for t in tokens]
+    word, shape = [c // im.SHAPES for c in codes], [c % im.SHAPES for c in codes]
+    out = [(0, w % im.WORD_BUCKETS) for w in word]
+    for a, b in zip(word, word[1:]):
+        h = ((a * int(im._ODD) ^ b) * int(im._ODD)) % (1 << 64) >> 40
+        out.append((1, im.BEGIN[1] + h % im.PAIR_BUCKETS))
+    out += [(2, im.BEGIN[2] + a * im.SHAPES + b) for a, b in zip(shape, shape[1:])]
+    said = [w for w, s in zip(word, shape) if s < 3]
+    return out + [(3, im.BEGIN[3] + (len(set(said[i : i + 5])) == 1)) for i in range(len(said) - 4)]
+
+
+def test_counts_and_ratio_against_plain(spark):
+    d, known, labels = frames(spark, 2, 120)
+    texts = {r.doc_id: r.text for r in d.collect()}
+    raw, having = Counter(g for t in texts.values() for g in plain_grams(t)), Counter(g for t in texts.values() for g in set(plain_grams(t)))
+    n, m = im.bucket_counts(d.repartition(7))
+    assert {b: n[b] for b in np.flatnonzero(n)} == {b: c for (_, b), c in raw.items()}
+    assert {b: m[b] for b in np.flatnonzero(m)} == {b: c for (_, b), c in having.items()}
+    target = Counter(g for i, q, t in labels[:60] if q and not t for g in plain_grams(texts[i]))
+    size = lambda c, k: sum(v for (x, _), v in c.items() if x == k)
+
+    def weight(text):
+        out = 0.0
+        for k, b in plain_grams(text):
+            t, e = target[k, b], raw[k, b] * size(target, k) / size(raw, k)
+            out += math.log(t + im.PRIOR) - math.log(e + im.PRIOR)
+        return out
+
+    got = {r.doc_id: r.log_weight for r in im.resample(d, known)[0].collect()}
+    assert all(abs(got[i] - weight(t)) < 1e-6 for i, t in texts.items())
+
+
+@pytest.mark.parametrize("k", [1, 50, 899, None])
+def test_sampling_is_gumbel_top_k(spark, k):
+    d, known, _ = frames(spark)
+    scores, _, _ = im.resample(d, known, k=k, sharpness=0.5)
+    rows = scores.select("margin", "kept", F.shiftrightunsigned(F.xxhash64(F.lit(17), "doc_id", "text_hash"), 11).alias("u")).collect()
+    number = [0.5 * r.margin - math.log(-math.log((r.u + 0.5) / (1 << 53))) for r in rows]
+    wanted = sum(r.margin >= 0 for r in rows) if k is None else k
+    assert sum(r.kept for r in rows) == wanted
+    assert min(x for x, r in zip(number, rows) if r.kept) >= max((x for x, r in zip(number, rows) if not r.kept), default=-1e9) - 2e-3
+
+
+def test_gumbel_numbers_draw_in_proportion_to_weights(spark):
+    # of ten with weights 1 to 10, the first of many draws is each in proportion
+    u = spark.range(20000).select(*[im._gumbel(s, F.col("id")).alias(f"g{s}") for s in range(10)]).toPandas().to_numpy()
+    first = np.bincount((u + np.log(np.arange(1, 11))).argmax(axis=1), minlength=10) / 20000
+    assert np.abs(first - np.arange(1, 11) / 55).max() < 0.015
+
+
+def test_names_do_not_clash(spark):
+    d, known, _ = frames(spark, 3, 80)
+    wide = d.selectExpr("*", "1 as good", "2 as _id", "3 as _hash", "4 as `rank`", "5 as weight", "6 as c0", "7 as `a.b`", "8 as kept")
+    got = im.select(wide, known)
+    assert got.columns == wide.columns
+    assert {tuple(r)[3:] for r in got.collect()} == {(1, 2, 3, 4, 5, 6, 7, 8)}
 
 
 def test_kth_largest(spark):
