@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliant.llm._common import column, materialise
+from foliant.llm._common import column, materialise, tidy
 
 LENGTH = 4096
 OPEN_WINDOWS = 16
@@ -42,8 +42,10 @@ WORTH_A_CUT = 48
 END_ID = 2
 #: Tasks whose leftovers meet in one task of the next round.
 FAN = 64
-#: Parts of texts, and runs within them, whose ids a task remembers, and the longest of them.
-REMEMBERED, LONGEST = 900_000, 64
+#: Bytes of parts of texts, and of runs within them, whose ids a task remembers, by about what Python takes for each, and the longest of them.
+REMEMBERED_BYTES, EACH, LONGEST = 128 << 20, 200, 64
+#: Texts that are Python objects at a time.
+SLICE = 256
 #: How the tokenizer splits what it has brought into lower case.
 RUN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 MARKS = frozenset(".,;:!?")
@@ -68,6 +70,7 @@ class Encoder:
         self.model = Tokenizer.from_str(json.dumps(told))  # for what is split and in lower case already
         self.parts: dict[str, bytes] = {"": b""}
         self.runs: dict[str, bytes] = {}
+        self.held = 0
         self.end = end_id.to_bytes(4, "little")
         self.by_runs = self._splits_like_us()
 
@@ -94,9 +97,8 @@ class Encoder:
     def _learn(self, new: list[str]) -> None:
         split = list(map(self._split, new)) if self.by_runs else [None] * len(new)
         runs = {*chain.from_iterable(s for s in split if s)}
-        if len(self.runs) + len(runs) > REMEMBERED:
-            self.runs.clear()
         unknown = list(runs.difference(self.runs))
+        self.held += EACH * (len(new) + len(unknown)) + 2 * sum(map(len, new)) + 2 * sum(map(len, unknown))
         self.runs.update(zip(unknown, self._encode(self.model, unknown), strict=True))
         known, parts = self.runs.__getitem__, self.parts
         for p, s in zip(new, split, strict=True):
@@ -109,9 +111,8 @@ class Encoder:
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
         here = {*chain.from_iterable(split)}
         new = here.difference(self.parts)
-        if len(self.parts) + len(new) > REMEMBERED:
-            self.parts.clear()
-            self.parts[""] = b""
+        if self.held > REMEMBERED_BYTES:
+            self.parts, self.runs, self.held = {"": b""}, {}, 0
             new = here.difference(self.parts)
         self._learn(list(new))
         out = [b"".join(map(self.parts.__getitem__, s)) + self.end for s in split]
@@ -211,15 +212,15 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
         encoder, packer, kind = Encoder(tokenizer, end_id), Packer(length, windows, worth, part << 32), None
         for b in batches:
             kind = b.column(0).type
-            for at in range(0, b.num_rows, 1024):
-                some = b.slice(at, 1024)
+            for at in range(0, b.num_rows, SLICE):
+                some = b.slice(at, SLICE)
                 for k, ids in zip(some.column(0).to_pylist(), encoder(some.column(1).to_pylist()), strict=True):
                     packer.add(k, 0, len(ids) // 4, ids)
                 yield from _batches(packer, kind, part, with_ids, False)
         if kind is not None:
             yield from _batches(packer, kind, part, with_ids, True)
 
-    placed = materialise(docs.select(column(key), column(text)).mapInArrow(first_round, schema))
+    placed = materialise(docs.select(column(key), column(text)).mapInArrow(tidy(first_round), schema))
     done = [placed.where("part is null")]
     left = placed.where("part is not null")
     parts = left.agg(F.max("part")).first()[0]
@@ -246,7 +247,7 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
                 yield from _batches(packer, kind, part, with_ids, not last)
 
         grouped = left.withColumn("_group", (F.col("part") / fan).cast("int")).repartition(groups, "_group").sortWithinPartitions("_group", "part", "window", "start", "_key")
-        placed = materialise(grouped.mapInArrow(next_round, schema))
+        placed = materialise(grouped.mapInArrow(tidy(next_round), schema))
         done.append(placed.where("part is null"))
         left = placed.where("part is not null")
         parts = None if last else groups - 1

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliant.llm._common import column, drop_written, materialise, without
+from foliant.llm._common import column, drop_written, materialise, tidy, without
 
 LENGTH = 200
 #: Window starts that are read at a time.
@@ -124,6 +124,18 @@ def _packed(start: np.ndarray, low: np.ndarray, high: np.ndarray, n: np.ndarray)
     return start.astype(np.int64) << 32 | low.astype(np.int64) << 24 | high.astype(np.int64) << 16 | np.minimum(n, 0xFFFF)
 
 
+def _same(data: np.ndarray, s1: np.ndarray, s2: np.ndarray, at: np.ndarray, to: np.ndarray, length: int) -> np.ndarray:
+    """Whether the strings of the runs `at` and `to` are equal, byte by byte."""
+    out = s2[at] - s1[at] == s2[to] - s1[to]
+    span = np.arange(places(length) - 1 + length)
+    for lot in range(0, len(at), 4096):
+        a, b = at[lot : lot + 4096], to[lot : lot + 4096]
+        beyond = span >= (s2[a] - s1[a])[:, None] + length
+        x, y = (data[np.minimum(s1[i][:, None] + span, len(data) - 1)] for i in (a, b))
+        out[lot : lot + 4096] &= ((x == y) | beyond).all(axis=1)
+    return out
+
+
 def document_runs(text: bytes, length: int) -> tuple[np.ndarray, ...]:
     """(anchor hash, string hash, second hash, packed place) of all runs of a text. Strings that a segment repeats stand once, the others as spans."""
     out: list[tuple[np.ndarray, ...]] = []
@@ -133,11 +145,13 @@ def document_runs(text: bytes, length: int) -> tuple[np.ndarray, ...]:
         whole = _hashers(length)[0].part(sums, s1, s2 + length)
         low, high = p - s2, p - s1
         again, count = np.zeros(len(p), bool), np.ones(len(p), np.int64)
-        _, one, which, n = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
+        _, one, which = np.unique(whole, return_index=True, return_inverse=True)
         if len(one) < len(p):
             again[:] = True
             again[one] = False
-            count[one] = n
+            told = np.flatnonzero(again)
+            again[told[~_same(data, s1, s2, told, one[which[told]], length)]] = False  # a collision: a string of its own
+            np.add.at(count, one[which[again]], 1)
             spans = np.flatnonzero(again)
             end = s2[spans] + length
             # unite what touches
@@ -193,7 +207,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                     yield pa.RecordBatch.from_arrays([_take(b.column(0), at), _take(b.column(1), at), *map(pa.array, cols)], names=[f.name for f in schema])
                     rows, size = [], 0
 
-    found = texts.mapInArrow(read, schema)
+    found = texts.mapInArrow(tidy(read), schema)
     times = F.col("at").bitwiseAND(F.lit(0xFFFF))
     anchors = found.where(times > 0).groupBy("anchor").agg(F.sum(times).alias("c")).where("c > 1")
     kept = materialise(found.join(anchors, "anchor", "left").where((times == 0) | F.col("c").isNotNull()).drop("c"))
@@ -245,7 +259,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                 yield from done(table.slice(lot[0], lot[1] - lot[0]).combine_chunks())
 
     few = contexts.where(F.col("contexts") <= together).repartition("anchor").sortWithinPartitions("anchor")
-    settled = few.mapInArrow(settle, span_schema)
+    settled = few.mapInArrow(tidy(settle), span_schema)
 
     window_schema = T.StructType([*named, T.StructField("n", T.LongType()), T.StructField("a", T.LongType()), T.StructField("window", T.LongType()), T.StructField("check", T.LongType())])
 
@@ -259,7 +273,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                 a = start[at] + high[at] - (w - 1 - c)
                 yield pa.RecordBatch.from_arrays([_take(b.column("_key"), at), _take(b.column("_hash"), at), _take(b.column("n"), at), pa.array(a), pa.array(first[at, c].view(np.int64)), pa.array(second[at, c].view(np.int64))], names=[f.name for f in window_schema])
 
-    each = contexts.where(F.col("contexts") > together).mapInArrow(windows, window_schema)
+    each = contexts.where(F.col("contexts") > together).mapInArrow(tidy(windows), window_schema)
     twice = each.groupBy("window", "check").agg(F.count("*").alias("c")).where("c > 1").select("window", "check")
     counted = each.where("n = 1").join(twice, ["window", "check"], "left_semi").select("_key", "_hash", "a", (F.col("a") + length).alias("b"))
 
@@ -382,7 +396,7 @@ def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
             told = list(zip(*rows, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([*cols, *(pa.array(c, kind) for c, kind in zip(told, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], names=[f.name for f in schema])
 
-    out = joined.mapInArrow(cut, schema)
+    out = joined.mapInArrow(tidy(cut), schema)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(base.columns)], "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
