@@ -11,29 +11,46 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import importance, minhash, packing, suffix_dedup
-from foliant.llm._common import column, materialise
+from foliant.llm._common import by_position, materialise
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that importance resampling keeps."""
+    """Documents that importance resampling keeps.
+
+    A null or empty text, or one without words, digits or marks, is rejected; texts are read whole, however long; equal rows are
+    drawn alike, ties by hash; an empty table gives an empty table; columns of any name come through as they are.
+    """
     return importance.select(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by shingles of five words and a similarity of 0.8."""
+    """One document of each group linked by shingles of five words and a similarity of 0.8, that of the smallest doc_id, then of the least hash.
+
+    Of repeated rows one stays; texts without words, null ones too, are no duplicates and all stay; a null doc_id is no smallest one;
+    texts are read whole; an empty table gives an empty table; columns of any name come through as they are.
+    """
     return minhash.keep_one(docs)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the strings of 200 bytes that start more than once; n_chars follows the text, and documents of which nothing is left go."""
-    cleaned = suffix_dedup.clean(docs)
-    told = cleaned.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_bytes")))
-    lengths = {"n_chars": F.when(F.col("n_removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {}
-    return told.withColumns(lengths).select(*map(column, docs.columns))
+    """Documents without the strings of 200 bytes that start more than once; n_chars follows the text, and documents of which nothing is left go.
+
+    Null and empty texts, and those that are too short to have such a string, stay as they are; repeated rows lose what they share, like any
+    others; texts are read whole; an empty table gives an empty table; columns of any name come through as they are.
+    """
+    base, at = by_position(docs), {n: f"c{i}" for i, n in enumerate(docs.columns)}
+    left = suffix_dedup.clean(base, at["doc_id"], at["text"]).where("n_removed = 0 or n_removed < n_bytes")
+    if n := at.get("n_chars"):
+        left = left.withColumn(n, F.when(F.col("n_removed") > 0, F.char_length(at["text"]).cast(docs.schema["n_chars"].dataType)).otherwise(F.col(n)))
+    return left.select(*base.columns).toDF(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 4096 tokens."""
+    """Pieces of sequences of 4096 tokens.
+
+    A null or empty text is its end id alone; repeated rows are packed as often as they occur; texts are read whole; an empty table gives
+    an empty table; only doc_id and text are read.
+    """
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
