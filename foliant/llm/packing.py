@@ -43,7 +43,7 @@ END_ID = 2
 #: Tasks whose leftovers meet in one task of the next round.
 FAN = 64
 #: Bytes of parts of texts, and of runs within them, whose ids a task remembers, by about what Python takes for each, and the longest of them.
-REMEMBERED_BYTES, EACH, LONGEST = 128 << 20, 200, 64
+REMEMBERED_BYTES, EACH, LONGEST = 256 << 20, 200, 64
 #: Texts that are Python objects at a time.
 SLICE = 256
 #: How the tokenizer splits what it has brought into lower case.
