@@ -48,6 +48,8 @@ LENGTH = 200
 SEGMENT = 1 << 17
 #: Different contexts of an anchor that are sorted together at most; beyond, their windows are counted.
 TOGETHER = 4_096
+#: Contexts, of whole anchors, whose windows are in memory at a time, if one anchor does not have more.
+LOT = 1_024
 
 _U = np.uint64
 
@@ -250,12 +252,12 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                 ids = table["anchor"].to_numpy()
                 cut = int(np.flatnonzero(ids != ids[-1])[-1]) + 1 if (ids != ids[-1]).any() else 0
                 if cut:
-                    for lot in _lots(ids[:cut], 2 * together):
+                    for lot in _lots(ids[:cut], LOT):
                         yield from done(table.slice(lot[0], lot[1] - lot[0]).combine_chunks())
                 held = table.slice(cut).combine_chunks().to_batches()
         if held:
             table = pa.Table.from_batches(held)
-            for lot in _lots(table["anchor"].to_numpy(), 2 * together):
+            for lot in _lots(table["anchor"].to_numpy(), LOT):
                 yield from done(table.slice(lot[0], lot[1] - lot[0]).combine_chunks())
 
     few = contexts.where(F.col("contexts") <= together).repartition("anchor").sortWithinPartitions("anchor")
@@ -383,18 +385,20 @@ def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
     schema = T.StructType([*joined.schema.fields[: len(base.columns)], T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts, rows = [], []
-            for x, s in zip(b.column(t).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
-                raw = (x or "").encode("utf-8", "surrogatepass")
-                cuts = _united(s)
-                rest = _kept(raw, cuts)
-                rows.append((len(raw), len(raw) - len(rest), len(cuts), hashlib.sha256(rest).hexdigest()))
-                texts.append(x if not cuts else rest.decode("utf-8", "ignore"))
-            cols = list(b.columns[:-1])
-            cols[t] = pa.array(texts, pa.string())
-            told = list(zip(*rows, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([*cols, *(pa.array(c, kind) for c, kind in zip(told, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], names=[f.name for f in schema])
+        for whole_batch in batches:
+            for at in range(0, whole_batch.num_rows, 256):
+                b = whole_batch.slice(at, 256)
+                texts, rows = [], []
+                for x, s in zip(b.column(t).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
+                    raw = (x or "").encode("utf-8", "surrogatepass")
+                    cuts = _united(s)
+                    rest = _kept(raw, cuts)
+                    rows.append((len(raw), len(raw) - len(rest), len(cuts), hashlib.sha256(rest).hexdigest()))
+                    texts.append(x if not cuts else rest.decode("utf-8", "ignore"))
+                cols = list(b.columns[:-1])
+                cols[t] = pa.array(texts, pa.string())
+                told = list(zip(*rows, strict=True)) or [()] * 4
+                yield pa.RecordBatch.from_arrays([*cols, *(pa.array(c, kind) for c, kind in zip(told, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], names=[f.name for f in schema])
 
     out = joined.mapInArrow(tidy(cut), schema)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(base.columns)], "n_bytes", "n_removed", "n_spans", "kept_sha256")
