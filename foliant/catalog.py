@@ -422,13 +422,6 @@ def J2_sections(spark, d):
     return parse.parse(docs.select(F.col("doc_id").alias("document_id"), F.array_join(lines, "").alias("html"), F.when(F.col("doc_id") % 2 == 0, "10-K").otherwise("20-F").alias("form_type")))
 
 
-@query()
-def J3_section_chunks(spark, d):
-    docs = star.read(spark, d, "documents")
-    s = docs.select(F.col("doc_id").alias("document_id"), F.lit(0).alias("order"), F.array("source").alias("section_path"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("content"))
-    return chunk.chunk_sections(s)
-
-
 # --- verification and calculation -------------------------------------------------------------------
 
 
@@ -472,28 +465,6 @@ def K10_quotes_in_documents(spark, d):
     return b.select("item_id").join(counted, "item_id", "left").select("item_id", F.coalesce("documents", F.lit(0)).alias("documents"), "first_document")
 
 
-@query()
-def K11_verify(spark, d):
-    docs = star.read(spark, d, "documents")
-    answer = F.concat("text", F.lit(" Revenue was 1,364 and cost 877.4; total 67,566 (1,271 and 66,295)."))
-    chunk_ = F.array(F.struct(F.lit(1).alias("id"), F.concat(F.col("text"), F.lit(" 1,364.1 877,433 1,271 66,295")).alias("text")))
-    return verify.verify(docs.select(F.col("doc_id").alias("id"), answer.alias("answer"), chunk_.alias("chunks"), F.array(F.lit(2.5)).alias("computed"), F.array(F.struct(F.lit(18.15).alias("value"), F.lit("unit").alias("reason"))).alias("rejected")))
-
-
-@query()
-def K13_verdict_counts(spark, d):
-    return verify.counts(K11_verify(spark, d))
-
-
-@query("SELECT CAST(o_orderkey AS BIGINT) AS id, (o_totalprice + 100) / 2 AS result, CAST(NULL AS INTEGER) AS failed_check, CAST(NULL AS VARCHAR) AS reason FROM orders")
-def L1_calculate(spark, d):
-    o = star.read(spark, d, "orders")
-    v = F.col("o_totalprice").cast("decimal(18,2)").cast("string")
-    inputs = F.array(F.struct(F.col("o_totalprice").alias("value"), F.lit("x").alias("label"), F.lit("FY").alias("fiscal_period"), F.lit("s").alias("source"), F.lit("ones").alias("unit")))
-    calls = o.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("("), v, F.lit(" + 100) / 2")).alias("expression"), inputs.alias("inputs"), F.array(F.concat(F.lit("price "), v)).alias("outputs"))
-    return calc.run_calculations(calls)
-
-
 @query("SELECT o_orderkey AS id, CASE WHEN o_custkey % 7 <> 0 THEN round_even(o_totalprice / (o_custkey % 7) * 100, 1) END AS ratio FROM orders")
 def M1_ratio(spark, d):
     o = star.read(spark, d, "orders").withColumn("k", F.col("o_custkey") % 7)
@@ -613,4 +584,5 @@ def Q1_embed(spark, d):
     return providers.embed(star.read(spark, d, "documents"), "doc_id", "text")
 
 
-from foliant import catalog_more as _more  # noqa: E402, F401  registers its queries
+from foliant import catalog_checks as _checks  # noqa: E402, F401  these register their queries
+from foliant import catalog_more as _more  # noqa: E402, F401

@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from foliant.catalog import _BARS, _EVAL, _FACTS, _WITH, K11_verify, O1_retrieval_quality, O4_extraction_checks, _bars, _facts, _gold, _ranked, _store, query
+from foliant.catalog import _BARS, _EVAL, _FACTS, _WITH, O1_retrieval_quality, O4_extraction_checks, _bars, _facts, _gold, _ranked, _store, query
 from foliant.functions import providers, values
 from foliant.operators import calc, chunk, evaluate, facts, search, status, store, verify
 from foliant.plans import star
@@ -219,22 +219,6 @@ def K5_number_join(spark, d):
     return of("benchmark", "item_id").join(of("documents", "doc_id"), "n").groupBy("item_id").agg(F.countDistinct("doc_id").alias("docs"))
 
 
-@query()
-def K8_derived_totals(spark, d):
-    return K11_verify(spark, d).where("class = 'underived'").select("id", "value")
-
-
-@query()
-def L2_objections(spark, d):
-    o = star.read(spark, d, "orders")
-    v = F.col("o_totalprice").cast("decimal(18,2)").cast("string")
-    unit = F.when(F.col("o_orderkey") % 3 == 0, F.lit("dozens")).otherwise("ones")
-    inputs = F.array(F.struct(F.col("o_totalprice").alias("value"), F.lit("x").alias("label"), F.concat(F.lit("FY"), F.year("o_orderdate").cast("string")).alias("fiscal_period"), F.lit("s").alias("source"), unit.alias("unit")))
-    expression = F.when(F.col("o_orderkey") % 5 == 0, F.concat(v, F.lit(" * 1000"))).when(F.col("o_orderkey") % 5 == 1, F.concat(v, F.lit(" + 17"))).otherwise(v)
-    told = F.concat(F.lit("In 1996 the price was "), v)
-    return calc.run_calculations(o.select(F.col("o_orderkey").alias("id"), expression.alias("expression"), inputs.alias("inputs"), F.array(told).alias("outputs"))).select("id", "failed_check")
-
-
 @query("SELECT conv_id AS run, turn AS seq, regexp_replace(CASE WHEN contains(text, 'the') THEN substr(text, 1, strpos(text, 'the') - 1) ELSE text END, ',?\\s*sim(?:ilarity)?\\s*=\\s*0?\\.[0-9]+', '', 'g') AS text FROM conversations WHERE role <> 'user'")
 def L8_provenance(spark, d):
     c = star.read(spark, d, "conversations").select(F.col("conv_id").alias("run"), F.col("turn").alias("seq"), F.when(F.col("role") == "user", "calculate").otherwise(F.col("role")).alias("tool"), "text")
@@ -312,12 +296,6 @@ def Q1_similar_to_first(spark, d):
     return search.by_vector(e, providers.embed(docs.where("id % 20 = 0"), "id", "text").select(F.col("id").alias("query_id"), F.col("embedding").alias("query")), 10)
 
 
-@query()
-def J4_long_sections(spark, d):
-    docs = star.read(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.lit(0).alias("order"), F.array("lang").alias("section_path"), F.col("text").alias("content"))
-    return chunk.chunk_sections(docs, target=200, overlap=20, least=10).select("document_id", "chunk_index", "token_count")
-
-
 @query(f"{_WITH} SELECT ticker, count(*) AS open FROM filings f JOIN securities s ON s.id = f.security_id WHERE status <> 'embedded' GROUP BY ticker")
 def C6_open_filings(spark, d):
     s, f, _ = _store(spark, d)

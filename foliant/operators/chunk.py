@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,45 +29,50 @@ def windows(docs: DataFrame, key: str = "doc_id", text: str = "text", target: in
     return cut.select(key, "chunk_index", F.size(part).alias("token_count"), F.array_join(part, " ").alias("content"))
 
 
-def split_tokens(tokens: list[str], target: int, overlap: int) -> Iterator[list[str]]:
-    at = 0
-    while at < len(tokens):
-        yield tokens[at : at + target]
-        if at + target >= len(tokens):
-            return
-        at += target - overlap
+def breaks(lengths: np.ndarray, target: int, overlap: int) -> list[tuple[int, int]]:
+    """Chunks of paragraphs of at most `target` tokens each, as (first token, paragraphs up to its end), out of their lengths.
+
+    A chunk ends at the last paragraph that is within `target` of its first token, which a search of the running
+    sums finds, and has one paragraph of its own at least; the next begins `overlap` tokens before its end, or where it began.
+    """
+    upto = np.cumsum(lengths)
+    out, start, done = [], 0, 0
+    while done < len(upto):
+        done = max(done + 1, int(np.searchsorted(upto, start + target, side="right")))
+        out.append((start, done))
+        start = max(start, int(upto[done - 1]) - overlap)
+    return out
 
 
 def section_chunks(content: str, encode: Callable[[str], list[str]] = str.split, decode: Callable[[list[str]], str] = " ".join, target: int = TARGET, overlap: int = OVERLAP, least: int = LEAST) -> list[tuple[str, int]]:
     """(content, tokens) of one section.
 
-    A short section is one chunk, or none below `least`. Else paragraphs are gathered up to `target`; what is
-    gathered then leads on with its last `overlap` tokens. A paragraph that is too long is cut by itself,
-    without carrying over. The rest is kept from `least` tokens on. Separators do not count.
+    A section of up to `target` tokens is one chunk, or none below `least`. Others are cut between paragraphs (see `breaks`), where
+    a chunk leads on with the last `overlap` tokens of the one before. A paragraph of more than `target` tokens is cut by itself
+    into windows, and nothing is carried into it or out of it. The rest is kept from `least` tokens on. Separators do not count.
     """
-    total = encode(content)
-    if len(total) <= target:
-        return [(content, len(total))] if len(total) >= least else []
+    total = len(encode(content))
+    if total <= target:
+        return [(content, total)] if total >= least else []
+    paragraphs = [p for p in map(str.strip, content.split("\n\n")) if p]
+    tokens = [encode(p) for p in paragraphs]
+    size = np.array([len(t) for t in tokens])
+    edges = np.flatnonzero(np.diff(size > target, prepend=True, append=True) | (np.append(size, 0) > target) | (np.append(0, size) > target))
     out: list[tuple[str, int]] = []
-    held: list[str] = []
-    count = 0
-    for paragraph in filter(None, (p.strip() for p in content.split("\n\n"))):
-        tokens = encode(paragraph)
-        if len(tokens) > target:
-            if held:
-                out.append(("\n\n".join(held), count))
-            out += [(decode(t), len(t)) for t in split_tokens(tokens, target, overlap)]
-            held, count = [], 0
+    for a, b in pairwise(sorted({0, *edges.tolist(), len(size)})):
+        if size[a] > target:
+            starts = range(0, max(1, int(size[a]) - overlap), target - overlap)
+            out += [(decode(tokens[a][s : s + target]), len(tokens[a][s : s + target])) for s in starts]
             continue
-        if held and count + len(tokens) > target:
-            text = "\n\n".join(held)
-            out.append((text, count))
-            tail = encode(text)[-overlap:]
-            held, count = [decode(tail)], len(tail)
-        held.append(paragraph)
-        count += len(tokens)
-    if held and count >= least:
-        out.append(("\n\n".join(held), count))
+        line = [t for p in tokens[a:b] for t in p]
+        upto = [0, *np.cumsum(size[a:b]).tolist()]
+        before = 0
+        for start, done in breaks(size[a:b], target, overlap):
+            carried = [decode(line[start : upto[before]])] if start < upto[before] else []
+            out.append(("\n\n".join([*carried, *paragraphs[a + before : a + done]]), upto[done] - start))
+            before = done
+        if b == len(size) and out[-1][1] < least:
+            out.pop()
     return out
 
 

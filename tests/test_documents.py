@@ -46,6 +46,17 @@ def test_chunks():
     assert [n for _, n in long] == [2, 600, 600, 260]
 
 
+def test_chunks_of_short_and_long_paragraphs():
+    words = lambda n, w: " ".join(f"{w}{i}" for i in range(n))
+    text = "\n\n".join([words(300, "a"), words(250, "b"), words(100, "c"), words(700, "d"), words(1300, "e"), words(590, "f"), words(590, "g"), words(20, "h")])
+    got = chunk.section_chunks(text)
+    assert [n for _, n in got] == [550, 180, 600, 180, 600, 600, 260, 590, 670, 100]
+    assert got[1][0].split()[:1] == ["b170"] and got[1][0].endswith("c99") and "\n\nc0 " in got[1][0]
+    assert got[2][0].startswith("d0 ") and got[7][0].startswith("f0 ") and got[8][0].startswith("f510 ") and got[9][0].startswith("g510 ")
+    assert chunk.section_chunks(words(700, "x") + "\n\n" + words(30, "y"))[-1][1] == 180
+    assert [n for _, n in chunk.section_chunks(words(30, "y") + "\n\n" + words(600, "x"))] == [30, 630]
+
+
 def test_chunks_number_through_a_document(spark):
     text = " ".join(["x"] * 60)
     df = spark.createDataFrame([(1, 1, ["b"], text), (1, 0, ["a"], text), (2, 0, ["c"], None)], "document_id int, `order` int, section_path array<string>, content string")

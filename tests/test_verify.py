@@ -2,67 +2,84 @@ import random
 import time
 from itertools import combinations, product
 
-from foliant import catalog, catalog_more
+from foliant import catalog, catalog_checks
 from foliant.operators import verify
 
 CHUNK = "Revenue was $3,420.5 thousand against 1,283.2 and 2,344.63; 1,364.1 in 2024; 10874.36 in all; 877,433 and 615,433; 1,271 and 66,295."
+SCHEMA = "id long, answer string, chunks array<struct<id:int,text:string>>, computed array<double>, rejected array<struct<value:double,reason:string>>"
 
 
-def classes(answer, chunk=CHUNK, computed=None, rejected=None):
-    return {v: c for k, v, c, _, _ in verify.judge(answer, [(1, chunk)], computed, rejected) if k != "quote"}
+def findings(spark, answer, chunk=CHUNK, computed=None, rejected=None):
+    return verify.verify(spark.createDataFrame([(1, answer, [(1, chunk)], computed, rejected)], SCHEMA)).orderBy("position").collect()
 
 
-def test_parts_of_longer_numbers_do_not_verify():
-    got = classes("It was 420.5, 283.2 and 344.6.")
-    assert set(got.values()) == {"unverified"}
+def classes(spark, *args, **named):
+    return {r.value: r["class"] for r in findings(spark, *args, **named) if r.kind != "quote"}
 
 
-def test_truncation_rounding_and_scale():
-    got = classes("About 1364 of 10,874.4; that is 877.4M and 615M, in 2024 over 12 months.")
-    assert got["1364"] == got["10,874.4"] == got["877.4"] == got["615"] == "verified"
-    assert got["2024"] == got["12"] == "skipped"
+def test_parts_of_longer_numbers_do_not_verify(spark):
+    assert classes(spark, "It was 420.5, 283.2 and 344.6. It was 83.2, 44.6.") == dict.fromkeys(("420.5", "283.2", "344.6", "83.2", "44.6"), "unverified")
 
 
-def test_rejected_calculations_flag_unless_retried():
-    rejected = [{"value": 26.233, "reason": "unit"}]
-    assert classes("A margin of 26.2 percent", rejected=rejected)["26.2"] == "flagged"
-    assert classes("A margin of 26.2 percent", computed=[26.233], rejected=rejected)["26.2"] == "verified"
-    assert classes("It is 18.1", rejected=[{"value": 18.1503, "reason": "x"}])["18.1"] == "flagged"
+def test_truncation_rounding_and_scale(spark):
+    got = {r.value: r for r in findings(spark, "About 1364 of 10,874.4; that is 877.4M and 615M, in 2024 over 12 months, and 3,420,500.")}
+    assert {got[x].chunk for x in ("1364", "10,874.4")} == {1} and {got[x].chunk for x in ("877.4", "615", "3,420,500")} == {verify.SCALED}
+    assert got["2024"]["class"] == got["12"]["class"] == "skipped"
+    assert classes(spark, "Under Item 103 it has 103", "103.7 in all") == {"103": "skipped"}
 
 
-def test_sums_of_verified_numbers_are_underived():
-    assert classes("Total 67,566 (of 1,271 and 66,295).")["67,566"] == "underived"
-    assert classes("Total 999,999 (of 1,271 and 66,295).")["999,999"] == "unverified"
+def test_rejected_calculations_flag_unless_retried(spark):
+    rejected = [(26.233, "unit"), (None, None)]
+    assert classes(spark, "A margin of 26.2 percent", rejected=rejected) == {"26.2": "flagged"}
+    assert classes(spark, "A margin of 26.2 percent", computed=[26.233, None], rejected=rejected) == {"26.2": "verified"}
+    assert classes(spark, "It is 18.1", rejected=[(18.1503, "x")]) == {"18.1": "flagged"}
 
 
-def test_quotes_pair_in_order_and_match_loosely():
+def test_sums_of_verified_numbers_are_underived(spark):
+    assert classes(spark, "Total 67,566 (of 1,271 and 66,295).")["67,566"] == "underived"
+    assert classes(spark, "Total 67,566 " + "x " * 120 + "(of 1,271 and 66,295).")["67,566"] == "unverified"
+    assert classes(spark, "Total 999,999 (of 1,271 and 66,295).")["999,999"] == "unverified"
+
+
+def test_first_chunk_and_order(spark):
+    rows = [(1, "First 200.5\nthen 300.25, again 200.5", [(9, None), (7, "300.25"), (5, "300.25 and 200.5"), (3, "200.5")], [], [])]
+    got = verify.verify(spark.createDataFrame(rows, SCHEMA)).orderBy("position").collect()
+    assert [(r.position, r.value, r.chunk) for r in got] == [(0, "200.5", 5), (1, "300.25", 7)]
+    assert got[0].context == "First 200.5 then 300.25, again 200.5"
+
+
+def test_quotes_pair_in_order_and_match_loosely(spark):
     text = 'Measures “put in place” last year and "revenue  was $3,420.5\nthousand against" nothing, "words that no chunk of it has".'
-    quotes = [(v, c) for k, v, c, _, _ in verify.judge(text, [(1, CHUNK)]) if k == "quote"]
-    assert [c for _, c in quotes] == ["verified", "unverified"]
+    quotes = [r for r in findings(spark, text) if r.kind == "quote"]
+    assert [r["class"] for r in quotes] == ["verified", "unverified"]
+    assert quotes[0].context.startswith(" “put in place” last year and \"revenue") and quotes[1].context.endswith('has".')
 
 
-def test_memo_gets_sections_only_with_a_corpus():
-    assert verify.memo("Sales of 999,999.", " ") == "Sales of 999,999."
-    assert "## Unverified figures" in verify.memo("Sales of 999,999.", CHUNK)
+def test_memo_gets_sections_only_with_a_corpus(spark):
+    rows = [(1, "Sales of 999,999.", " "), (2, "Sales of 999,999.", CHUNK), (3, "Total 67,566 (of 1,271 and 66,295); 18.1", CHUNK), (4, "Nothing", CHUNK), (5, "Sales", None)]
+    df = spark.createDataFrame(rows, "id long, text string, corpus string").selectExpr("*", "cast(null as array<double>) as computed", "array(named_struct('value', 18.15D, 'reason', 'unit')) as rejected")
+    got = {r.id: r.text for r in verify.memos(df).collect()}
+    assert got[1] == "Sales of 999,999." and got[4] == "Nothing" and got[5] == "Sales"
+    assert got[2] == "Sales of 999,999.\n\n## Unverified figures\n\n- 999,999: Sales of 999,999."
+    assert [x.split("\n")[0] for x in got[3].split("## ")[1:]] == ["Unvalidated derivations", "Derived without a calculation"]
 
 
-def test_indicator_guard():
-    known = [0.529, 1.2153, 318.73, 352.11, -1.2158, 46.5]
-    assert verify.unmatched("the 55-day average", known) == []
-    assert verify.unmatched("53% of it", known) == []
-    assert verify.unmatched("90% of it", known) == ["90%"]
-    assert verify.unmatched("22% above", known) == []
-    assert verify.unmatched("318.73-352.11", known) == []
-    assert verify.unmatched("around -1.22, or 812", known) == ["812"]
-    assert verify.unmatched("21%-99% above", [1.2153]) == ["99% above/below"]
+def test_indicator_guard(spark):
+    known = [0.529, 1.2153, 318.73, 352.11, -1.2158, 46.5, None]
+    cases = {"the 55-day average": [], "53% of it": [], "90% of it": ["90%"], "22% above": [], "318.73-352.11": [], "around -1.22, or 812": ["812"], "21%-99% above": ["99% above/below"], "-5.3": ["-5.3"], "": []}
+    df = spark.createDataFrame([(t, known) for t in cases], "t string, known array<double>")
+    assert {r.t: r.u for r in df.select("t", verify.unmatched("t", "known").alias("u")).collect()} == cases
+    narrow = spark.createDataFrame([("20%-25% above", [1.225])], "t string, known array<double>")
+    assert narrow.select(verify.unmatched("t", "known").alias("u")).first().u == ["20% above/below", "25% above/below"]
 
 
 def test_verify_on_rows(spark):
-    rows = [(1, "Sales of 1,364.1", [(7, CHUNK)], [1.5], []), (2, None, None, None, None)]
-    df = spark.createDataFrame(rows, "id long, answer string, chunks array<struct<id:int,text:string>>, computed array<double>, rejected array<struct<value:double,reason:string>>")
+    rows = [(1, "Sales of 1,364.1", [(7, CHUNK)], [1.5], []), (2, None, None, None, None), (3, "Sales of 1,364.1 and 1e5 9", None, None, None)]
+    df = spark.createDataFrame(rows, SCHEMA)
     got = verify.verify(df).collect()
-    assert [(r.id, r.value, r["class"], r.chunk) for r in got] == [(1, "1,364.1", "verified", 7)]
-    assert verify.counts(verify.verify(df)).first().verified == 1
+    assert sorted((r.id, r.value, r["class"], r.chunk) for r in got if r.chunk or r["class"] != "skipped") == [(1, "1,364.1", "verified", 7), (3, "1,364.1", "unverified", None)]
+    assert verify.counts(verify.verify(df)).where("id = 1").first().verified == 1
+    assert verify.verify(df.limit(0)).count() == 0
 
 
 def test_derivable_equals_all_signed_sums():
@@ -89,10 +106,10 @@ def test_derivable_is_fast_on_dense_figures():
 def test_whole_texts_are_verified(spark, tmp_path):
     text = "word " * 500 + "Income was 4,321.5 then, and 9,753.25 of it was in sales."
     spark.createDataFrame([(0, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.value: r["class"] for r in catalog.K11_verify(spark, str(tmp_path)).collect()}
+    got = {r.value: r["class"] for r in catalog_checks.K11_verify(spark, str(tmp_path)).collect()}
     assert got["4,321.5"] == got["9,753.25"] == "verified"
-    assert catalog.K13_verdict_counts(spark, str(tmp_path)).first().verified == len([c for c in got.values() if c == "verified"])
-    assert [r.value for r in catalog_more.K8_derived_totals(spark, str(tmp_path)).collect()] == ["67,566"]
+    assert catalog_checks.K13_verdict_counts(spark, str(tmp_path)).first().verified == len([c for c in got.values() if c == "verified"])
+    assert [r.value for r in catalog_checks.K8_derived_totals(spark, str(tmp_path)).collect()] == ["67,566"]
 
 
 def test_quotations_are_found_in_documents(spark, tmp_path):
