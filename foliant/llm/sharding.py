@@ -4,21 +4,25 @@
 2. How many rows of each block go to each shard is drawn exactly as a uniform permutation would have it:
    a multivariate hypergeometric law with the block counts as one margin and the shard sizes as the
    other. The draw halves the blocks again and again: the rows of the left half take from each shard's
-   room in turn a hypergeometric count, and the right half keeps the rest.
+   room in turn a hypergeometric count, and the right half keeps the rest. Halves are dealt anew to tasks as they multiply.
 3. Each block permutes its rows by hashed random keys; its first rows go to the first shard, and so on.
-4. Shards exchange rows and permute them again, which gives the slots.
+4. Shards exchange rows and permute them again by other random keys: rows of a shard are dealt by ranges of these keys, and
+   a row's slot is its rank in its range and the number of rows in the ranges before it. So neither a block nor a
+   range of a shard grows with the input, and no task has a shard to itself.
 
 Everything is DataFrame operations: no Python runs on rows. All draws are hashes of a seed with a row's
-keys or a cell's place in the matrix, so a lost executor's work repeats to the same result.
+keys or a cell's place in the matrix, so a lost executor's work repeats to the same result. The rows are written once, with their blocks.
 
-Univariate draws invert the distribution function from the mode outwards with exact ratios of
-neighbouring probabilities, over a window of 12 standard deviations and 64 more on either side, beyond
-which the mass is below 1e-30 and out of a double's reach.
+Univariate draws walk the distribution from its mode, by exact ratios of neighbouring probabilities and with a state of
+three numbers: first down and up for the whole mass, then again until a uniform share of it is passed (the places in
+this order: mode and below, then above, which is as good an order for inversion as any). The walk
+reaches 8.5 standard deviations and 40 more on either side; what is beyond is less than a double's last digit.
 
 Defined cases: shard sizes differ by one at most, the first shards being larger; rows are what is
 shuffled, groups of equal texts are not kept together (a uniform shuffle with exact sizes rules that
-out); nulls in keys hash as nulls; repeated rows go to one block, where their order is of no account;
-an empty table gives an empty table; columns of the input with an output's name are replaced.
+out); nulls in keys hash as nulls; repeated rows are spread like any others, by their place in the input besides their keys, so
+that the same rows in the same files give the same result; an empty table gives an empty table; columns of the
+input with an output's name are replaced, and others may have any name.
 """
 
 from __future__ import annotations
@@ -28,11 +32,14 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.llm._common import column, without
+from foliant.llm._common import by_position, materialise, without
 
-#: Rows to a block, and the most blocks (which bounds the matrix; beyond, blocks have more rows).
+#: Rows to a block and to a range of a shard, and the most blocks, whose counts are one row's array at the root of the matrix:
+#: at 10^11 rows, blocks of 95,000 rows.
 BLOCK_ROWS = 4_096
-MOST_BLOCKS = 65_536
+MOST_BLOCKS = 1 << 20
+#: Halvings after which the nodes are dealt to tasks anew.
+DEAL_AFTER = (1, 3, 6, 10)
 
 
 def _uniform(*cells: Column | int) -> Column:
@@ -52,42 +59,33 @@ def hypergeometric(good: Column, bad: Column, draws: Column, u: Column) -> Colum
         mode = F.floor((n + 1) * (k + 1) / (total + 2)).cast("long")
         share = k / F.greatest(total, F.lit(1.0))
         spread = F.sqrt(n * share * (1 - share) * (total - n) / F.greatest(total - 1, F.lit(1.0)))
-        reach = F.ceil(spread * 12).cast("long") + 64
+        reach = F.ceil(spread * 8.5).cast("long") + 40
         mode = F.greatest(low, F.least(high, mode))
-        return F.struct(s["k"].alias("k"), s["b"].alias("b"), s["n"].alias("n"), s["u"].alias("u"), mode.alias("m"), F.greatest(low, mode - reach).alias("low"), F.least(high, mode + reach).alias("high"))
+        # places as steps away from the mode: 0, 1, ... below, then 1, 2, ... above
+        return F.struct(s["k"].alias("k"), s["b"].alias("b"), s["n"].alias("n"), s["u"].alias("u"), mode.alias("m"), F.least(mode - low, reach).alias("below"), F.least(high - mode, reach).alias("above"))
 
-    def walk(s: Column) -> Column:
-        k, b, n = s["k"].cast("double"), s["b"].cast("double"), s["n"].cast("double")
-        start = F.struct(F.lit(1.0).alias("p"), F.array(F.lit(1.0)).alias("all"))
-
-        def up(z: Column, j: Column) -> Column:  # from j - 1 to j
-            d = j.cast("double") - 1
-            p = z["p"] * ((k - d) * (n - d)) / ((d + 1) * (b - n + d + 1))
-            return F.struct(p.alias("p"), F.concat(z["all"], F.array(p)).alias("all"))
-
-        def down(z: Column, j: Column) -> Column:  # from j + 1 to j
-            d = j.cast("double") + 1
-            p = z["p"] * (d * (b - n + d)) / ((k - d + 1) * (n - d + 1))
-            return F.struct(p.alias("p"), F.concat(z["all"], F.array(p)).alias("all"))
-
-        empty = F.expr("cast(array() as array<bigint>)")
-        above = F.aggregate(F.when(s["high"] > s["m"], F.sequence(s["m"] + 1, s["high"])).otherwise(empty), start, up)["all"]
-        below = F.aggregate(F.when(s["low"] < s["m"], F.sequence(s["m"] - 1, s["low"])).otherwise(empty), start, down)["all"]
-        mass = F.concat(F.reverse(F.slice(below, F.lit(2), F.size(below))), above)
-        return F.struct(s["u"].alias("u"), s["low"].alias("low"), mass.alias("mass"))
-
-    def invert(s: Column) -> Column:
-        whole = F.aggregate(s["mass"], F.lit(0.0), lambda z, p: z + p)
-        goal = s["u"] * whole
-        found = F.aggregate(
-            s["mass"],
-            F.struct(F.lit(0.0).alias("sum"), F.lit(0).cast("long").alias("passed")),
-            lambda z, p: F.struct((z["sum"] + p).alias("sum"), (z["passed"] + (z["sum"] + p < goal).cast("long")).alias("passed")),
-        )["passed"]
-        return s["low"] + F.least(found, F.size(s["mass"]).cast("long") - 1)
+    def walked(s: Column, goal: Column) -> Column:
+        """State after a walk: the mass of the last place, the mass of those before it, and how many of these end below `goal`."""
+        k, b, n, m = s["k"].cast("double"), s["b"].cast("double"), s["n"].cast("double"), s["m"].cast("double")
+
+        def place(z: Column, i: Column) -> Column:
+            down = i <= s["below"]
+            d = F.when(down, m - i + 1).otherwise(m + i - s["below"] - 1)  # where the walk comes from
+            ratio = F.when(down, (d * (b - n + d)) / ((k - d + 1) * (n - d + 1))).otherwise(((k - d) * (n - d)) / ((d + 1) * (b - n + d + 1)))
+            p = F.when(i == 0, 1.0).otherwise(F.when(i == s["below"] + 1, 1.0).otherwise(z["p"]) * ratio)
+            return F.struct(p.alias("p"), (z["sum"] + z["p"]).alias("sum"), F.when(z["sum"] + z["p"] < goal, z["passed"] + 1).otherwise(z["passed"]).alias("passed"))
+
+        start = F.struct(F.lit(0.0).alias("p"), F.lit(0.0).alias("sum"), F.lit(-1).cast("long").alias("passed"))
+        return F.aggregate(F.sequence(F.lit(0).cast("long"), s["below"] + s["above"]), start, place)
+
+    def invert(y: Column) -> Column:
+        s = y["s"]
+        passed = walked(s, s["u"] * (y["end"]["sum"] + y["end"]["p"]))["passed"]
+        return F.transform(F.array(passed), lambda j: F.when(j <= s["below"], s["m"] - j).otherwise(s["m"] + j - s["below"]))[0]
 
     # one-element arrays name the steps, so that none is written out again where it is used twice
-    return F.transform(F.transform(F.transform(F.array(x), window), walk), invert)[0]
+    measured = F.transform(F.transform(F.array(x), window), lambda s: F.struct(s.alias("s"), walked(s, F.lit(0.0)).alias("end")))
+    return F.transform(measured, invert)[0]
 
 
 def _taken(seed: int, level: int):
@@ -104,18 +102,20 @@ def _taken(seed: int, level: int):
 def communication_matrix(counts: DataFrame, blocks: int, shards: int, rows: int, seed: int = 7) -> DataFrame:
     """(block, to): `to[s]` rows of each block go to shard s.
 
-    counts: (block int from 0, n long), blocks without rows left out; rows: their sum. The table of block
-    counts has at most MOST_BLOCKS rows, whatever the size of the input.
+    counts: (block int from 0, n long), blocks without rows left out; rows: their sum. The root's array of block
+    counts has at most MOST_BLOCKS numbers, whatever the size of the input.
     """
     width = 1 << max(0, math.ceil(math.log2(max(blocks, 1))))
     room = F.expr(f"transform(sequence(0, {shards - 1}), s -> cast({rows // shards} + if(s < {rows % shards}, 1, 0) as bigint))")
     # one array of counts per block number in order; a block without rows has 0
     root = counts.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("block", "n"))).alias("by"))
     node = root.select(F.lit(0).alias("first"), F.expr(f"transform(sequence(0, {width - 1}), i -> coalesce(try_element_at(by, i), 0L))").alias("n"), room.alias("room"))
-    node = node.repartition(1)
-    level = width
+    level, halvings = width, 0
     while level > 1:
         level //= 2
+        if halvings in DEAL_AFTER:  # a number of tasks is named, as the rows are few and small but dear
+            node = node.repartition(1 << halvings, "first")
+        halvings += 1
         left = F.slice(F.col("n"), 1, level)
         node = node.select("first", "n", "room", F.aggregate(left, F.lit(0).cast("long"), lambda z, x: z + x).alias("take"))
         # shard by shard: the left half takes from this shard's room, given what it still needs and what room is left after it
@@ -133,27 +133,43 @@ def communication_matrix(counts: DataFrame, blocks: int, shards: int, rows: int,
 def shuffle(df: DataFrame, keys: list[str], shards: int, seed: int = 7, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """`df` with columns shard (0 to shards - 1) and slot (gapless from 0 in each shard), as a uniform permutation cut into equal shards.
 
-    `keys` tell rows apart; rows that share all keys are permuted among themselves by nothing but their order.
+    `keys` tell rows apart; rows that share all keys are told apart by their place in the input.
     """
     if shards < 1:
         raise ValueError("at least one shard is needed")
-    base = without(df, "shard", "slot")
-    rows = base.count()
+    named = without(df, "shard", "slot")
+    base = by_position(named)
+    key = F.xxhash64(F.lit(seed), *[F.col(f"c{named.columns.index(k)}") for k in keys])
+    # rows that repeat are told apart by their place in the input, as copies are to be spread like any rows; where none does, nothing is joined
+    often = materialise(base.groupBy(key.alias("key")).agg(F.count("*").alias("n")).where("n > 1"))
+    hashed = base.withColumn("key", key)
+    if often.isEmpty():
+        hashed = hashed.withColumn("part", F.lit(0).cast("long"))
+    else:
+        hashed = hashed.withColumn("row", F.monotonically_increasing_id()).join(often, "key", "left").withColumn("part", F.when(F.col("n").isNull(), F.lit(0)).otherwise(F.xxhash64("row"))).drop("row", "n")
+    hashed = materialise(hashed)
+    rows = hashed.count()
     blocks = max(1, min(MOST_BLOCKS, -(-rows // block_rows)))
-    hashed = base.withColumn("_block", F.pmod(F.xxhash64(F.lit(seed), *map(column, keys)), F.lit(blocks)).cast("int"))
-    counts = hashed.groupBy(F.col("_block").alias("block")).agg(F.count("*").alias("n"))
-    matrix = communication_matrix(counts, blocks, shards, rows, seed)
+    hashed = hashed.withColumn("block", F.pmod(F.xxhash64("key", "part"), F.lit(blocks)).cast("int"))
+    counts = hashed.groupBy("block").agg(F.count("*").alias("n"))
     # cut points within each block: shard s takes ranks up to its running sum
-    cuts = matrix.select(
-        F.col("block").alias("_block"),
-        F.aggregate("to", F.expr("cast(array() as array<bigint>)"), lambda z, x: F.concat(z, F.array(F.coalesce(F.get(z, F.size(z) - 1), F.lit(0)) + x))).alias("_cuts"),
+    cuts = communication_matrix(counts, blocks, shards, rows, seed).select(
+        "block",
+        F.aggregate("to", F.expr("cast(array() as array<bigint>)"), lambda z, x: F.concat(z, F.array(F.coalesce(F.get(z, F.size(z) - 1), F.lit(0)) + x))).alias("cuts"),
     )
-    local = Window.partitionBy("_block").orderBy(F.xxhash64(F.lit(seed + 1), *map(column, keys)), *map(column, keys))
-    ranked = hashed.withColumn("_rank", F.row_number().over(local).cast("long"))
-    # the matrix has MOST_BLOCKS rows of one array each at most, so its size is proven
-    sent = ranked.join(F.broadcast(cuts), "_block").withColumn("shard", F.size(F.filter("_cuts", lambda c: c < F.col("_rank"))).cast("int"))
-    within = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed + 2), *map(column, keys)), *map(column, keys))
-    return sent.withColumn("slot", (F.row_number().over(within) - 1).cast("long")).select(*map(column, base.columns), "shard", "slot")
+    order = [F.col(f"c{named.columns.index(k)}") for k in keys]
+    turn = lambda n: F.xxhash64(F.lit(seed + n), "key", "part")
+    ranked = hashed.withColumn("rank", F.row_number().over(Window.partitionBy("block").orderBy(turn(1), *order)).cast("long"))
+    # ranges of a shard's second random keys, as many as make them as large as blocks
+    ranges = max(0, math.ceil(math.log2(max(1.0, rows / shards / block_rows))))
+    sent = ranked.join(cuts, "block").withColumn("shard", F.size(F.filter("cuts", lambda c: c < F.col("rank"))).cast("int")).drop("cuts", "rank", "block")
+    sent = sent.withColumn("turn", turn(2))
+    sent = materialise(sent.withColumn("range", F.shiftrightunsigned("turn", 64 - ranges) if ranges else F.lit(0).cast("long")))
+    sized = sent.groupBy("shard", "range").agg(F.count("*").alias("n"))
+    before = sized.withColumn("before", F.sum("n").over(Window.partitionBy("shard").orderBy("range")) - F.col("n")).select("shard", "range", "before")  # one row for a range
+    place = F.row_number().over(Window.partitionBy("shard", "range").orderBy("turn", *order))
+    out = sent.withColumn("place", place).join(before, ["shard", "range"])
+    return out.select(*base.columns, "shard", (F.col("before") + F.col("place") - 1).cast("long").alias("slot")).toDF(*named.columns, "shard", "slot")
 
 
 def op4_sharding(spark, sf_dir: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import math
+import time
 from math import comb
 
 import numpy as np
@@ -14,6 +16,28 @@ def test_univariate_law_is_exact(spark):
     assert {tuple(r) for r in edge.collect()} == {(0, 3, 0, 4)}
 
 
+def test_a_draw_at_the_root_of_a_billion_rows_is_fast_and_right(spark):
+    room, rows, n = 25_000_000, 1_000_000_000, 60  # one of 40 shards, half of all rows
+    draw = lambda n: spark.range(n).repartition(1).select(sh.hypergeometric(F.lit(room), F.lit(rows - room), F.lit(rows // 2), (F.col("id") + 0.5) / n).alias("x")).collect()
+    draw(5)
+    began = time.time()
+    x = np.array([r.x for r in draw(n)])
+    assert (time.time() - began) / n < 0.2  # of one task; 0.05 measured alone
+    spread = math.sqrt(rows // 2 * (room / rows) * (1 - room / rows) * (rows // 2) / (rows - 1))
+    assert abs(x.mean() - room / 2) < 0.1 * spread and 0.9 < x.std() / spread < 1.05
+
+
+def test_hot_rows_and_names(spark):
+    df = spark.range(900).select(F.when(F.col("id") < 700, 5).otherwise(F.col("id")).alias("doc_id"), *[F.lit(i).alias(c) for i, c in enumerate(("key", "part", "block", "rank", "cuts", "_block", "turn", "range", "c0", "n"))])
+    out = sh.shuffle(df, ["doc_id"], 8, block_rows=50)
+    assert out.columns == [*df.columns, "shard", "slot"]
+    rows = out.collect()
+    assert {tuple(r)[1:11] for r in rows} == {tuple(range(10))} and sum(r.doc_id == 5 for r in rows) == 700
+    for s in range(8):
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(113 if s < 4 else 112))
+        assert 60 < sum(r.doc_id == 5 for r in rows if r.shard == s) < 105
+
+
 def test_matrix_has_both_margins_and_the_right_mean(spark):
     sizes = [5, 0, 9, 30, 1]
     counts = spark.createDataFrame([(i, n) for i, n in enumerate(sizes) if n], "block int, n long")
