@@ -5,16 +5,17 @@ prior fitted to all outcomes, a registered domain ("example.com") one centred on
 centred on its domain; each prior weighs as many pages as its strength says. Strengths come from the
 data by the method of moments: how much more the rates of the children differ than their counts alone
 would make them. A prior's centre leaves out the child's own pages, which would count twice. A page is blocked if the lower bound of its host's posterior, mean less `z` standard
-deviations, is above a threshold; a host without outcomes falls back on its domain, then its suffix.
+deviations (the normal approximation of a beta quantile), is above a threshold; a host without outcomes falls back on its domain, then its suffix.
+Outcomes are a parameter. Where there are none, the pages that a rule decides serve as such, so that the reputation says how
+the rules see a host's other pages; it is then no evidence beside them.
 
-All counts are integers and all joins are on aggregated tables, so a host with a third of all pages is
-combined before the shuffle; the pages themselves join on rules and host keys that are hashed or sent
-out by Spark's own size checks.
+All counts are integers. Pages are counted by host once, combined before the shuffle; all levels come from this table. The hosts that
+have more than a thousandth of all pages each, fewer than a thousand, are sent out to the pages; the others join by host.
 
 Defined cases: a null url or one without "://" has an empty host and path, no rule, and is judged like
 any host (the empty one, of an empty suffix); repeated rows count as often as they occur; of equally
 long rules the first by name wins; without any outcome nothing is blocked beyond the rules; an empty
-table gives an empty table; columns of the input that bear an output's name are replaced.
+table gives an empty table; columns of the input that bear an output's name are replaced, others may have any name.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm._common import column, without
+from foliant.llm._common import by_position, column, materialise, without
 
 
 class Rule(NamedTuple):
@@ -53,6 +54,8 @@ THRESHOLD = 0.5
 Z = 1.645
 #: Bounds of a prior's strength, in pages.
 LEAST, MOST = 1.0, 1000.0
+#: Hosts with more than this share of all pages are sent out to them.
+HOT = 1 / 1000
 #: The strength where children are too few to tell how much they differ.
 UNKNOWN = 2.0
 
@@ -106,7 +109,12 @@ def _strength(child: DataFrame, parent: str, mean: str) -> DataFrame:
 
 def reputation(outcomes: DataFrame, url_host: str = "host", bad: str = "bad") -> dict[str, DataFrame]:
     """Posteriors by level out of (host, bad 0/1): 'suffix', 'domain' and 'host' tables of (key, n, bad, alpha, beta)."""
-    hosts = outcomes.where(column(bad).isNotNull()).groupBy(column(url_host).alias("host")).agg(F.count("*").alias("n"), F.sum(column(bad).cast("long")).alias("bad"))
+    counted = outcomes.where(column(bad).isNotNull()).groupBy(column(url_host).alias("host")).agg(F.count("*").alias("n"), F.sum(column(bad).cast("long")).alias("bad"))
+    return _levels(counted)
+
+
+def _levels(hosts: DataFrame) -> dict[str, DataFrame]:
+    """The same out of (host, n, bad)."""
     hosts = hosts.withColumn("domain", domain(F.col("host"))).withColumn("suffix", suffix(F.col("host")))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
@@ -141,18 +149,26 @@ def judge(pages: DataFrame, url: str = "url", rules: tuple[Rule, ...] = RULES, o
 
     outcomes: (host, bad); by default the pages that a rule decides: blocked ones are bad, allowed ones good.
     """
-    base = without(pages, "host", "path", "rule", "verdict", "reputation", "level")
-    told = base.withColumn("host", host(column(url))).withColumn("path", path(column(url))).withColumn("_rule", rule(F.col("host"), F.col("path"), rules))
-    if outcomes is None:
-        outcomes = told.where("_rule is not null").select("host", (F.col("_rule.verdict") == "block").cast("int").alias("bad"))
-    level = reputation(outcomes)
-    # every host that pages show, with the nearest level that has outcomes; pages are reduced to hosts before they join
-    seen = told.select("host").distinct().withColumn("domain", domain(F.col("host"))).withColumn("suffix", suffix(F.col("host")))
+    named = without(pages, "host", "path", "rule", "verdict", "reputation", "level")
+    base, at = by_position(named), F.col(f"c{named.columns.index(url)}")
+    told = base.withColumn("host", host(at)).withColumn("path", path(at)).withColumn("rule", rule(F.col("host"), F.col("path"), rules))
+    ruled = F.col("rule").isNotNull()
+    # pages are reduced to hosts before anything else
+    hosts = materialise(told.groupBy("host").agg(F.count("*").alias("pages"), F.count_if(ruled).alias("n"), F.count_if(F.col("rule.verdict") == "block").alias("bad")))
+    level = _levels(hosts.where("n > 0").select("host", "n", "bad")) if outcomes is None else reputation(outcomes)
+    # every host that pages show, with the nearest level that has outcomes
+    seen = hosts.select("host", "pages", domain(F.col("host")).alias("domain"), suffix(F.col("host")).alias("suffix"))
     for key, df in level.items():
-        seen = seen.join(df.select(key, F.round(lower_bound(F.col("alpha"), F.col("beta"), z), 6).alias(f"_{key}")), key, "left")
-    seen = seen.select("host", F.coalesce("_host", "_domain", "_suffix", F.lit(0.0)).alias("reputation"), F.when(F.col("_host").isNotNull(), "host").when(F.col("_domain").isNotNull(), "domain").when(F.col("_suffix").isNotNull(), "suffix").otherwise("none").alias("level"))
-    verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("reputation") > threshold, "block").otherwise("allow"))
-    return told.join(seen, "host").select(*map(column, base.columns), "host", "path", F.col("_rule.name").alias("rule"), verdict.alias("verdict"), "reputation", "level")
+        seen = seen.join(df.select(key, F.round(lower_bound(F.col("alpha"), F.col("beta"), z), 6).alias(f"by_{key}")), key, "left")
+    names = [F.when(F.col(f"by_{k}").isNotNull(), k) for k in ("host", "domain", "suffix")]
+    seen = materialise(seen.select("host", "pages", F.coalesce("by_host", "by_domain", "by_suffix", F.lit(0.0)).alias("reputation"), F.coalesce(*names, F.lit("none")).alias("level")))
+    least = (hosts.agg(F.sum("pages")).first()[0] or 0) * HOT
+    hot = seen.where(F.col("pages") > least).drop("pages")
+    with_hot = told.join(F.broadcast(hot), "host")  # fewer than 1 / HOT rows
+    others = told.join(F.broadcast(hot.select("host")), "host", "left_anti").join(seen.where(F.col("pages") <= least).drop("pages"), "host")
+    verdict = F.coalesce(F.col("rule.verdict"), F.when(F.col("reputation") > threshold, "block").otherwise("allow"))
+    out = with_hot.unionByName(others).select(*base.columns, "host", "path", F.col("rule.name").alias("rule"), verdict.alias("verdict"), "reputation", "level")
+    return out.toDF(*named.columns, "host", "path", "rule", "verdict", "reputation", "level")
 
 
 def op7_url_reputation(spark, sf_dir: str) -> DataFrame:
