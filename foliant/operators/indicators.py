@@ -33,7 +33,7 @@ def volume_ratio(n: int = 20) -> Column:
 
 def rsi(closes: Column, n: int = 14) -> Column:
     """Relative strength by Wilder's smoothing, at the end of an array of closes in order; null for n closes or fewer."""
-    moves = F.transform(F.sequence(F.lit(1), F.size(closes) - 1), lambda i: F.get(closes, i) - F.get(closes, i - 1))
+    moves = F.zip_with(F.slice(closes, F.lit(2), F.size(closes) - 1), F.slice(closes, F.lit(1), F.size(closes) - 1), lambda x, y: x - y)
 
     def mean(part: Column) -> Column:
         return F.aggregate(part, F.lit(0.0), lambda z, x: z + x) / n
@@ -49,20 +49,24 @@ def rsi(closes: Column, n: int = 14) -> Column:
     return F.when(F.size(closes) > n, F.transform(F.array(moves), of)[0])
 
 
-def ema(values: Column, n: int) -> Column:
-    """Array of exponential means, the first value its own."""
-    grow = lambda z, x: F.concat(z, F.array(F.element_at(z, -1) + F.lit(2.0 / (n + 1)) * (x - F.element_at(z, -1))))
-    rest = F.slice(values, F.lit(2), F.greatest(F.size(values) - 1, F.lit(0)))
-    return F.when(F.size(values) > 0, F.aggregate(rest, F.slice(values, 1, 1), grow)).otherwise(values)
+def _macd(closes: Column, fast: int = 12, slow: int = 26, signal: int = 9) -> Column:
+    """struct(line, signal) at the end of an array of closes in order: exponential means that begin with the first value, folded with three numbers."""
+    share = lambda n: F.lit(2.0 / (n + 1))
+
+    def step(z: Column, x: Column) -> Column:
+        f, s = z["f"] + share(fast) * (x - z["f"]), z["s"] + share(slow) * (x - z["s"])
+        return F.struct(f.alias("f"), s.alias("s"), (z["g"] + share(signal) * (f - s - z["g"])).alias("g"))
+
+    first = F.get(closes, F.lit(0))
+    start = F.struct(first.alias("f"), first.alias("s"), F.lit(0.0).alias("g"))
+    end = F.aggregate(closes, start, step, lambda z: F.struct((z["f"] - z["s"]).alias("line"), z["g"].alias("signal")))
+    return F.when(F.size(closes) > 0, end)
 
 
 def macd(bars: DataFrame) -> DataFrame:
     """(ticker, macd, macd_signal, macd_histogram) at the last bar: means of 12 and 26 bars, and their difference's of 9."""
     closes = bars.groupBy("ticker").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "close"))), lambda b: b["close"].cast("double")).alias("c"))
-    line = closes.select("ticker", ema(F.col("c"), 12).alias("fast"), ema(F.col("c"), 26).alias("slow")).select("ticker", F.zip_with("fast", "slow", lambda a, b: a - b).alias("line"))
-    signal = line.select("ticker", "line", ema(F.col("line"), 9).alias("signal"))
-    last = lambda c: F.element_at(c, -1)
-    return signal.select("ticker", last("line").alias("macd"), last("signal").alias("macd_signal"), (last("line") - last("signal")).alias("macd_histogram"))
+    return closes.select("ticker", _macd(F.col("c")).alias("m")).select("ticker", F.col("m.line").alias("macd"), F.col("m.signal").alias("macd_signal"), (F.col("m.line") - F.col("m.signal")).alias("macd_histogram"))
 
 
 def indicators(bars: DataFrame) -> DataFrame:
@@ -71,7 +75,8 @@ def indicators(bars: DataFrame) -> DataFrame:
     rolled = bars.select("ticker", "ts", "close", F.row_number().over(w).alias("_n"), sma(50).alias("sma_50"), sma(200).alias("sma_200"), *[c.alias(k) for k, c in bollinger().items()], volume_ratio().alias("volume_ratio"))
     last = rolled.where("_n = 1").drop("_n")
     closes = bars.groupBy("ticker").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "close"))), lambda b: b["close"].cast("double")).alias("c"))
-    out = last.join(closes.select("ticker", rsi(F.col("c")).alias("rsi_14")), "ticker").join(macd(bars), "ticker")
+    folded = closes.select("ticker", rsi(F.col("c")).alias("rsi_14"), _macd(F.col("c")).alias("m"))
+    out = last.join(folded.select("ticker", "rsi_14", F.col("m.line").alias("macd"), F.col("m.signal").alias("macd_signal"), (F.col("m.line") - F.col("m.signal")).alias("macd_histogram")), "ticker")
     numbers = [c for c in out.columns if c not in ("ticker", "ts")]
     return out.select("ticker", "ts", *[F.round(c, 6).alias(c) for c in numbers])
 

@@ -28,20 +28,64 @@ PARTS_DOMESTIC = {
 }
 
 
+#: Tags that end an open paragraph, and what else a start tag ends: by its tag, the tags it ends and those beyond which it does not look.
+ENDS_PARAGRAPH = frozenset("address article aside blockquote body center dd details dir div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section table tbody td tfoot th thead tr ul".split())
+_CELLS, _ROWS, _GROUPS = frozenset({"td", "th"}), frozenset({"tr"}), frozenset({"tbody", "thead", "tfoot"})
+ENDS = {
+    "li": (frozenset({"li"}), frozenset({"ul", "ol", "menu", "dir"})),
+    "dt": (frozenset({"dt", "dd"}), frozenset({"dl"})),
+    "dd": (frozenset({"dt", "dd"}), frozenset({"dl"})),
+    "td": (_CELLS, frozenset({"table"})),
+    "th": (_CELLS, frozenset({"table"})),
+    "tr": (_CELLS | _ROWS, frozenset({"table"})),
+    **{g: (_CELLS | _ROWS | _GROUPS, frozenset({"table"})) for g in sorted(_GROUPS)},
+    "option": (frozenset({"option"}), frozenset({"select"})),
+}
+#: Elements out of which no end tag of another kind reaches, and no start tag to a paragraph.
+SCOPES = frozenset({"table", "td", "th", "caption"})
+_TABLE = frozenset({"table", "tr"}) | _CELLS | _GROUPS
+
+
 class _Blocks(HTMLParser):
-    """Texts of block elements that hold no other block element, in document order."""
+    """Texts of block elements that hold no other block element, in document order. End tags that may be left out are put in."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, bool]] = []  # tag, whether what is inside is left out
         self.hidden = 0
-        self.blocks: list[list] = []  # of open block elements: texts, whether one is inside
-        self.out: list[str] = []
+        self.blocks: list[list] = []  # of open block elements: texts, whether one is inside, place in the document
+        self.out: list[tuple[int, str]] = []
+        self.seen = 0
+        self.apart = True  # whether a tag stands between this text and the last
+
+    def _end(self, count: int) -> None:
+        """Ends the innermost `count` elements."""
+        for _ in range(count):
+            tag, hides = self.open.pop()
+            if tag in BLOCKS and not self.hidden:
+                texts, holds, at = self.blocks.pop()
+                text = " ".join(" ".join(texts).split())
+                if text and not holds:
+                    self.out.append((at, text))
+            self.hidden -= hides
+
+    def _end_through(self, tags: frozenset[str], scopes: frozenset[str]) -> None:
+        """Ends all up to the outermost of `tags` that no element of `scopes` is inside of."""
+        last = 0
+        for n, (tag, _) in enumerate(reversed(self.open), 1):
+            if tag in scopes:
+                break
+            if tag in tags:
+                last = n
+        self._end(last)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        self.apart = True
+        if tag in ENDS_PARAGRAPH:
+            self._end_through(frozenset({"p", "head"}), SCOPES)
+        if tag in ENDS:
+            self._end_through(*ENDS[tag])
         if tag in VOID:
-            if tag == "br" and self.blocks and not self.hidden:
-                self.blocks[-1][0].append(" ")
             return
         style = "".join(v or "" for k, v in attrs if k == "style").replace(" ", "").lower()
         hides = tag in NOISE or "display:none" in style
@@ -50,41 +94,44 @@ class _Blocks(HTMLParser):
         if tag in BLOCKS and not self.hidden:
             if self.blocks:
                 self.blocks[-1][1] = True
-            self.blocks.append([[], False])
+            self.seen += 1
+            self.blocks.append([[], False, self.seen])
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag == "br":
-            self.handle_starttag(tag, attrs)
+        self.apart = True  # an empty element; those that cannot be empty are none in HTML, but hold nothing here
 
     def handle_endtag(self, tag: str) -> None:
-        if all(t != tag for t, _ in self.open):
-            return
-        while True:
-            last, hides = self.open.pop()
-            if last in BLOCKS and not self.hidden:
-                texts, holds = self.blocks.pop()
-                text = " ".join("".join(texts).split())
-                if text and not holds:
-                    self.out.append(text)
-            self.hidden -= hides
+        self.apart = True
+        for n, (last, _) in enumerate(reversed(self.open), 1):
             if last == tag:
+                self._end(n)
                 return
+            if last in SCOPES and tag not in _TABLE:
+                return
+
+    def handle_comment(self, data: str) -> None:
+        self.apart = True
 
     def handle_data(self, data: str) -> None:
         if self.blocks and not self.hidden:
-            self.blocks[-1][0].append(data)
+            if self.apart or not self.blocks[-1][0]:
+                self.blocks[-1][0].append(data)
+            else:
+                self.blocks[-1][0][-1] += data
+        self.apart = False
 
     def close(self) -> None:
         super().close()
-        while self.open:
-            self.handle_endtag(self.open[-1][0])
+        self._end(len(self.open))
+        self.out.sort()
 
 
 def text_blocks(html: str | None) -> list[str]:
+    """Texts of the innermost block elements in order of their start; texts that a tag parts are joined by a space."""
     p = _Blocks()
     p.feed(html or "")
     p.close()
-    return p.out
+    return [text for _, text in p.out]
 
 
 def part_of(item: str, form: str | None) -> str:

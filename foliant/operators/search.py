@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from datetime import date
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 RRF_K = 60
-#: Queries that are sent to the scan at a time.
-BLOCK = 1000
+#: Chunks and queries to a block of a vector search.
+CHUNK_ROWS, QUERY_ROWS = 8_192, 1_024
 #: Words that carry no meaning in a query.
 STOP_WORDS = frozenset("a an and are as at be but by for from has have in into is it its of on or that the their this to was were what which will with".split())
 
@@ -50,24 +55,64 @@ def cosine(a: str, b: str) -> Column:
     return F.try_divide(_dot(a, b), F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b)))
 
 
+def _packed(vectors: DataFrame, key: str, vector: str, rows: int) -> DataFrame:
+    """(ids, size, matrix): vectors of one length as matrices of at most `rows` rows, scaled to length 1; those without a direction are left out."""
+    schema = T.StructType([T.StructField("ids", T.ArrayType(vectors.schema[key].dataType)), T.StructField("size", T.IntegerType()), T.StructField("matrix", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, rows):
+                part = b.slice(at, rows)
+                size = pc.list_value_length(part.column(1)).to_numpy(zero_copy_only=False)
+                for n in np.unique(size[size > 0]):
+                    of = np.flatnonzero(size == n)
+                    x = pc.list_flatten(part.column(1).take(pa.array(of))).to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, int(n))
+                    length = np.sqrt((x * x).sum(axis=1))
+                    some = (length > 0) & np.isfinite(length)
+                    ids = part.column(0).take(pa.array(of[some]))
+                    yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([n], pa.int32()), pa.array([(x[some] / length[some, None]).tobytes()])], names=[f.name for f in schema])
+
+    return vectors.select(key, vector).where(F.col(vector).isNotNull()).mapInArrow(run, schema)
+
+
 def by_vector(chunks: DataFrame, queries: DataFrame, k: int, where: Column | None = None) -> DataFrame:
     """For each query (query_id, query): its k nearest chunks with an embedding of its length: query_id, id, similarity, rank.
 
-    An exact scan: chunks are read and only each query's best leave a task (window group limit). Queries are
-    counted and sent out in blocks of BLOCK; more blocks are more scans.
+    An exact search in blocks: chunks and queries become matrices of bounded size, each pair of blocks is one product, and
+    only each query's k best of a block of chunks leave it, ties by id.
     """
-    c = chunks.where(F.col("embedding").isNotNull() & (F.lit(True) if where is None else where))
-    asked = queries.select("query_id", "query")
-    blocks = -(-asked.count() // BLOCK)
-    numbered = asked.withColumn("_block", ((F.row_number().over(Window.orderBy("query_id")) - 1) / BLOCK).cast("int")) if blocks > 1 else asked
+    c = _packed(chunks.where(F.lit(True) if where is None else where), "id", "embedding", CHUNK_ROWS)
+    q = _packed(queries, "query_id", "query", QUERY_ROWS)
+    kinds = [queries.schema["query_id"].dataType, chunks.schema["id"].dataType]
+    schema = T.StructType([T.StructField("query_id", kinds[0]), T.StructField("id", kinds[1]), T.StructField("similarity", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                size, other = b.column(1)[i].as_py(), b.column(4)[i].as_py()
+                ids, asked = b.column(0)[i].values, b.column(3)[i].values
+                if size != other or not len(ids) or not len(asked):
+                    continue
+                x, y = (np.frombuffer(b.column(j)[i].as_buffer()).reshape(-1, size) for j in (2, 5))
+                near = np.round(y @ x.T, 6)
+                order = np.empty(len(ids), np.int64)
+                order[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+                if len(ids) > k:  # all that are as near as the k-th, and of these the first by id
+                    least = -np.partition(-near, k - 1, axis=1)[:, k - 1]
+                    rows, cols = np.nonzero(near >= least[:, None])
+                else:
+                    rows, cols = (z.ravel() for z in np.indices(near.shape))
+                sim = near[rows, cols]
+                best = np.lexsort((order[cols], -sim, rows))
+                rows, cols, sim = rows[best], cols[best], sim[best]
+                first = np.flatnonzero(np.diff(rows, prepend=-1))
+                kept = np.arange(len(rows)) - np.repeat(first, np.diff(np.append(first, len(rows)))) < k
+                yield pa.RecordBatch.from_arrays([asked.take(pa.array(rows[kept])), ids.take(pa.array(cols[kept])), pa.array(sim[kept])], names=["query_id", "id", "similarity"])
+
+    # rows are blocks here: a table of queries is compared with all chunks, block by block
+    pairs = c.crossJoin(q.select(F.col("ids").alias("q_ids"), F.col("size").alias("q_size"), F.col("matrix").alias("q_matrix")))
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    out = None
-    for i in range(max(1, blocks)):
-        few = numbered.where(F.col("_block") == i).drop("_block") if blocks > 1 else asked  # at most BLOCK rows
-        scored = c.join(F.broadcast(few), F.size("embedding") == F.size("query")).select("query_id", "id", F.round(cosine("embedding", "query"), 6).alias("similarity"))
-        best = scored.where("similarity is not null").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        out = best if out is None else out.unionByName(best)
-    return out
+    return pairs.mapInArrow(run, schema).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def terms(text: str) -> Column:
@@ -91,14 +136,17 @@ def by_text(chunks: DataFrame, query: str | DataFrame, k: int, where: Column | N
     wanted = _words(query)
     if not wanted:
         return chunks.select("id", F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
-    found = (chunks if where is None else chunks.where(where)).select("id", terms(text).alias("_terms"))
-    want = F.array(*map(F.lit, wanted))
-    found = found.where(F.size(F.array_except(want, "_terms")) == 0)
-    score = F.round(F.size(F.filter("_terms", lambda t: t.isin(*wanted))) / F.size("_terms"), 6)
-    top = found.select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(k)
+    top = scored(chunks if where is None else chunks.where(where), query, text).orderBy(F.desc("score"), "id").limit(k)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))  # over k rows
 
 
+def scored(chunks: DataFrame, query: str, text: str = "text", by: list[str] | None = None) -> DataFrame:
+    """(by, id, score) of the chunks that have all terms of a query."""
+    wanted = _words(query)
+    found = chunks.select(*(by or []), "id", terms(text).alias("_terms")).where(F.size(F.array_except(F.array(*map(F.lit, wanted)), "_terms")) == 0)
+    return found.select(*(by or []), "id", F.round(F.size(F.filter("_terms", lambda t: t.isin(*wanted))) / F.size("_terms"), 6).alias("score"))
+
+
 def _by_texts(chunks: DataFrame, queries: DataFrame, k: int, where: Column | None, text: str) -> DataFrame:
     """Words of chunks meet the queries that ask for them; a chunk that gives a query all of its words is a match."""
     asked = queries.select("query_id", F.array_distinct(terms("query_text")).alias("_words"))
@@ -132,12 +180,13 @@ def bm25(chunks: DataFrame, query: str, k: int, text: str = "text", k1: float =
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
 
 
-def fuse(vector: DataFrame, text: DataFrame, k: int, rrf_k: int = RRF_K) -> DataFrame:
+def fuse(vector: DataFrame, text: DataFrame, k: int, rrf_k: int = RRF_K, by: list[str] | None = None) -> DataFrame:
     """Reciprocal rank fusion of two ranked lists (id, rank): id, score, rank. Ties: by vector rank, those without it last, then by text rank.
 
-    If both have a query_id, lists are fused by query, and each keeps its k; otherwise they are those of one query.
+    If both have a query_id (or what `by` names), lists are fused by query, and each keeps its k; otherwise they are those of one query.
     """
-    by = ["query_id"] if "query_id" in vector.columns and "query_id" in text.columns else []
+    if by is None:
+        by = ["query_id"] if "query_id" in vector.columns and "query_id" in text.columns else []
     v = vector.select(*by, "id", F.col("rank").alias("vector_rank"))
     t = text.select(*by, "id", F.col("rank").alias("text_rank"))
     part = lambda r: F.coalesce(F.lit(1.0) / (F.lit(rrf_k) + F.col(r)), F.lit(0.0))
@@ -154,9 +203,13 @@ def hybrid(chunks: DataFrame, queries: DataFrame, k: int, where: Column | None =
 
 
 def merge(ranked: DataFrame, k: int) -> DataFrame:
-    """Lists of several sub-queries (sub, id, score, rank) as one: each chunk once with its best score; ties in order of first sight."""
-    best = ranked.groupBy("id").agg(F.max("score").alias("score"), F.min(F.struct("sub", "rank")).alias("seen"))
-    return best.orderBy(F.desc("score"), "seen").limit(k).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "seen"))).select("id", "score", "rank")
+    """Lists of several sub-queries (sub, id, score, rank) as one: each chunk once with its best score; ties in order of first sight. With a query_id: one for each."""
+    by = ["query_id"] if "query_id" in ranked.columns else []
+    best = ranked.groupBy(*by, "id").agg(F.max("score").alias("score"), F.min(F.struct("sub", "rank")).alias("seen"))
+    if not by:
+        return best.orderBy(F.desc("score"), "seen").limit(k).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "seen"))).select("id", "score", "rank")
+    w = Window.partitionBy(*by).orderBy(F.desc("score"), "seen")
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(*by, "id", "score", "rank")
 
 
 #: Signals of questions about several facts, and terms that filers phrase in other words.

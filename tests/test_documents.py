@@ -1,3 +1,5 @@
+import random
+
 from foliant.operators import chunk, parse
 
 
@@ -6,11 +8,71 @@ def filing(blocks):
 
 
 def test_blocks_are_leaves_without_noise():
-    html = "<div>lost<p>a <ix:x>b</ix:x>&amp;c</p><script>x</script><p style='display: none'>no</p><td>d<br>e</td></div><p>f"
-    assert parse.text_blocks(html) == ["a b&c", "d e", "f"]
+    html = "<div>lost<p>a <ix:x>b</ix:x>&amp;c</p><script>x</script><p style='display: none'>no</p><table><tr><td>d<br>e</td></tr></table></div><p>f"
+    assert parse.text_blocks(html) == ["a b &c", "d e", "f"]
     assert parse.text_blocks(None) == []
 
 
+def test_end_tags_that_are_left_out():
+    assert parse.text_blocks("<ul><li>one<li>two</ul><p>a<p>b<table><tr><td>x<td>y</table>") == ["one", "two", "a", "b", "x", "y"]
+    assert parse.text_blocks("<p>Net<b>sales</b></p>") == ["Net sales"]
+    assert parse.text_blocks("<ul><li>one<ul><li>in</ul>lost<li>two</ul>") == ["in", "two"]
+    assert parse.text_blocks("<table><tr><td><table><tr><td>inner</table><td>outer<tr><td>next</table>") == ["inner", "outer", "next"]
+    assert parse.text_blocks("<p>a<div>b</p>c</div>1 < 2<p>3 < 4 &lt; 5</p>") == ["a", "b c", "3 < 4 < 5"]
+    assert parse.text_blocks("<head><title>t<p>body") == ["body"]
+
+
+class Tree:
+    """A random document: it writes itself with end tags left out where HTML allows it, and walks itself for its blocks."""
+
+    ALLOWED = {"div": ("div", "p", "ul", "table", "b"), "li": ("p", "ul", "b"), "td": ("p", "table", "b", "div"), "p": ("b",), "b": (), "ul": ("li",), "table": ("tr",), "tr": ("td",)}
+
+    def __init__(self, r, tag="div", depth=0):
+        self.r, self.tag, self.children = r, tag, []
+        for _ in range(r.randrange(1, 5) if depth < 6 else 0):
+            kinds = self.ALLOWED[tag]
+            if kinds and (tag in ("ul", "table", "tr") or r.random() < 0.6):
+                self.children.append(Tree(r, r.choice(kinds), depth + 1))
+            elif tag not in ("ul", "table", "tr"):
+                if self.children and isinstance(self.children[-1], str):
+                    continue
+                self.children.append(r.choice(["net sales", " 1,200 ", "a&amp;b", "\n x  y"]))
+
+    def html(self, following=None):
+        out = [f"<{self.tag}>"]
+        for i, c in enumerate(self.children):
+            after = self.children[i + 1] if i + 1 < len(self.children) else None
+            out.append(c if isinstance(c, str) else c.html(after))
+        next_tag = following.tag if isinstance(following, Tree) else None
+        may = (self.tag in ("li", "td", "tr") and following is None) or (self.tag == next_tag and self.tag in ("li", "td", "tr", "p")) or (self.tag == "p" and next_tag in ("div", "ul", "table"))
+        return "".join(out) + ("" if may and self.r.random() < 0.6 else f"</{self.tag}>")
+
+    def texts(self):
+        for c in self.children:
+            yield from [c] if isinstance(c, str) else c.texts()
+
+    def inner(self):
+        for c in self.children:
+            if isinstance(c, Tree):
+                yield c
+                yield from c.inner()
+
+    def blocks(self):
+        for t in (self, *self.inner()):
+            if t.tag in parse.BLOCKS and not any(x.tag in parse.BLOCKS for x in t.inner()):
+                text = " ".join(" ".join(x.replace("&amp;", "&") for x in t.texts()).split())
+                if text:
+                    yield text
+
+
+def test_blocks_are_those_of_a_walk_over_the_tree():
+    r = random.Random(5)
+    for _ in range(1500):
+        t = Tree(r)
+        html = t.html()
+        assert parse.text_blocks(html) == list(t.blocks()), html
+
+
 def test_parts_by_form():
     items = ["1", "12D", "13", "16K", "17", "19"]
     found = parse.sections(filing([x for i in items for x in (f"Item {i}. Title", "text")]), "20-F/A")
