@@ -299,13 +299,6 @@ def V5_merged_hybrid(spark, d):
     return search.merge(ranked, 10)
 
 
-@query(f"SELECT id, max(similarity) AS similarity FROM (SELECT e.vec_id AS id, {_NEAR} AS similarity, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_NEAR} DESC, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0 AND e.label = 2) WHERE rank <= 5 GROUP BY id")
-def V7_extraction_search(spark, d):
-    e, q = _vectors(spark, d)
-    ranked = search.by_vector(e, q, 5, F.col("label") == 2)
-    return ranked.groupBy("id").agg(F.max("similarity").alias("similarity"))
-
-
 _ROUTES = ["Compare revenue of A vs B", "margin as a % of revenue", "supply chain exposure", "What is the moat?", "Revenue in 2024", "growing much faster", "EBITDA trend"]
 
 
@@ -321,11 +314,6 @@ def V10_sub_queries(spark, d):
     return star.read(spark, d, "documents").select("doc_id", F.array_join(search.sub_queries(F.col("text"), F.lit("q")), "|").alias("subs"))
 
 
-@query()
-def V2_bm25(spark, d):
-    return search.bm25(star.read(spark, d, "documents").withColumnRenamed("doc_id", "id"), "ing and ther", 20)
-
-
 # --- indicators -------------------------------------------------------------------------------------
 
 
@@ -345,11 +333,6 @@ def F4_rolling_indicators(spark, d):
     return indicators.indicators(_bars(spark, d)).select("ticker", "ts", F.round("close", 2).alias("close"), "sma_50", "sma_200", "bb_upper", "bb_mid", "bb_lower", "volume_ratio")
 
 
-@query()
-def F5_rsi_macd(spark, d):
-    return indicators.indicators(_bars(spark, d)).select("ticker", "rsi_14", "macd", "macd_signal", "macd_histogram")
-
-
 # --- news -------------------------------------------------------------------------------------------
 
 
@@ -586,3 +569,4 @@ def Q1_embed(spark, d):
 
 from foliant import catalog_checks as _checks  # noqa: E402, F401  these register their queries
 from foliant import catalog_more as _more  # noqa: E402, F401
+from foliant import catalog_search as _search  # noqa: E402, F401
