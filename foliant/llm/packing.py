@@ -24,6 +24,7 @@ import os
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import pyarrow as pa
@@ -42,7 +43,7 @@ WORTH_A_CUT = 48
 END_ID = 2
 #: Tasks whose leftovers meet in one task of the next round.
 FAN = 64
-#: Bytes of parts of texts, and of runs within them, whose ids a task remembers, by about what Python takes for each, and the longest of them.
+#: Bytes of parts of texts, and of runs within them, whose ids a worker remembers, by about what Python takes for each, and the longest of them.
 REMEMBERED_BYTES, EACH, LONGEST = 256 << 20, 200, 64
 #: Texts that are Python objects at a time.
 SLICE = 256
@@ -87,25 +88,36 @@ class Encoder:
             out += [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(strings[at : at + 4096], add_special_tokens=False)]
         return out
 
-    def _split(self, part: str) -> list[str] | None:
-        """The runs of a part, or None if it is to be left to the tokenizer."""
-        letters, mark = (part, "") if part[-1] not in MARKS else (part[:-1], part[-1])
-        if letters.isalpha() and (letters.isascii() or PLAIN.fullmatch(letters)):
-            return [letters.lower(), mark] if mark else [letters.lower()]
-        return RUN.findall(part.lower()) if PLAIN.fullmatch(part) and "<|" not in part else None
-
     def _learn(self, new: list[str]) -> None:
-        split = list(map(self._split, new)) if self.by_runs else [None] * len(new)
-        runs = {*chain.from_iterable(s for s in split if s)}
-        unknown = list(runs.difference(self.runs))
-        self.held += EACH * (len(new) + len(unknown)) + 2 * sum(map(len, new)) + 2 * sum(map(len, unknown))
-        self.runs.update(zip(unknown, self._encode(self.model, unknown), strict=True))
-        known, parts = self.runs.__getitem__, self.parts
-        for p, s in zip(new, split, strict=True):
-            if s:
-                parts[p] = known(s[0]) if len(s) == 1 else b"".join(map(known, s))
-        other = [p for p, s in zip(new, split, strict=True) if not s]
+        """Ids of parts: those of their runs where the tokenizer splits as RUN does, others as the tokenizer gives them."""
+        whole: list[str] = []  # letters only
+        marked: list[str] = []  # letters and a mark
+        mixed: list[str] = []
+        other: list[str] = []
+        for p in new:
+            if not (self.by_runs and (p.isascii() or PLAIN.fullmatch(p))):
+                other.append(p)
+            elif p.isalpha():
+                whole.append(p)
+            elif p[-1] in MARKS and p[:-1].isalpha():
+                marked.append(p)
+            elif PLAIN.fullmatch(p) and "<|" not in p:
+                mixed.append(p)
+            else:
+                other.append(p)
+        parts, runs = self.parts, self.runs
+        low = list(map(str.lower, whole))
+        low_marked = [p[:-1].lower() for p in marked]
+        split = [RUN.findall(p.lower()) for p in mixed]
+        unknown = list({*low, *low_marked, *(p[-1] for p in marked), *chain.from_iterable(split)}.difference(runs))
+        runs.update(zip(unknown, self._encode(self.model, unknown), strict=True))
+        known = runs.__getitem__
+        parts.update(zip(whole, map(known, low), strict=True))
+        mark = {m: runs[m] for m in MARKS if m in runs}
+        parts.update((p, known(x) + mark[p[-1]]) for p, x in zip(marked, low_marked, strict=True))
+        parts.update((p, b"".join(map(known, x))) for p, x in zip(mixed, split, strict=True))
         parts.update(zip(other, self._encode(self.tokenizer, other), strict=True))
+        self.held += EACH * (len(new) + len(unknown)) + 2 * (sum(map(len, new)) + sum(map(len, unknown)))
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
@@ -123,6 +135,12 @@ class Encoder:
         return out
 
 
+@lru_cache(1)
+def _encoder(path: str, end_id: int) -> Encoder:
+    """A worker's encoder: what it remembers, within its bound, serves the tasks that follow in the same process."""
+    return Encoder(path, end_id)
+
+
 class Packer:
     """Places pieces (key, start, doc_tokens, ids as bytes) and collects rows of closed windows."""
 
@@ -209,7 +227,7 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
 
     def first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        encoder, packer, kind = Encoder(tokenizer, end_id), Packer(length, windows, worth, part << 32), None
+        encoder, packer, kind = _encoder(tokenizer, end_id), Packer(length, windows, worth, part << 32), None
         for b in batches:
             kind = b.column(0).type
             for at in range(0, b.num_rows, SLICE):
