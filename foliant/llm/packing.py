@@ -27,6 +27,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import TaskContext
@@ -88,6 +89,17 @@ class Encoder:
             out += [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(strings[at : at + 4096], add_special_tokens=False)]
         return out
 
+    def _encode_runs(self, runs: list[str]) -> list[bytes]:
+        """Ids of runs, which are words of one sequence here: so there is one result for thousands of them, cut by the numbers of the words."""
+        out: list[bytes] = []
+        for at in range(0, len(runs), 4096):
+            some = runs[at : at + 4096]
+            e = self.model.encode(some, is_pretokenized=True, add_special_tokens=False)
+            ids = array("I", e.ids).tobytes()
+            ends = (np.searchsorted(np.array(e.word_ids), np.arange(len(some)), side="right") * 4).tolist()
+            out += [ids[a:b] for a, b in zip([0, *ends], ends)]
+        return out
+
     def _learn(self, new: list[str]) -> None:
         """Ids of parts: those of their runs where the tokenizer splits as RUN does, others as the tokenizer gives them."""
         whole: list[str] = []  # letters only
@@ -110,7 +122,7 @@ class Encoder:
         low_marked = [p[:-1].lower() for p in marked]
         split = [RUN.findall(p.lower()) for p in mixed]
         unknown = list({*low, *low_marked, *(p[-1] for p in marked), *chain.from_iterable(split)}.difference(runs))
-        runs.update(zip(unknown, self._encode(self.model, unknown), strict=True))
+        runs.update(zip(unknown, self._encode_runs(unknown), strict=True))
         known = runs.__getitem__
         parts.update(zip(whole, map(known, low), strict=True))
         mark = {m: runs[m] for m in MARKS if m in runs}
@@ -121,13 +133,12 @@ class Encoder:
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        here = {*chain.from_iterable(split)}
-        new = here.difference(self.parts)
         if self.held > REMEMBERED_BYTES:
             self.parts, self.runs, self.held = {"": b""}, {}, 0
-            new = here.difference(self.parts)
+        new = {*chain.from_iterable(split)}.difference(self.parts)
         self._learn(list(new))
-        out = [b"".join(map(self.parts.__getitem__, s)) + self.end for s in split]
+        known = self.parts.__getitem__
+        out = [b"".join(map(known, s)) + self.end for s in split]
         for p in new:
             if len(p) > LONGEST:
                 del self.parts[p]
