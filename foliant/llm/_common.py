@@ -72,6 +72,15 @@ def drop_written(spark: SparkSession, df: DataFrame) -> None:
         _written.remove(entry)
 
 
+#: Rows of a few numbers each that are sent to all executors at most: less than 100 MB.
+SENT_ROWS = 1_000_000
+
+
+def sent(df: DataFrame) -> DataFrame:
+    """A written table of a few numbers a row, marked to be sent to all executors if it has at most SENT_ROWS; else the planner exchanges both sides."""
+    return F.broadcast(df) if df.count() <= SENT_ROWS else df
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """`df` without the columns that an operator is about to add, whatever their case."""
     taken = {n.lower() for n in names}
