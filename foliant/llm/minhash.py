@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliant.llm._common import by_position, column, components, drop_written, materialise, tidy
+from foliant.llm._common import by_position, column, components, drop_written, materialise, sent, tidy
 
 COORDINATES = 64
 MATCHES = 33
@@ -277,11 +277,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     listed = materialise(common.where(n >= MATCHES).select("cid", prefix.alias("prefix")).join(classes.select("cid", "signature"), "cid"))
     posts = listed.select("cid", F.explode("prefix").alias("token"))
 
-    # full sets of the classes that have any list in common with others; a table of three numbers a class, so that the
-    # planner sends it to the texts while its size is below the threshold for that, and exchanges both beyond
+    # full sets of the classes that have any list in common with others; a table of three numbers a class is sent to the
+    # texts while it is small
     wanted = materialise(classes.select("cid", F.col("one.k").alias("_k"), F.col("one.h").alias("_h")).join(listed.select("cid"), "cid", "left_semi"))
     texts = docs.select(column(key).alias("_key"), F.xxhash64(column(text)).alias("_hash"), column(text).alias("_text"))
-    found = texts.join(wanted, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_hash") == F.col("_h"))).select("cid", "_text")
+    found = texts.join(sent(wanted), F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_hash") == F.col("_h"))).select("cid", "_text")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
