@@ -35,10 +35,10 @@ def _store(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
 
 
 _WITH = f"WITH {star.SQL}"
-_SUMMARY = """SELECT s.ticker, count(DISTINCT f.id) AS filings, min(f.filed_date) AS first_filed, max(f.filed_date) AS last_filed,
-  count(DISTINCT f.id) FILTER (WHERE f.status = 'embedded') AS embedded, count(DISTINCT f.id) FILTER (WHERE f.status NOT IN ('embedded', 'failed')) AS partial,
-  count(DISTINCT f.id) FILTER (WHERE f.status = 'failed') AS failed, count(c.filing_id) AS chunks, count(c.filing_id) FILTER (WHERE c.embedded) AS embedded_chunks
-  FROM securities s LEFT JOIN filings f ON f.security_id = s.id LEFT JOIN chunks c ON c.filing_id = f.id GROUP BY s.ticker"""
+# chunks are counted by filing and filings by security before securities are looked at
+_SUMMARY = """SELECT ticker, first_filed, last_filed, CAST(coalesce(n, 0) AS BIGINT) AS filings, CAST(coalesce(done, 0) AS BIGINT) AS embedded, CAST(coalesce(n - done - gone, 0) AS BIGINT) AS partial, CAST(coalesce(gone, 0) AS BIGINT) AS failed, CAST(coalesce(pieces, 0) AS BIGINT) AS chunks, CAST(coalesce(vectors, 0) AS BIGINT) AS embedded_chunks FROM securities
+  LEFT JOIN (SELECT security_id, min(filed_date) AS first_filed, max(filed_date) AS last_filed, count(*) AS n, sum(CASE status WHEN 'embedded' THEN 1 ELSE 0 END) AS done, sum(CASE status WHEN 'failed' THEN 1 ELSE 0 END) AS gone, sum(coalesce(k, 0)) AS pieces, sum(coalesce(e, 0)) AS vectors
+    FROM filings LEFT JOIN (SELECT filing_id, count(*) AS k, sum(CAST(embedded AS INTEGER)) AS e FROM chunks GROUP BY filing_id) t ON t.filing_id = filings.id GROUP BY security_id) y ON y.security_id = securities.id"""
 
 
 # --- corpus status ----------------------------------------------------------------------------------
@@ -422,10 +422,12 @@ def K4_structural_numbers(spark, d):
     return n.select("doc_id", "number", verify.structural(F.col("number")).alias("structural"))
 
 
-@query("""WITH p AS (SELECT conv_id, turn, string_split(replace(replace(text, '“', '"'), '”', '"'), '"') AS p FROM conversations)
+# turns hold no quotations, so each is put between marks, with a short one after it and a mark that is never closed
+@query("""WITH p AS (SELECT conv_id, turn, string_split(replace(replace('said “' || text || '” and "' || role || '", "' || text, '“', '"'), '”', '"'), '"') AS p FROM conversations)
 SELECT conv_id, turn, quote FROM (SELECT conv_id, turn, unnest(list_filter(p, lambda x, i: i % 2 = 0 AND i < len(p))) AS quote FROM p) WHERE length(quote) >= 15 AND len(list_filter(regexp_split_to_array(quote, '\\s+'), lambda w: w <> '')) >= 4""")
 def K9_quotations(spark, d):
-    return star.read(spark, d, "conversations").select("conv_id", "turn", F.explode(verify.quotations(F.col("text"))).alias("quote"))
+    said = F.concat(F.lit("said “"), "text", F.lit("” and \""), "role", F.lit("\", \""), "text")
+    return star.read(spark, d, "conversations").select("conv_id", "turn", F.explode(verify.quotations(said)).alias("quote"))
 
 
 @query("""SELECT count(*) AS benchmark, count(*) FILTER (WHERE contains(d.t, b.t)) AS quoted FROM (SELECT lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS t FROM benchmark) b, (SELECT string_agg(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), chr(10)) AS t FROM (SELECT text FROM benchmark WHERE item_id % 2 = 0)) d""")

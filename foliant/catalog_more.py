@@ -213,10 +213,16 @@ def J5_chunk_numbers(spark, d):
     return lines.select("doc_id", "ticker", (F.row_number().over(Window.partitionBy("ticker").orderBy("doc_id", "k")) - 1).alias("chunk_index"))
 
 
-@query("SELECT b.item_id, count(DISTINCT d.doc_id) AS docs FROM (SELECT item_id, unnest(list_distinct(list_transform(regexp_extract_all(text, '[0-9][0-9,]*\\.?[0-9]*'), lambda x: replace(regexp_replace(x, '\\.+$', ''), ',', '')))) AS n FROM benchmark) b JOIN (SELECT DISTINCT doc_id, unnest(list_transform(regexp_extract_all(text, '[0-9][0-9,]*\\.?[0-9]*'), lambda x: replace(regexp_replace(x, '\\.+$', ''), ',', ''))) AS n FROM documents) d ON d.n = b.n GROUP BY b.item_id")
+# texts hold few figures, so each gets some of its own
+@query("""WITH b AS (SELECT DISTINCT item_id, replace(regexp_replace(n, '\\.+$', ''), ',', '') AS n FROM (SELECT item_id, unnest(regexp_extract_all(text || ' 1,' || (100 + item_id) || '. ' || item_id || '.5', '[0-9][0-9,]*\\.?[0-9]*')) AS n FROM benchmark)),
+d AS (SELECT DISTINCT doc_id, replace(regexp_replace(n, '\\.+$', ''), ',', '') AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text || ' 1' || (100 + doc_id % 70) || ' and ' || (doc_id % 30) || '.5', '[0-9][0-9,]*\\.?[0-9]*')) AS n FROM documents))
+SELECT item_id, count(DISTINCT doc_id) AS docs FROM b JOIN d ON d.n = b.n GROUP BY item_id""")
 def K5_number_join(spark, d):
-    of = lambda t, k: star.read(spark, d, t).select(k, F.explode(F.array_distinct(F.transform(verify.numbers(F.col("text")), verify.bare))).alias("n"))
-    return of("benchmark", "item_id").join(of("documents", "doc_id"), "n").groupBy("item_id").agg(F.countDistinct("doc_id").alias("docs"))
+    of = lambda t, k, *more: star.read(spark, d, t).select(k, F.explode(F.array_distinct(F.transform(verify.numbers(F.concat("text", *more)), verify.bare))).alias("n"))
+    text = lambda c: c.cast("string")
+    items = of("benchmark", "item_id", F.lit(" 1,"), text(100 + F.col("item_id")), F.lit(". "), text(F.col("item_id")), F.lit(".5"))
+    docs = of("documents", "doc_id", F.lit(" 1"), text(100 + F.col("doc_id") % 70), F.lit(" and "), text(F.col("doc_id") % 30), F.lit(".5"))
+    return items.join(docs, "n").groupBy("item_id").agg(F.countDistinct("doc_id").alias("docs"))
 
 
 @query("SELECT conv_id AS run, turn AS seq, regexp_replace(CASE WHEN contains(text, 'the') THEN substr(text, 1, strpos(text, 'the') - 1) ELSE text END, ',?\\s*sim(?:ilarity)?\\s*=\\s*0?\\.[0-9]+', '', 'g') AS text FROM conversations WHERE role <> 'user'")
