@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from foliant.catalog import _BARS, _EVAL, _FACTS, _WITH, O1_retrieval_quality, O4_extraction_checks, _bars, _facts, _gold, _ranked, _store, query
 from foliant.functions import providers, values
-from foliant.operators import calc, chunk, evaluate, facts, search, status, store, verify
+from foliant.operators import calc, evaluate, facts, search, status, store, verify
 from foliant.plans import star
 from foliant.sources import filings as sources
 
