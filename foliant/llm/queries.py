@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from foliant.llm.edit_fingerprint import op6_edit_fingerprint
+from foliant.llm.fill_middle import OP12_SQL, op12_fill_middle
 from foliant.llm.importance import op10_importance
 from foliant.llm.license_scan import op2_license_scan
 from foliant.llm.minhash import op5_minhash
@@ -26,6 +27,7 @@ QUERIES = {
         op8_suffix_dedup,
         op9_packing,
         op10_importance,
+        op12_fill_middle,
     )
 }
-SQL = {"op7_url_reputation": op7_sql()}
+SQL = {"op7_url_reputation": op7_sql(), "op12_fill_middle": OP12_SQL}
