@@ -13,6 +13,7 @@ from foliant.llm.sharding import op4_sharding
 from foliant.llm.suffix_dedup import op8_suffix_dedup
 from foliant.llm.transport_stream import op1_transport_stream
 from foliant.llm.url_reputation import op7_sql, op7_url_reputation
+from foliant.llm.vantage_points import op13_vantage_points
 
 QUERIES = {
     f.__name__: f
@@ -28,6 +29,7 @@ QUERIES = {
         op9_packing,
         op10_importance,
         op12_fill_middle,
+        op13_vantage_points,
     )
 }
 SQL = {"op7_url_reputation": op7_sql(), "op12_fill_middle": OP12_SQL}
