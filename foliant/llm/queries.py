@@ -11,6 +11,7 @@ from foliant.llm.packing import op9_packing
 from foliant.llm.piece_transducer import op3_piece_transducer
 from foliant.llm.sharding import op4_sharding
 from foliant.llm.suffix_dedup import op8_suffix_dedup
+from foliant.llm.token_alignment import op11_token_alignment
 from foliant.llm.transport_stream import op1_transport_stream
 from foliant.llm.url_reputation import op7_sql, op7_url_reputation
 from foliant.llm.vantage_points import op13_vantage_points
@@ -28,6 +29,7 @@ QUERIES = {
         op8_suffix_dedup,
         op9_packing,
         op10_importance,
+        op11_token_alignment,
         op12_fill_middle,
         op13_vantage_points,
     )
