@@ -13,10 +13,10 @@
 Everything is DataFrame operations: no Python runs on rows. All draws are hashes of a seed with a row's
 keys or a cell's place in the matrix, so a lost executor's work repeats to the same result. The rows are written once, with their blocks.
 
-Univariate draws walk the distribution from its mode, by exact ratios of neighbouring probabilities and with a state of
-three numbers: first down and up for the whole mass, then again until a uniform share of it is passed (the places in
-this order: mode and below, then above, which is as good an order for inversion as any). The walk
-reaches 8.5 standard deviations and 40 more on either side; what is beyond is less than a double's last digit.
+Univariate draws invert the distribution in the order of the distance from its mode, which is as good an order as any. The mode's
+probability comes from Stirling's series and deviances, to about 14 digits at any size; its neighbours' by exact ratios, with a state of
+four numbers. How far the walk can go is known from the uniform number: 1.4 standard deviations on average. Only where the mass within is not enough,
+the walk is repeated up to 8.5 standard deviations and 40 more; what is beyond is less than a double's last digit.
 
 Defined cases: shard sizes differ by one at most, the first shards being larger; rows are what is
 shuffled, groups of equal texts are not kept together (a uniform shuffle with exact sizes rules that
@@ -34,10 +34,9 @@ from pyspark.sql import functions as F
 
 from foliant.llm._common import by_position, materialise, without
 
-#: Rows to a block and to a range of a shard, and the most blocks, whose counts are one row's array at the root of the matrix:
-#: at 10^11 rows, blocks of 95,000 rows.
+#: Rows to a block and to a range of a shard, and how many blocks' counts are one row's array: more blocks are drawn by groups of so many first.
 BLOCK_ROWS = 4_096
-MOST_BLOCKS = 1 << 20
+GROUP_BLOCKS = 1 << 14
 #: Halvings after which the nodes are dealt to tasks anew.
 DEAL_AFTER = (1, 3, 6, 10)
 
@@ -48,44 +47,51 @@ def _uniform(*cells: Column | int) -> Column:
     return (F.shiftrightunsigned(h, 11).cast("double") + F.lit(0.5)) / F.lit(float(1 << 53))
 
 
+def _double(x: float) -> str:
+    return f"{x!r}D"
+
+
+#: What follows is SQL, as a draw is many small steps; a one-element array and a lambda name what is used more than once.
+#: ln y! less y ln y - y: by the factorial itself up to 15 (0 for 0), then by Stirling's series, whose next term is below a double's last digit.
+_HALF_LOG = f"""CASE WHEN c.y <= 0 THEN 0D WHEN c.y <= 15 THEN ln(cast(factorial(cast(c.y AS int)) AS double)) - c.y * ln(c.y) + c.y
+  ELSE 0.5D * ln(c.y * {_double(2 * math.pi)}) + 1D / c.y * ({_double(1 / 12)} - 1D / c.y / c.y * ({_double(1 / 360)} - 1D / c.y / c.y * ({_double(1 / 1260)} - 1D / c.y / c.y * {_double(1 / 1680)}))) END"""
+#: y ln(y / mean) + mean - y, without loss of digits where y is near its mean: a series in v = (y - mean) / (y + mean). No mean, no deviance.
+_TAIL = "0D"
+for _j in range(8, 0, -1):
+    _TAIL = f"c.v * c.v * ({_double(1 / (2 * _j + 1))} + {_TAIL})"
+_DEVIANCE = f"CASE WHEN c.mean IS NULL THEN 0D WHEN c.y <= 0 THEN c.mean WHEN abs(c.v) < 0.1D THEN (c.y - c.mean) * c.v + 2 * c.y * c.v * {_TAIL} ELSE c.y * ln(c.y / c.mean) + c.mean - c.y END"
+
+_START = """x -> struct(x.k AS k, x.b AS b, x.n AS n, x.u AS u, greatest(0L, x.n - x.b) AS low, least(x.n, x.k) AS high, greatest(x.k + x.b, 1L) * 1D AS total)"""
+_MODE = """x -> struct(x.k AS k, x.b AS b, x.n AS n, x.u AS u, x.low AS low, x.high AS high,
+  greatest(x.low, least(x.high, cast(floor((x.n + 1D) * (x.k + 1D) / (x.k + x.b + 2D)) AS bigint))) AS m, x.n / x.total AS share,
+  sqrt(x.n * (x.k / x.total) * (x.b / x.total) * (x.total - x.n) / greatest(x.total - 1, 1D)) AS spread)"""
+_MARGINS, _CELLS = ("x.k", "x.b", "x.n", "x.k + x.b - x.n"), (("x.m", "x.k * x.share"), ("x.k - x.m", "x.k * (1 - x.share)"), ("x.n - x.m", "x.b * x.share"), ("x.b - x.n + x.m", "x.b * (1 - x.share)"))
+_TERMS = ", ".join(f"struct(({y}) * 1D AS y, {mean} AS mean, {sign}D AS sign)" for y, mean, sign in (*((y, "cast(null AS double)", 1) for y in _MARGINS), ("x.k + x.b", "cast(null AS double)", -1), *((y, mean, -1) for y, mean in _CELLS)))
+#: With the probability of the mode: a sum over the margins, and over the four cells with what is expected in them.
+_MASS = f"""x -> struct(x.k AS k, x.b AS b, x.n AS n, x.u AS u, x.m AS m, x.spread AS spread, greatest(x.m - x.low, x.high - x.m) AS most,
+  exp(aggregate(transform(array(
+      {_TERMS}),
+    c -> struct(c.y AS y, c.mean AS mean, c.sign AS sign, coalesce(try_divide(c.y - c.mean, c.y + c.mean), 0D) AS v)),
+    0D, (z, c) -> z + c.sign * ({_HALF_LOG} + {_DEVIANCE}))) AS p)"""
+#: struct(at, left) of a walk: the place found (null: none yet) and what is left of u. Beyond an end a factor is 0, and so is all that follows.
+_WALK = """aggregate(if(steps > 0, sequence(1L, steps), cast(array() AS array<bigint>)),
+  struct(s.p AS above, s.p AS below, s.u - s.p AS left, if(s.u < s.p, s.m, cast(null AS bigint)) AS at),
+  (z, i) -> if(z.at IS NOT NULL, z, transform(array(struct(
+      z.above * (greatest(s.k - s.m - i + 1, 0L) * 1D * greatest(s.n - s.m - i + 1, 0L)) / ((s.m + i) * 1D * (s.b - s.n + s.m + i)) AS above,
+      z.below * (greatest(s.m - i + 1, 0L) * 1D * greatest(s.b - s.n + s.m - i + 1, 0L)) / ((s.k - s.m + i) * 1D * (s.n - s.m + i)) AS below)),
+    y -> struct(y.above AS above, y.below AS below, z.left - y.above - y.below AS left, CASE WHEN z.left < y.above THEN s.m + i WHEN z.left < y.above + y.below THEN s.m - i END AS at))[0]))"""
+#: A walk as long as the share asks for; only where the law's tail is heavier than the bound's, one over all that is within 8.5 standard deviations.
+STEPS = "cast(ceil(1.1D * spread * sqrt(-2 * ln(1 - u))) AS bigint) + 16"
+_FOUND = f"""s -> coalesce(aggregate(array(least(s.most, cast(ceil(s.spread * 8.5D) AS bigint) + 40, {STEPS.replace("spread", "s.spread").replace("u))", "s.u))")}), least(s.most, cast(ceil(s.spread * 8.5D) AS bigint) + 40)),
+  cast(null AS bigint), (found, steps) -> if(found IS NOT NULL, found, {_WALK}.at)), s.m)"""
+
+
 def hypergeometric(good: Column, bad: Column, draws: Column, u: Column) -> Column:
-    """How many of `draws` from `good` + `bad` items without return are good: the count at which the distribution function passes `u`."""
-    x = F.struct(good.cast("long").alias("k"), bad.cast("long").alias("b"), draws.cast("long").alias("n"), u.alias("u"))
-
-    def window(s: Column) -> Column:
-        k, b, n = s["k"].cast("double"), s["b"].cast("double"), s["n"].cast("double")
-        total = k + b
-        low, high = F.greatest(F.lit(0), s["n"] - s["b"]), F.least(s["n"], s["k"])
-        mode = F.floor((n + 1) * (k + 1) / (total + 2)).cast("long")
-        share = k / F.greatest(total, F.lit(1.0))
-        spread = F.sqrt(n * share * (1 - share) * (total - n) / F.greatest(total - 1, F.lit(1.0)))
-        reach = F.ceil(spread * 8.5).cast("long") + 40
-        mode = F.greatest(low, F.least(high, mode))
-        # places as steps away from the mode: 0, 1, ... below, then 1, 2, ... above
-        return F.struct(s["k"].alias("k"), s["b"].alias("b"), s["n"].alias("n"), s["u"].alias("u"), mode.alias("m"), F.least(mode - low, reach).alias("below"), F.least(high - mode, reach).alias("above"))
-
-    def walked(s: Column, goal: Column) -> Column:
-        """State after a walk: the mass of the last place, the mass of those before it, and how many of these end below `goal`."""
-        k, b, n, m = s["k"].cast("double"), s["b"].cast("double"), s["n"].cast("double"), s["m"].cast("double")
-
-        def place(z: Column, i: Column) -> Column:
-            down = i <= s["below"]
-            d = F.when(down, m - i + 1).otherwise(m + i - s["below"] - 1)  # where the walk comes from
-            ratio = F.when(down, (d * (b - n + d)) / ((k - d + 1) * (n - d + 1))).otherwise(((k - d) * (n - d)) / ((d + 1) * (b - n + d + 1)))
-            p = F.when(i == 0, 1.0).otherwise(F.when(i == s["below"] + 1, 1.0).otherwise(z["p"]) * ratio)
-            return F.struct(p.alias("p"), (z["sum"] + z["p"]).alias("sum"), F.when(z["sum"] + z["p"] < goal, z["passed"] + 1).otherwise(z["passed"]).alias("passed"))
-
-        start = F.struct(F.lit(0.0).alias("p"), F.lit(0.0).alias("sum"), F.lit(-1).cast("long").alias("passed"))
-        return F.aggregate(F.sequence(F.lit(0).cast("long"), s["below"] + s["above"]), start, place)
-
-    def invert(y: Column) -> Column:
-        s = y["s"]
-        passed = walked(s, s["u"] * (y["end"]["sum"] + y["end"]["p"]))["passed"]
-        return F.transform(F.array(passed), lambda j: F.when(j <= s["below"], s["m"] - j).otherwise(s["m"] + j - s["below"]))[0]
-
-    # one-element arrays name the steps, so that none is written out again where it is used twice
-    measured = F.transform(F.transform(F.array(x), window), lambda s: F.struct(s.alias("s"), walked(s, F.lit(0.0)).alias("end")))
-    return F.transform(measured, invert)[0]
+    """How many of `draws` from `good` + `bad` items without return are good: places in order of their distance from the mode, the upper first, until their mass passes `u`."""
+    out = F.array(F.struct(good.cast("long").alias("k"), bad.cast("long").alias("b"), draws.cast("long").alias("n"), u.alias("u")))
+    for step in (_START, _MODE, _MASS, _FOUND):
+        out = F.call_function("transform", out, F.expr(step))
+    return out[0]
 
 
 def _taken(seed: int, level: int):
@@ -102,19 +108,27 @@ def _taken(seed: int, level: int):
 def communication_matrix(counts: DataFrame, blocks: int, shards: int, rows: int, seed: int = 7) -> DataFrame:
     """(block, to): `to[s]` rows of each block go to shard s.
 
-    counts: (block int from 0, n long), blocks without rows left out; rows: their sum. The root's array of block
-    counts has at most MOST_BLOCKS numbers, whatever the size of the input.
+    counts: (block int from 0, n long), blocks without rows left out; rows: their sum. Blocks beyond GROUP_BLOCKS are drawn in
+    groups, whose counts are a matrix of their own, so that no row holds more than so many counts, whatever the size of the input.
     """
-    width = 1 << max(0, math.ceil(math.log2(max(blocks, 1))))
-    room = F.expr(f"transform(sequence(0, {shards - 1}), s -> cast({rows // shards} + if(s < {rows % shards}, 1, 0) as bigint))")
+    if blocks > GROUP_BLOCKS:
+        width = GROUP_BLOCKS
+        grouped = counts.select(F.expr(f"block div {width}").cast("int").alias("group"), (F.col("block") % width).alias("place"), "n")
+        above = communication_matrix(grouped.groupBy(F.col("group").alias("block")).agg(F.sum("n").alias("n")), -(-blocks // width), shards, rows, seed + 1_000_003)
+        by = grouped.groupBy("group").agg(F.map_from_entries(F.collect_list(F.struct("place", "n"))).alias("by"))  # GROUP_BLOCKS counts at most
+        root = by.join(above.select(F.col("block").alias("group"), F.col("to").alias("room")), "group").select((F.col("group") * width).alias("first"), "by", "room")
+    else:
+        width = 1 << max(0, math.ceil(math.log2(max(blocks, 1))))
+        room = F.expr(f"transform(sequence(0, {shards - 1}), s -> cast({rows // shards} + if(s < {rows % shards}, 1, 0) as bigint))")
+        by = counts.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("block", "n"))).alias("by"))
+        root = by.select(F.lit(0).alias("first"), "by", room.alias("room"))
     # one array of counts per block number in order; a block without rows has 0
-    root = counts.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("block", "n"))).alias("by"))
-    node = root.select(F.lit(0).alias("first"), F.expr(f"transform(sequence(0, {width - 1}), i -> coalesce(try_element_at(by, i), 0L))").alias("n"), room.alias("room"))
+    node = root.select("first", F.expr(f"transform(sequence(0, {width - 1}), i -> coalesce(try_element_at(by, i), 0L))").alias("n"), "room")
     level, halvings = width, 0
     while level > 1:
         level //= 2
         if halvings in DEAL_AFTER:  # a number of tasks is named, as the rows are few and small but dear
-            node = node.repartition(1 << halvings, "first")
+            node = node.repartition((1 << halvings) * max(1, -(-blocks // GROUP_BLOCKS)), "first")
         halvings += 1
         left = F.slice(F.col("n"), 1, level)
         node = node.select("first", "n", "room", F.aggregate(left, F.lit(0).cast("long"), lambda z, x: z + x).alias("take"))
@@ -149,7 +163,7 @@ def shuffle(df: DataFrame, keys: list[str], shards: int, seed: int = 7, block_ro
         hashed = hashed.withColumn("row", F.monotonically_increasing_id()).join(often, "key", "left").withColumn("part", F.when(F.col("n").isNull(), F.lit(0)).otherwise(F.xxhash64("row"))).drop("row", "n")
     hashed = materialise(hashed)
     rows = hashed.count()
-    blocks = max(1, min(MOST_BLOCKS, -(-rows // block_rows)))
+    blocks = max(1, -(-rows // block_rows))
     hashed = hashed.withColumn("block", F.pmod(F.xxhash64("key", "part"), F.lit(blocks)).cast("int"))
     counts = hashed.groupBy("block").agg(F.count("*").alias("n"))
     # cut points within each block: shard s takes ranks up to its running sum

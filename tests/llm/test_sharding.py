@@ -1,5 +1,4 @@
 import math
-import time
 from math import comb
 
 import numpy as np
@@ -16,15 +15,46 @@ def test_univariate_law_is_exact(spark):
     assert {tuple(r) for r in edge.collect()} == {(0, 3, 0, 4)}
 
 
-def test_a_draw_at_the_root_of_a_billion_rows_is_fast_and_right(spark):
-    room, rows, n = 25_000_000, 1_000_000_000, 60  # one of 40 shards, half of all rows
-    draw = lambda n: spark.range(n).repartition(1).select(sh.hypergeometric(F.lit(room), F.lit(rows - room), F.lit(rows // 2), (F.col("id") + 0.5) / n).alias("x")).collect()
-    draw(5)
-    began = time.time()
-    x = np.array([r.x for r in draw(n)])
-    assert (time.time() - began) / n < 0.2  # of one task; 0.05 measured alone
-    spread = math.sqrt(rows // 2 * (room / rows) * (1 - room / rows) * (rows // 2) / (rows - 1))
-    assert abs(x.mean() - room / 2) < 0.1 * spread and 0.9 < x.std() / spread < 1.05
+def test_a_draw_at_the_root_takes_few_steps_and_is_right(spark):
+    n = 400
+    for rows in (1_000_000_000, 100_000_000_000):  # one of 40 shards, half of all rows
+        room = rows // 40
+        spread = math.sqrt(rows // 2 * (room / rows) * (1 - room / rows) * (rows // 2) / (rows - 1))
+        u = (F.col("id") + 0.5) / n
+        steps = [r[0] for r in spark.range(n).select(F.lit(spread).alias("spread"), u.alias("u")).select(F.expr(sh.STEPS)).collect()]
+        assert sum(steps) / n < 1.5 * spread + 20 and max(steps) < 4.1 * spread  # a walk over both tails and again was 34
+    rows, room = 1_000_000_000, 25_000_000
+    spread = math.sqrt(rows // 2 * 0.025 * 0.975 / 2)
+    x = np.array([r.x for r in spark.range(n).select(sh.hypergeometric(F.lit(room), F.lit(rows - room), F.lit(rows // 2), (F.col("id") + 0.5) / n).alias("x")).collect()])
+    assert abs(x.mean() - room / 2) < 0.15 * spread and 0.93 < x.std() / spread < 1.05
+    far = np.sort(np.abs(x - room / 2) / spread)  # the larger u, the farther from the mode: quantiles of the normal law's absolute value
+    assert abs(far[n // 2] - 0.6745) < 0.02 and abs(far[int(0.9 * n)] - 1.645) < 0.03
+
+
+def test_mass_of_the_mode(spark):
+    cases = [(30, 20, 12), (1, 1, 1), (0, 5, 3), (5, 0, 3), (4, 4, 8), (400, 1, 200), (7, 900, 450), (2000, 3000, 2500), (16, 15, 17)]
+    df = spark.createDataFrame([(k, b, n, i) for i, (k, b, n) in enumerate(cases)], "k long, b long, n long, i int")
+    asked = []
+    for r in df.select("k", "b", "n", sh.hypergeometric(F.col("k"), F.col("b"), F.col("n"), F.lit(0.0)).alias("m")).collect():
+        p = comb(r.k, r.m) * comb(r.b, r.n - r.m) / comb(r.k + r.b, r.n)
+        asked += [(r.k, r.b, r.n, min(p * (1 - eps), 1 - 1e-16), r.m, eps > 0 or p == 1) for eps in (1e-12, -1e-12)]
+    told = spark.createDataFrame(asked, "k long, b long, n long, u double, m long, same boolean")
+    for r in told.withColumn("x", sh.hypergeometric(F.col("k"), F.col("b"), F.col("n"), F.col("u"))).collect():
+        assert (r.x == r.m) == r.same, r
+
+
+def test_blocks_in_groups_keep_both_margins(spark, monkeypatch):
+    monkeypatch.setattr(sh, "GROUP_BLOCKS", 4)
+    sizes = [(i * 7) % 11 for i in range(37)]
+    counts = spark.createDataFrame([(i, n) for i, n in enumerate(sizes) if n], "block int, n long")
+    m = np.zeros((37, 3))
+    for r in sh.communication_matrix(counts, 37, 3, sum(sizes), 5).collect():
+        m[r.block] = r.to
+    assert m.sum(axis=1).tolist() == sizes and sorted(m.sum(axis=0).tolist()) == sorted(len(range(i, sum(sizes), 3)) for i in range(3))
+    rows = sh.shuffle(spark.range(500), ["id"], 6, block_rows=10).collect()
+    assert sorted(r.id for r in rows) == list(range(500))
+    for s in range(6):
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(84 if s < 2 else 83))
 
 
 def test_hot_rows_and_names(spark):
