@@ -572,3 +572,4 @@ def Q1_embed(spark, d):
 from foliant import catalog_checks as _checks  # noqa: E402, F401  these register their queries
 from foliant import catalog_more as _more  # noqa: E402, F401
 from foliant import catalog_search as _search  # noqa: E402, F401
+from foliant import catalog_lexical as _lexical  # noqa: E402, F401
