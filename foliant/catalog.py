@@ -573,3 +573,4 @@ from foliant import catalog_checks as _checks  # noqa: E402, F401  these registe
 from foliant import catalog_more as _more  # noqa: E402, F401
 from foliant import catalog_search as _search  # noqa: E402, F401
 from foliant import catalog_lexical as _lexical  # noqa: E402, F401
+from foliant import catalog_vectors as _vector_index  # noqa: E402, F401
