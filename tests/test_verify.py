@@ -4,6 +4,7 @@ from itertools import combinations, product
 
 from foliant import catalog, catalog_checks
 from foliant.operators import verify
+from pyspark.sql import functions as F
 
 CHUNK = "Revenue was $3,420.5 thousand against 1,283.2 and 2,344.63; 1,364.1 in 2024; 10874.36 in all; 877,433 and 615,433; 1,271 and 66,295."
 SCHEMA = "id long, answer string, chunks array<struct<id:int,text:string>>, computed array<double>, rejected array<struct<value:double,reason:string>>"
@@ -118,3 +119,46 @@ def test_quotations_are_found_in_documents(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = catalog.K10_quotes_in_documents(spark, str(tmp_path)).orderBy("item_id").collect()
     assert [tuple(r) for r in got] == [(1, 2, 5), (2, 0, None)]
+
+
+def test_keys_find_what_all_pairs_find(spark):
+    """Figures against all numbers of their sources by the three rules, whatever their decimals, ties and scales."""
+    r = random.Random(3)
+
+    def number():
+        x = r.choice([r.uniform(0, 3), r.uniform(0, 2000), r.uniform(1e5, 1e7), r.uniform(1e8, 1e12), r.choice([0.05, 0.1, 0.125, 0.25, 0.45, 2.65, 99.5, 100.5, 1000.5])])
+        return f"{x:.{r.choice([0, 0, 1, 1, 2, 3])}f}"
+
+    rows = []
+    for i in range(60):
+        told = [number() for _ in range(25)]
+        near = [f"{float(x) * r.choice([1, 1000, 1e6, 1e-3, 1e-6]) * r.choice([1, 1, 1.0003, 1.0005, 0.9996]) + r.choice([0, 0, 0.5, 0.05, -0.05, 0.005]):.{r.choice([0, 1, 2, 3, 5])}f}" for x in told if r.random() < 0.6]
+        rows.append((i, "; ".join(told), [(7, " ".join(x for x in near[::2] if "-" not in x)), (9, " ".join(x for x in near[1::2] if "-" not in x) + " 4465758382889437")], [], []))
+    rows.append((60, "4465758382889437 and 0.05 and 0.0500", [(1, "4465758382889437 0.0000001")], [], []))
+    schema = "id int, answer string, chunks array<struct<id:int,text:string>>, computed array<double>, rejected array<struct<value:double,reason:string>>"
+    given = verify._given(spark.createDataFrame(rows, schema), "id")
+    got = {(x.key, x.raw): (x["class"], x.chunk) for x in verify._classed(given).collect()}
+
+    def dec(t):
+        return min(len(t.split(".")[1]), 15) if "." in t else 0
+
+    hits = 0
+    for i, answer, chunks, _, _ in rows:
+        sources = [(float(t), dec(t), "." in t, c) for c, text in chunks for t in text.split() if float(t) > 0]
+        for raw in set(answer.replace(" and ", "; ").split("; ")):
+            v, half = float(raw), 0.5 * 10.0 ** -dec(raw)
+            if (v == int(v) and v < 100) or (len(raw) == 4 and raw[:2] in ("19", "20")):
+                assert got[i, raw][0] == "skipped"
+                continue
+            one = [c for s, d, dot, c in sources if abs(s - v) <= half or (v == int(v) and dot and int(s) == v) or (v != int(v) and d in (1, 2) and abs(s - v) <= 0.5 * 10.0**-d)]
+            other = any(abs(s / k - v) <= half for s, *_ in sources for k in (1e3, 1e6)) or any(abs(v * (1 / k) - s) <= s * 0.0005 for s, *_ in sources for k in (1e3, 1e6))
+            want = ("verified", one[0]) if one else ("verified", -2) if other else ("unverified", None)
+            assert got[i, raw] == want, (raw, sources)
+            hits += want[0] == "verified"
+    assert hits > 300
+
+
+def test_a_figure_asks_for_few_keys(spark):
+    figures = ["0.05", "0.1", "0.5", "18.1", "0.0001", "345,678.9", "100", "4465758382889437", "99.95", "3.14159265358979", "1000000.00"]
+    rows = spark.createDataFrame([(x.replace(",", ""),) for x in figures], "t string").select(F.col("t").cast("double").alias("v"), verify.decimals(F.col("t")).alias("shown"))
+    assert max(r[0] for r in rows.select(F.size(verify._asked())).collect()) <= 9
