@@ -119,3 +119,27 @@ UNION ALL SELECT r.ticker, n.i, n.bars, r.f + 2.0 / 13 * (n.close - r.f), r.s +
 SELECT ticker, round(CASE WHEN bars > 14 THEN CASE WHEN down = 0 THEN CASE WHEN up = 0 THEN 50.0 ELSE 100.0 END ELSE 100 - 100 / (1 + up / down) END END, 6) AS rsi_14, round(f - s, 6) AS macd, round(g, 6) AS macd_signal, round(f - s - g, 6) AS macd_histogram FROM r WHERE i = bars""")
 def F5_rsi_macd(spark, d):
     return indicators.indicators(_bars(spark, d)).select("ticker", "rsi_14", "macd", "macd_signal", "macd_histogram")
+
+
+# all events as one series, and by user: folds over lists in SQL
+_FOLDED = """b AS (SELECT {0} AS ticker, event_id AS ts, CAST(round(value, 2) AS DOUBLE) AS x FROM events),
+m AS (SELECT ticker, ts, x, x - lag(x) OVER w AS move, row_number() OVER w AS i FROM b WINDOW w AS (PARTITION BY ticker ORDER BY ts)),
+l AS (SELECT ticker, count(*) AS n, list({{'f': x, 's': x, 'g': CAST(0 AS DOUBLE)}} ORDER BY ts) AS c, sum(greatest(move, 0.0)) FILTER (WHERE i BETWEEN 2 AND 15) / 14 AS u, sum(greatest(-move, 0.0)) FILTER (WHERE i BETWEEN 2 AND 15) / 14 AS d,
+  list({{'u': greatest(move, 0.0), 'd': greatest(-move, 0.0)}} ORDER BY ts) FILTER (WHERE i > 15) AS moves FROM m GROUP BY ticker),
+e AS (SELECT ticker, n, list_reduce(c, lambda z, y: {{'f': z.f + 2.0 / 13 * (y.f - z.f), 's': z.s + 2.0 / 27 * (y.s - z.s), 'g': z.g + 2.0 / 10 * (z.f + 2.0 / 13 * (y.f - z.f) - (z.s + 2.0 / 27 * (y.s - z.s)) - z.g)}}) AS z,
+  CASE WHEN n > 14 THEN list_reduce(list_concat([{{'u': u, 'd': d}}], coalesce(moves, [])), lambda z, y: {{'u': (13 * z.u + y.u) / 14, 'd': (13 * z.d + y.d) / 14}}) END AS r FROM l)
+SELECT ticker, round(CASE WHEN n > 14 THEN CASE WHEN r.d = 0 THEN CASE WHEN r.u = 0 THEN 50.0 ELSE 100.0 END ELSE 100 - 100 / (1 + r.u / r.d) END END, {1}) AS rsi_14, round(z.f - z.s, {1}) AS macd, round(z.g, {1}) AS macd_signal, round(z.f - z.s - z.g, {1}) AS macd_histogram FROM e"""
+
+
+def _series(spark, d, ticker):
+    return star.read(spark, d, "events").select(ticker.alias("ticker"), F.col("event_id").alias("ts"), F.round("value", 2).alias("close"))
+
+
+@query(f"WITH {_FOLDED.format(chr(39) + 'all' + chr(39), 6)}")
+def F5_one_long_series(spark, d):
+    return indicators.scanned(_series(spark, d, F.lit("all")))
+
+
+@query(f"WITH {_FOLDED.format('CAST(user_id AS VARCHAR)', 6)}")
+def F6_scanned_series(spark, d):
+    return indicators.scanned(_series(spark, d, F.col("user_id").cast("string")))
