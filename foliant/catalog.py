@@ -575,3 +575,4 @@ from foliant import catalog_search as _search  # noqa: E402, F401
 from foliant import catalog_lexical as _lexical  # noqa: E402, F401
 from foliant import catalog_vectors as _vector_index  # noqa: E402, F401
 from foliant import catalog_sections as _sections  # noqa: E402, F401
+from foliant import catalog_runs as _runs  # noqa: E402, F401

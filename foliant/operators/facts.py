@@ -79,3 +79,38 @@ def coverage(items: DataFrame) -> DataFrame:
     """items (run, item, part, gapped): INSUFFICIENT_EVIDENCE if more than 4 items have gaps in all parts or part a of item 10 has; else OPEN to a verdict."""
     by = items.groupBy("run", "item").agg(F.bool_and("gapped").alias("full"), F.bool_or((F.col("item") == 10) & (F.col("part") == "a") & F.col("gapped")).alias("key"))
     return by.groupBy("run").agg(F.count_if("full").alias("full_gaps"), F.when((F.count_if("full") > 4) | F.bool_or("key"), "INSUFFICIENT_EVIDENCE").otherwise("OPEN").alias("gate"))
+
+
+#: The item (and its part) on internal controls, the item on earnings quality, and how many items may be gaps.
+CONTROLS, EARNINGS, MOST_GAPS = (10, "a"), 11, 4
+INSUFFICIENT, IMPAIRED, MIXED, CLEAN = "INSUFFICIENT_EVIDENCE", "IMPAIRED", "MIXED", "CLEAN"
+
+
+def verdict(items: DataFrame) -> DataFrame:
+    """items (run, item, part, finding: gap, clear or flag, explained) to (run, full_gaps, flags, verdict, rule): the first rule that holds decides.
+
+    A part is a gap if all its rows are, flagged if any is, and explained if all its flags are; an item is a gap if all its parts are, and flagged
+    throughout if all are. Other findings, null too, count as gaps; a flag whose explanation is null has none; a run without items has no row.
+    """
+    flag, gap = F.col("finding") == "flag", ~F.coalesce(F.col("finding").isin("clear", "flag"), F.lit(False))
+    parts = items.groupBy("run", "item", "part").agg(F.bool_and(gap).alias("gap"), F.coalesce(F.bool_or(flag), F.lit(False)).alias("flag"), F.coalesce(F.bool_and(F.when(flag, F.coalesce("explained", F.lit(False)))), F.lit(True)).alias("explained"))
+    controls = (F.col("item") == CONTROLS[0]) & (F.col("part") == CONTROLS[1])
+    told = parts.groupBy("run", "item").agg(
+        F.bool_and("gap").alias("gap"), F.count_if("flag").alias("flags"), F.bool_and("flag").alias("throughout"), F.bool_and("explained").alias("explained"),
+        F.coalesce(F.bool_or(controls & F.col("gap")), F.lit(False)).alias("unknown"), F.coalesce(F.bool_or(controls & F.col("flag")), F.lit(False)).alias("weak"),
+    )
+    runs = told.groupBy("run").agg(
+        F.count_if("gap").alias("full_gaps"), F.sum("flags").alias("flags"), F.bool_or("unknown").alias("unknown"), F.bool_or("weak").alias("weak"),
+        F.bool_or((F.col("item") == EARNINGS) & F.col("throughout")).alias("persistent"), F.bool_and("explained").alias("explained"),
+    )
+    rules = (
+        ("too many gaps", F.col("full_gaps") > MOST_GAPS, INSUFFICIENT),
+        ("controls unknown", F.col("unknown"), INSUFFICIENT),
+        ("material weakness", F.col("weak"), IMPAIRED),
+        ("persistent accrual gap", F.col("persistent"), IMPAIRED),
+        ("unexplained divergence", ~F.col("explained"), IMPAIRED),
+        ("isolated flags", F.col("flags") > 0, MIXED),
+        ("no flags", F.lit(True), CLEAN),
+    )
+    decided = F.coalesce(*[F.when(holds, F.struct(F.lit(v).alias("verdict"), F.lit(name).alias("rule"))) for name, holds, v in rules])
+    return runs.select("run", "full_gaps", "flags", decided.alias("d")).select("run", "full_gaps", "flags", "d.verdict", "d.rule")
