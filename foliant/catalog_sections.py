@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from foliant.catalog import query
@@ -28,13 +27,16 @@ out AS (SELECT id, CASE WHEN form IN ({_LIST(repr(f) for f in parse.ANNUAL_FOREI
   UNION ALL SELECT id, 'Unknown > Full Document', 0, string_agg(text, chr(10) || chr(10) ORDER BY block) FROM b WHERE id IN (SELECT id FROM r) GROUP BY id)"""
 
 
+def _title(i):
+    nth, of = i % 5, F.floor(i / 5).cast("int")
+    return F.when(nth == 0, F.concat(F.lit("Item "), (of % 16 + 1).cast("string"), F.lit(". Title of "), (of % 3).cast("string"))).when(nth == 2, "ITEM 7A —").when(nth == 3, "Item 3. see Item 4").when(nth == 4, "Item 5: as before").otherwise("")
+
+
 def _blocks(spark, d):
-    lines = star.read(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    nth = F.col("i") % 5
-    title = F.when(nth == 0, F.concat(F.lit("Item "), ((F.col("i") / 5).cast("int") % 16 + 1).cast("string"), F.lit(". Title of "), ((F.col("i") / 5).cast("int") % 3).cast("string"))).when(nth == 2, "ITEM 7A —").when(nth == 3, "Item 3. see Item 4").when(nth == 4, "Item 5: as before")
-    each = lines.select("document_id", "i", F.posexplode(F.array(title, F.trim(F.regexp_replace("line", r"\s+", " ")))).alias("o", "text")).where("text <> ''")
-    form = F.get(F.array(*map(F.lit, ("10-K", "20-F", "10-Q", "8-K"))), (F.col("document_id") % 4).cast("int"))
-    return each.select("document_id", (F.row_number().over(Window.partitionBy("document_id").orderBy("i", "o")) - 1).alias("block"), "text", form.alias("form_type"))
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.array(_title(i), F.trim(F.regexp_replace(x, r"\s+", " "))))
+    form = F.get(F.array(*map(F.lit, ("10-K", "20-F", "10-Q", "8-K"))), (F.col("doc_id") % 4).cast("int"))
+    blocks = F.filter(F.flatten(lines), lambda x: x != "")
+    return star.read(spark, d, "documents").select(F.col("doc_id").alias("document_id"), form.alias("form_type"), F.posexplode(blocks).alias("block", "text"))
 
 
 @query(f"WITH {_SECTIONS} SELECT id AS document_id, path, CAST(o AS INTEGER) AS \"order\", length(content) AS characters, md5(content) AS content_md5 FROM out")
