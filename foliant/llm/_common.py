@@ -17,7 +17,7 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; only where that is unset, one in the warehouse, which is shared too."""
+    """The folder that the cluster names in spark.checkpoint.dir; only where that is unset, as in tests, one in the warehouse, which a cluster then has to place where all machines reach it."""
     sc = spark.sparkContext
     at = sc.getCheckpointDir()
     if at is None:

@@ -110,7 +110,7 @@ def rule_map(charsmap: bytes) -> dict[str, str]:
 
 
 class Normaliser:
-    """The transducer from a text to what is cut into pieces. Where all rules read one character, it has one state, and a translation table runs it."""
+    """From a text to what is cut into pieces: the rules' longest matches from left to right, run before the composition. Where all rules read one character, a translation table does it."""
 
     def __init__(self, spec: bytes):
         told = dict(_fields(spec))

@@ -2,7 +2,8 @@
 
 Suffixes are compared by prefix polynomial hashes: with the running sums of byte values times powers of a
 base, modulo 2^64, the hash of any substring takes one subtraction and one product, so two suffixes
-compare at any extent in constant time, and how far they agree is a binary search over extents.
+compare at any extent in constant time. Here that is the extent of 200 bytes: suffixes are grouped by it, not ordered at
+every extent, so there is no binary search for how far two agree.
 Sorting all suffixes of a large corpus is not affordable, and not needed to find repeats of 200 bytes:
 
 1. Sampled suffixes. In each window of 200 bytes the 73-byte substring with the least hash is its anchor
