@@ -577,3 +577,4 @@ from foliant import catalog_vectors as _vector_index  # noqa: E402, F401
 from foliant import catalog_sections as _sections  # noqa: E402, F401
 from foliant import catalog_runs as _runs  # noqa: E402, F401
 from foliant import catalog_states as _states  # noqa: E402, F401
+from foliant import catalog_store as _stored  # noqa: E402, F401
