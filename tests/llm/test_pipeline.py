@@ -68,3 +68,23 @@ def test_stages_on_odd_rows_and_names(spark, stage):
         assert ids[1] == ids[2] == ids[3] == ids[7] == 1 and not ids[4] and not ids[5] and not ids[6]
         assert {r.doc_id: r.text for r in out}[None] == " ende"
     assert stage[1](spark, df.limit(0), SF).count() == 0
+
+
+def test_packed_on_odd_rows_and_names(spark):
+    rows = [(1, None), (2, ""), (3, " \n"), (5, "der rat und " * 40), (5, "der rat und " * 40), (None, "ende"), (6, "der Rat " * 20_000), (7, "kurz und gut")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", *[f"{i} as `{n}`" for i, n in enumerate(NAMES) if n not in ("start", "length")], "'x' AS sequence_id", "1 AS offset")
+    out = cp.packed(spark, df, SF).collect()
+    held, room = Counter(), {}
+    for r in out:
+        held[r.doc_id] += r.length
+        room.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    whole = {r.doc_id: r.doc_tokens for r in out}
+    assert set(whole) == {1, 2, 3, 5, None, 6, 7} and whole[1] == whole[2] == whole[3] == 1 and whole[6] > 4096
+    assert all(held[k] == n * (2 if k == 5 else 1) for k, n in whole.items())
+    for pieces in room.values():
+        assert sum(n for _, n in pieces) <= 4096
+        at = 0
+        for offset, n in sorted(pieces):
+            assert offset == at
+            at += n
+    assert cp.packed(spark, df.limit(0), SF).count() == 0
