@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from foliant.catalog import query
 from foliant.functions.shared import new_path, written
-from foliant.operators import calc, digest, extract, facts
-from foliant.plans import checkpoints, star
+from foliant.operators import calc, digest, extract, facts, news
+from foliant.plans import analysis, checkpoints, star
 from foliant.sources.versions import Revision, Versions, fields
 
 # --- verdicts ---------------------------------------------------------------------------------------
@@ -170,3 +170,23 @@ def Q5_planned_batches(spark, d):
 FROM f JOIN s ON s.run = f.run AND batch = floor(position / 5) AND status = 'called'""")
 def Q5_digest(spark, d):
     return digest.digest(_feed(spark, d), F.lit("Acme"), _GOOD, _BAD, 0.009, 5)
+
+
+# --- analyses ---------------------------------------------------------------------------------------
+
+_LEGS = {"technical": fields("ticker string, mean double"), "news": fields("ticker string, sentiment string, relevance string"), "sentiment": fields("ticker string, positive long, negative long, neutral long, net double, excluded long"), "memo": analysis.MEMO}
+
+
+@query("""WITH u AS (SELECT CAST(user_id AS VARCHAR) AS ticker, count(*) AS n, count(*) FILTER (WHERE event_type IN ('view', 'purchase') AND value > 60) AS stories FROM events GROUP BY user_id)
+SELECT ticker, concat_ws(',', CASE WHEN n >= 65 THEN 'technical' END, CASE WHEN stories > 0 THEN 'news' END) AS evidence,
+concat_ws(',', 'fundamentals: did not run', CASE WHEN n < 65 THEN 'technical: nothing on this ticker' END, CASE WHEN stories = 0 THEN 'news: nothing on this ticker' END) AS data_gaps FROM u""")
+def P4_data_gaps(spark, d):
+    """Two of three legs over all users as tickers; the news leg is two stages."""
+    e = star.read(spark, d, "events").withColumn("ticker", F.col("user_id").cast("string"))
+    stages = {
+        "technical": lambda _: e.groupBy("ticker").agg(F.avg("value").alias("mean"), F.count("*").alias("n")).where("n >= 65"),
+        "news": lambda _: e.where("event_type IN ('view', 'purchase') AND value > 60").select("ticker", F.when(F.col("event_type") == "purchase", "positive").otherwise("neutral").alias("sentiment"), F.lit("primary").alias("relevance")),
+        "sentiment": lambda o: news.sentiment(o["news"], ["ticker"]),
+    }
+    _, memos = analysis.run(checkpoints.Checkpoints(spark, new_path(spark), _LEGS), "all", e.select("ticker"), stages, ["news", "technical"])
+    return memos.select("ticker", F.array_join("evidence", ",").alias("evidence"), F.array_join("data_gaps", ",").alias("data_gaps"))

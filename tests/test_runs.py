@@ -1,5 +1,6 @@
 import pytest
 from foliant.operators import digest, extract, facts
+from foliant.plans import analysis
 from foliant.plans.checkpoints import Checkpoints
 from foliant.sources.versions import TABLES, Revision, Versions, fields
 from pyspark.sql import functions as F
@@ -109,3 +110,29 @@ def test_a_feed_stops_at_its_budget(spark):
     got = digest.digest(feed, F.lit("acme"), ["gain"], ["loss"], 0.0076, 15).collect()
     assert {(r.sentiment, r.relevance) for r in got} == {("positive", "primary")} and sorted(r.position for r in got) == list(range(30))
     assert digest.planned(feed.limit(0)).count() == 0
+
+
+def test_legs_left_out_are_gaps(spark, tmp_path):
+    kept = Checkpoints(spark, str(tmp_path), {"technical": fields("ticker string"), "news": fields("ticker string"), "sentiment": fields("ticker string"), "memo": analysis.MEMO})
+    tickers, ran = spark.createDataFrame([("A",), ("B",), ("A",)], "ticker string"), []
+
+    def leg(name, rows):
+        def run(outputs):
+            ran.append(name)
+            return spark.createDataFrame(rows, "ticker string")
+
+        return run
+
+    stages = {"technical": leg("technical", [("A",), ("B",)]), "news": leg("news", [("A",)]), "sentiment": leg("sentiment", [("A",)])}
+    state, memo = analysis.run(kept, "t", tickers, stages, ["news", "technical"])
+    assert state == "started" and ran == ["technical", "news", "sentiment"]
+    assert {r.ticker: (r.evidence, r.data_gaps) for r in memo.collect()} == {
+        "A": (["technical", "news"], ["fundamentals: did not run"]),
+        "B": (["technical"], ["fundamentals: did not run", "news: nothing on this ticker"]),
+    }
+    assert analysis.run(kept, "t", tickers, stages, ["technical", "news"])[0] == "completed" and len(ran) == 3
+    only = analysis.run(kept, "t", tickers, stages, ["technical"])
+    assert only[0] == "started" and only[1].first().data_gaps == ["fundamentals: did not run", "news: did not run"]
+    for wrong in (["charts"], []):
+        with pytest.raises(ValueError):
+            analysis.run(kept, "t", tickers, stages, wrong)
