@@ -15,6 +15,7 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.functions.shared import sent, written
 from foliant.operators.parse import ANNUAL_FOREIGN, DOMINANT, LONGEST_HEADING, PARTS_DOMESTIC, PARTS_FOREIGN, PERIODIC
 
 #: What a heading looks like (its item and title), what is cut off a title's ends, and what no title has.
@@ -57,13 +58,16 @@ def _joined(blocks: Column) -> Column:
 def sections(blocks: DataFrame, key: str = "document_id", form: str = "form_type") -> DataFrame:
     """(key, section_path, order, content) of the filings of a table of blocks."""
     whole = blocks.select(key, "block", F.coalesce("text", F.lit("")).alias("text"), F.col(form).alias("form"))
-    kept = headings(whole, key)
-    marked = whole.join(kept.select(key, "block", F.col("block").alias("start")), [key, "block"], "left")
-    below = marked.withColumn("start", F.last("start", ignorenulls=True).over(Window.partitionBy(key).orderBy("block"))).where("start is not null and block > start")
+    kept = written(headings(whole, key))
+    # a range join: where a filing's sections begin and end goes to its blocks, so that texts are exchanged once, for their sections
+    w = Window.partitionBy(key).orderBy("block")
+    ranges = sent(written(kept.select(key, F.col("block").alias("start"), F.coalesce(F.lead("block").over(w), F.lit((1 << 31) - 1)).alias("after"))))
+    below = whole.join(ranges, key).where((F.col("block") > F.col("start")) & (F.col("block") < F.col("after")))
     bodies = below.groupBy(key, "start").agg(F.first("form").alias("form"), _joined(F.struct("block", "text")).alias("content")).where("content <> ''")  # the blocks of one section
     path = F.concat(F.array(part(F.col("item"), F.col("form")), F.concat(F.lit("Item "), "item")), F.when(F.col("title") != "", F.array("title")).otherwise(F.array().cast("array<string>")))
-    out = bodies.join(kept.withColumnRenamed("block", "start"), [key, "start"]).select(key, path.alias("section_path"), "order", "content")
+    out = written(bodies.join(kept.withColumnRenamed("block", "start"), [key, "start"]).select(key, path.alias("section_path"), "order", "content"))
     sizes = whole.where(F.col("form").isin(*PERIODIC)).groupBy(key).agg(F.sum(F.length("text")).alias("total"))
     ruled = out.groupBy(key).agg(F.max(F.length("content")).alias("most")).join(sizes, key).where((F.col("total") > 0) & (F.col("most") / F.col("total") > DOMINANT)).select(key)
+    ruled = sent(written(ruled))
     one = whole.join(ruled, key, "left_semi").groupBy(key).agg(_joined(F.struct("block", "text")).alias("content"))  # the blocks of one filing
     return out.join(ruled, key, "left_anti").unionByName(one.select(key, F.array(F.lit("Unknown"), F.lit("Full Document")).alias("section_path"), F.lit(0).alias("order"), "content"))
