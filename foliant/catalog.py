@@ -116,7 +116,7 @@ def D6_new_filings(spark, d):
 @query(f"{_WITH} SELECT count(*) AS total, count(*) FILTER (WHERE status <> 'parsed') AS already, count(*) FILTER (WHERE status = 'parsed') AS new FROM filings")
 def D6_new_counts(spark, d):
     f = star.filings(spark, d)
-    return status.new_counts(f.select("accession_number"), f.where("status <> 'parsed'"))
+    return status.new_counts(f.select("id"), f.where("status <> 'parsed'"), "id")
 
 
 # --- sources and sinks ------------------------------------------------------------------------------

@@ -34,8 +34,8 @@ def A10_thesis(spark, d):
 @query(f"{_WITH} SELECT accession_number, CASE WHEN id % 3 = 0 THEN 'embedded' ELSE status END AS status, filing_type FROM filings")
 def B2_upsert_filings(spark, d):
     f = star.filings(spark, d).select("accession_number", "status", "filing_type", "id")
-    new = f.where("id % 3 = 0").select("accession_number", F.lit("embedded").alias("status"), F.lit("changed").alias("filing_type"))
-    return store.upsert(f.drop("id"), new, ["accession_number"], ["status"])
+    new = f.where("id % 3 = 0").select("accession_number", F.lit("embedded").alias("status"), F.lit("changed").alias("filing_type"), "id")
+    return store.upsert(f, new, ["accession_number", "id"], ["status"]).drop("id")
 
 
 @query("SELECT 2 * count(*) AS chunks, 2 * count(*) AS ids FROM lineitem")

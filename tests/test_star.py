@@ -34,3 +34,9 @@ def _both(spark, d, name):
 def test_long_keys_make_the_accession_numbers_of_the_sql(spark, large_keys, name):
     got, want = _both(spark, large_keys, name)
     assert got == want
+
+
+@pytest.mark.parametrize("name", ["B2_upsert_filings", "D6_new_counts"])
+def test_filings_that_share_an_accession_number_stay_apart(spark, large_keys, name):
+    got, want = _both(spark, large_keys, name)
+    assert got == want
