@@ -14,9 +14,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foliant.functions.shared import written
+
 RRF_K = 60
 #: Chunks and queries to a block of a vector search.
 CHUNK_ROWS, QUERY_ROWS = 8_192, 1_024
+#: Chunks, their words and sets of words to a block of a text search, its tasks at most, and matches that a task holds before it keeps the best.
+TEXT_ROWS, TEXT_WORDS, SET_ROWS, TEXT_TASKS, HELD = 4_096, 1_000_000, 8_192, 64, 200_000
 #: Words that carry no meaning in a query.
 STOP_WORDS = frozenset("a an and are as at be but by for from has have in into is it its of on or that the their this to was were what which will with".split())
 
@@ -147,17 +151,112 @@ def scored(chunks: DataFrame, query: str, text: str = "text", by: list[str] | No
     return found.select(*(by or []), "id", F.round(F.size(F.filter("_terms", lambda t: t.isin(*wanted))) / F.size("_terms"), 6).alias("score"))
 
 
+def _chunk_blocks(found: DataFrame) -> DataFrame:
+    """(ids, lengths, words, starts, rows, counts) of (id, terms): blocks of chunks in order of id, and where each word of a block stands and how often."""
+    kinds = {"ids": found.schema["id"].dataType, "lengths": T.IntegerType(), "words": T.StringType(), "starts": T.IntegerType(), "rows": T.IntegerType(), "counts": T.IntegerType()}
+    schema = T.StructType([T.StructField(n, T.ArrayType(kind)) for n, kind in kinds.items()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ends, at = np.cumsum(pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False)), 0
+            while at < b.num_rows:
+                size = max(1, min(TEXT_ROWS, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TEXT_WORDS, "right")) - at))
+                part, at = b.slice(at, size), at + size
+                part = part.take(pc.array_sort_indices(part.column(0), null_placement="at_start"))
+                coded = pc.list_flatten(part.column(1)).dictionary_encode()
+                key = coded.indices.to_numpy().astype(np.int64) * part.num_rows + pc.list_parent_indices(part.column(1)).to_numpy()
+                key, counts = np.unique(key, return_counts=True)
+                starts = np.searchsorted(key, np.arange(len(coded.dictionary) + 1) * part.num_rows)
+                cols = [part.column(0), pc.list_value_length(part.column(1)), coded.dictionary, *[pa.array(x.astype(np.int32)) for x in (starts, key % part.num_rows, counts)]]
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in cols], names=schema.names)
+
+    return found.mapInArrow(run, schema)
+
+
+def _set_blocks(sets: DataFrame) -> DataFrame:
+    """(sets, asked, firsts, of) of (set, words): blocks of sets, the words that they ask for, and which of these each set has."""
+    schema = "sets array<bigint>, asked array<string>, firsts array<int>, of array<int>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, SET_ROWS):
+                part = b.slice(at, SET_ROWS)
+                coded = pc.list_flatten(part.column(1)).dictionary_encode()
+                firsts = np.append(0, np.cumsum(pc.list_value_length(part.column(1)).to_numpy(zero_copy_only=False)))
+                cols = [part.column(0), coded.dictionary, pa.array(firsts.astype(np.int32)), coded.indices]
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in cols], names=["sets", "asked", "firsts", "of"])
+
+    return sets.select("_set", "_words").mapInArrow(run, schema)
+
+
+def _best_of_block(row: dict[str, pa.Array], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each set of a pair of blocks the k best chunks that have all of its words: places of sets and of chunks, and scores."""
+    lengths, starts, rows, counts, firsts, of = (row[n].to_numpy() for n in ("lengths", "starts", "rows", "counts", "firsts", "of"))
+    there = pc.fill_null(pc.index_in(row["asked"], value_set=row["words"]), -1).to_numpy()[of]
+    none = np.zeros(0, np.int64)
+    found = [(none, none, np.zeros(0))]
+    for s in np.flatnonzero(np.minimum.reduceat(there, firsts[:-1]) >= 0):
+        words = there[firsts[s] : firsts[s + 1]]
+        words = words[np.argsort(starts[words + 1] - starts[words])]  # the rarest first
+        at, n = rows[starts[words[0]] : starts[words[0] + 1]], counts[starts[words[0]] : starts[words[0] + 1]]
+        for w in words[1:]:
+            others = rows[starts[w] : starts[w + 1]]
+            place = np.minimum(np.searchsorted(others, at), len(others) - 1)
+            same = others[place] == at
+            at, n = at[same], n[same] + counts[starts[w] + place[same]]
+        score = np.floor(n / lengths[at] * 1e6 + 0.5) / 1e6
+        if len(at) > k:  # chunks are in order of id, which decides between equal scores
+            least = np.partition(score, len(at) - k)[len(at) - k]
+            better = np.flatnonzero(score > least)
+            kept = np.concatenate([better, np.flatnonzero(score == least)[: k - len(better)]])
+            at, score = at[kept], score[kept]
+        found.append((np.full(len(at), s), at, score))
+    return tuple(map(np.concatenate, zip(*found, strict=True)))
+
+
+def _k_best(found: pa.Table, k: int) -> pa.Table:
+    """Each set's k best, ties by id."""
+    found = found.take(pc.sort_indices(found, sort_keys=[("_set", "ascending"), ("score", "descending"), ("id", "ascending")], null_placement="at_start"))
+    of = found.column("_set").to_numpy()
+    first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))[: len(of)]
+    return found.filter(pa.array(np.arange(len(of)) - np.repeat(first, np.diff(np.append(first, len(of)))) < k))
+
+
 def _by_texts(chunks: DataFrame, queries: DataFrame, k: int, where: Column | None, text: str) -> DataFrame:
-    """Words of chunks meet the queries that ask for them; a chunk that gives a query all of its words is a match."""
-    asked = queries.select("query_id", F.array_distinct(terms("query_text")).alias("_words"))
-    asked = asked.select("query_id", F.size("_words").alias("_asked"), F.explode("_words").alias("_term"))
-    found = (chunks if where is None else chunks.where(where)).select("id", terms(text).alias("_terms"))
-    words = found.select("id", F.size("_terms").alias("_len"), F.explode("_terms").alias("_term")).join(asked.select("_term").distinct(), "_term", "left_semi")
-    met = words.groupBy("id", "_len", "_term").agg(F.count("*").alias("_n")).join(asked, "_term")
-    all_met = met.groupBy("query_id", "_asked", "id", "_len").agg(F.count("*").alias("_met"), F.sum("_n").alias("_n")).where("_met = _asked")
+    """Blocks of chunks meet blocks of sets of words, where queries with the same words are one set.
+
+    Matches do not leave a task: of all that its chunks give a set, the k best do. So what is exchanged is at most k rows for each
+    set and task, of which there are TEXT_TASKS at most, and neither texts nor words.
+    """
+    asked = written(queries.select("query_id", F.array_sort(F.array_distinct(terms("query_text"))).alias("_words")).where(F.size("_words") > 0))
+    sets = written(asked.select("_words").distinct().withColumn("_set", F.monotonically_increasing_id()))
+    found = (chunks if where is None else chunks.where(where)).select("id", terms(text).alias("_terms")).where(F.size("_terms") > 0)
+    kind = chunks.schema["id"].dataType
+    schema = T.StructType([T.StructField("_set", T.LongType()), T.StructField("id", kind), T.StructField("score", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        size, most = 0, HELD
+        for b in batches:
+            for i in range(b.num_rows):
+                row = {n: b.column(n)[i].values for n in b.schema.names}
+                s, at, score = _best_of_block(row, k)
+                held.append(pa.table([row["sets"].take(pa.array(s)), row["ids"].take(pa.array(at)), pa.array(score)], names=schema.names))
+                size += len(s)
+                if size > most:
+                    held = [_k_best(pa.concat_tables(held), k)]
+                    size = held[0].num_rows
+                    most = max(HELD, 2 * size)
+        if held:
+            yield from _k_best(pa.concat_tables(held), k).to_batches(max_chunksize=65_536)
+
+    # rows are blocks here, and those of sets of words are sent
+    pairs = _chunk_blocks(found.coalesce(TEXT_TASKS)).crossJoin(F.broadcast(_set_blocks(sets.coalesce(8))))
+    of_set = Window.partitionBy("_set").orderBy(F.desc("score"), "id")
+    best = pairs.mapInArrow(run, schema).withColumn("_n", F.row_number().over(of_set)).where(F.col("_n") <= k)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    scored = all_met.select("query_id", "id", F.round(F.col("_n") / F.col("_len"), 6).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    told = asked.join(sets, "_words").select("query_id", "_set").join(best, "_set")
+    return told.select("query_id", "id", "score").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def _equals(word: str):
