@@ -19,6 +19,8 @@ from foliant.functions.shared import written
 RRF_K = 60
 #: Chunks and queries to a block of a vector search.
 CHUNK_ROWS, QUERY_ROWS = 8_192, 1_024
+#: Queries of a block whose products are held at once.
+PRODUCT_ROWS = 64
 #: Chunks, their words and sets of words to a block of a text search, its tasks at most, and matches that a task holds before it keeps the best.
 TEXT_ROWS, TEXT_WORDS, SET_ROWS, TEXT_TASKS, HELD = 4_096, 1_000_000, 8_192, 64, 200_000
 #: Words that carry no meaning in a query.
@@ -98,20 +100,21 @@ def by_vector(chunks: DataFrame, queries: DataFrame, k: int, where: Column | Non
                 if size != other or not len(ids) or not len(asked):
                     continue
                 x, y = (np.frombuffer(b.column(j)[i].as_buffer()).reshape(-1, size) for j in (2, 5))
-                near = np.round(y @ x.T, 6)
                 order = np.empty(len(ids), np.int64)
                 order[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
-                if len(ids) > k:  # all that are as near as the k-th, and of these the first by id
-                    least = -np.partition(-near, k - 1, axis=1)[:, k - 1]
-                    rows, cols = np.nonzero(near >= least[:, None])
-                else:
-                    rows, cols = (z.ravel() for z in np.indices(near.shape))
-                sim = near[rows, cols]
-                best = np.lexsort((order[cols], -sim, rows))
-                rows, cols, sim = rows[best], cols[best], sim[best]
-                first = np.flatnonzero(np.diff(rows, prepend=-1))
-                kept = np.arange(len(rows)) - np.repeat(first, np.diff(np.append(first, len(rows)))) < k
-                yield pa.RecordBatch.from_arrays([asked.take(pa.array(rows[kept])), ids.take(pa.array(cols[kept])), pa.array(sim[kept])], names=["query_id", "id", "similarity"])
+                for low in range(0, len(y), PRODUCT_ROWS):
+                    near = np.round(y[low : low + PRODUCT_ROWS] @ x.T, 6)
+                    if len(ids) > k:  # all that are as near as the k-th, and of these the first by id
+                        least = np.partition(near, len(ids) - k, axis=1)[:, len(ids) - k]
+                        rows, cols = np.nonzero(near >= least[:, None])
+                    else:
+                        rows, cols = (z.ravel() for z in np.indices(near.shape))
+                    sim = near[rows, cols]
+                    best = np.lexsort((order[cols], -sim, rows))
+                    rows, cols, sim = rows[best], cols[best], sim[best]
+                    first = np.flatnonzero(np.diff(rows, prepend=-1))
+                    kept = np.arange(len(rows)) - np.repeat(first, np.diff(np.append(first, len(rows)))) < k
+                    yield pa.RecordBatch.from_arrays([asked.take(pa.array(low + rows[kept])), ids.take(pa.array(cols[kept])), pa.array(sim[kept])], names=["query_id", "id", "similarity"])
 
     # rows are blocks here: a table of queries is compared with all chunks, block by block
     pairs = c.crossJoin(q.select(F.col("ids").alias("q_ids"), F.col("size").alias("q_size"), F.col("matrix").alias("q_matrix")))

@@ -33,3 +33,16 @@ def test_repeated_rows_are_matches_of_their_own(spark):
     asked = spark.createDataFrame([(1, "net"), (1, "net")], "query_id int, query_text string")
     assert [(x.id, x.score) for x in search.by_text(chunks, asked.limit(1), 9).orderBy("rank").collect()] == [(None, 1.0), ("a", 0.5), ("b", 0.5), ("b", 0.5)]
     assert search.by_text(chunks.limit(0), asked, 9).count() == 0 and search.by_text(chunks, asked.limit(0), 9).count() == 0
+
+
+def test_vector_search_of_more_queries_than_one_product_holds(spark):
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    x, y = r.integers(-2, 3, (90, 4)).astype(float), r.integers(-2, 3, (2 * search.PRODUCT_ROWS + 5, 4)).astype(float)
+    x[:, 0], y[:, 0] = 1, 1  # none without a direction
+    chunks = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, embedding array<double>")
+    asked = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(y)], "query_id int, query array<double>").coalesce(1)
+    near = np.round((y / np.linalg.norm(y, axis=1)[:, None]) @ (x / np.linalg.norm(x, axis=1)[:, None]).T, 6)
+    want = [(q, int(i), n + 1) for q in range(len(y)) for n, i in enumerate(np.lexsort((np.arange(len(x)), -near[q]))[:5])]
+    assert sorted((z.query_id, z.id, z["rank"]) for z in search.by_vector(chunks, asked, 5).collect()) == sorted(want)
