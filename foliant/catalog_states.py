@@ -35,12 +35,13 @@ def P1_replayed_states(spark, d):
 
 @query(_STATES)
 def P1_streamed_states(spark, d):
-    """The events in files by order of their coming, a file a micro-batch; what the stream tells is a table, of which the states are read."""
+    """The events in parts by order of their coming, a part a micro-batch; what the stream tells is a table, of which the states are read."""
     events, path = _events(spark, d), new_path(spark)
     most = events.agg(F.max("at")).first()[0] + 1
     for i in range(3):
-        events.where((F.col("at") >= most * i // 3) & (F.col("at") < most * (i + 1) // 3)).coalesce(1).write.mode("append").parquet(f"{path}/in")
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-    run = states.transitions(stream).writeStream.format("parquet").option("checkpointLocation", f"{path}/checkpoint").option("path", f"{path}/told").outputMode("append").trigger(availableNow=True).start()
-    run.awaitTermination()
+        # as many files as tasks write them; the stream takes up where it ended
+        events.where((F.col("at") >= most * i // 3) & (F.col("at") < most * (i + 1) // 3)).write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema(events.schema).parquet(f"{path}/in")
+        run = states.transitions(stream).writeStream.format("parquet").option("checkpointLocation", f"{path}/checkpoint").option("path", f"{path}/told").outputMode("append").trigger(availableNow=True).start()
+        run.awaitTermination()
     return states.states(spark.read.schema(states.TOLD).parquet(f"{path}/told"))

@@ -39,16 +39,18 @@ class _Filing(StatefulProcessor):
         self.state = handle.getValueState("filing", "status string, seq long", ttlDurationMs=FORGOTTEN_DAYS * _DAY)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: object) -> Iterator[pd.DataFrame]:
-        status, last = self.state.get() if self.state.exists() else (FIRST, None)
+        status, last = self.state.get() or (FIRST, None)
+        # a filing's few events: lists, since frames of a few rows take longer to join and sort than the events to fold
+        events = sorted((e for r in rows for e in zip(*(r[c].tolist() for c in _COLUMNS[1:]), strict=True)), key=lambda e: e[:2])
         out = []
-        for e in pd.concat(rows).sort_values(["at", "seq"]).itertuples():
+        for at, seq, asked, error in events:
             before = status
-            if last is not None and e.seq <= last:
+            if last is not None and seq <= last:
                 outcome = "late"
             else:
-                outcome, last = "moved" if may_become(status, e.status) else "refused", e.seq
-                status = e.status if outcome == "moved" else status
-            out.append((key[0], e.at, e.seq, before, status, outcome, e.error if outcome == "moved" and status == "failed" else None))
+                outcome, last = "moved" if may_become(status, asked) else "refused", seq
+                status = asked if outcome == "moved" else status
+            out.append((key[0], at, seq, before, status, outcome, error if outcome == "moved" and status == "failed" else None))
         self.state.update((status, int(last)))
         for old in list(self.handle.listTimers()):
             self.handle.deleteTimer(old)

@@ -46,3 +46,18 @@ def test_a_stream_in_batches_ends_as_the_table_does(spark, tmp_path):
     told = spark.read.schema(states.TOLD).parquet(str(tmp_path / "told"))
     assert sorted(map(tuple, states.states(told).collect())) == by_hand(EVENTS)
     assert {(r.id, r.seq): r.outcome for r in told.collect()}[3, 2] == "refused"
+
+
+def test_parts_of_a_replay_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    from foliant import catalog_states
+
+    spark.range(600).selectExpr("id AS event_id", "id % 7 AS user_id", "'view' AS event_type", "timestamp_seconds(id) AS ts", "1.0D AS value", "'{}' AS props").repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(catalog_states, "new_path", lambda _: str(tmp_path / "run"))
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.streaming.stateStore.providerClass", "spark.sql.streaming.noDataMicroBatches.enabled")}
+    try:
+        got = sorted(map(tuple, catalog_states.P1_streamed_states(spark, str(tmp_path)).collect()))
+        assert got == sorted(map(tuple, catalog_states.P1_replayed_states(spark, str(tmp_path)).collect()))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    assert len(list((tmp_path / "run" / "in").glob("*.parquet"))) > 3  # a file for each part would be one task's
