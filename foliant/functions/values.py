@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STATUSES = ("discovered", "downloaded", "parsed", "chunked", "embedded", "failed", "metrics_extracted")
 CONFIDENCES = ("stated", "computed", "not_disclosed")
 
+#: Texts that a task turns into Python objects at once.
+FEW = 256
+
+
+def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of FEW rows: what is made of texts does not grow with the rows that a batch has."""
+    for b in batches:
+        for at in range(0, b.num_rows, FEW):
+            yield b.slice(at, FEW)
+
 
 def cik(x: Column) -> Column:
     """Ten digits, padded on the left; null for anything but digits, or more than ten of them."""

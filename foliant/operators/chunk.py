@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foliant.functions.values import few
+
 TARGET, OVERLAP, LEAST = 600, 80, 50
 
 
@@ -84,7 +86,7 @@ def chunk_sections(sections: DataFrame, document: str = "document_id", target: i
     schema = T.StructType([sections.schema[document], sections.schema["order"], sections.schema["section_path"], T.StructField("_pos", T.IntegerType()), T.StructField("token_count", T.IntegerType()), T.StructField("content", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in few(batches):
             at, pos, n, texts = [], [], [], []
             for i, content in enumerate(b.column(3).to_pylist()):
                 for p, (text, count) in enumerate(section_chunks(content or "", target=target, overlap=overlap, least=least)):

@@ -46,3 +46,14 @@ def test_vector_search_of_more_queries_than_one_product_holds(spark):
     near = np.round((y / np.linalg.norm(y, axis=1)[:, None]) @ (x / np.linalg.norm(x, axis=1)[:, None]).T, 6)
     want = [(q, int(i), n + 1) for q in range(len(y)) for n, i in enumerate(np.lexsort((np.arange(len(x)), -near[q]))[:5])]
     assert sorted((z.query_id, z.id, z["rank"]) for z in search.by_vector(chunks, asked, 5).collect()) == sorted(want)
+
+
+def test_texts_are_cut_a_few_at_a_time():
+    import pyarrow as pa
+
+    from foliant.functions.values import FEW, few
+
+    rows = pa.RecordBatch.from_pydict({"id": list(range(2 * FEW + 3))})
+    cut = list(few(iter([rows, rows.slice(0, 0), rows.slice(5, 2)])))
+    assert [b.num_rows for b in cut] == [FEW, FEW, 3, 2]
+    assert [i for b in cut for i in b.column(0).to_pylist()] == [*range(2 * FEW + 3), 5, 6]
