@@ -48,10 +48,24 @@ PIECE = 1 << 20
 BAND, STRIDE, ALIKE = 12, 6, 48
 #: The share of characters that may be edited between near texts.
 EDITED = 0.1
+#: Bits of the filter that texts pass before they are exchanged: at least so many a key, and so many in all (32 MB).
+KEY_BITS, FILTER_BITS = 16, 1 << 28
+#: Characters of the grams that tell texts apart without their distance, and classes of them.
+GRAM, GRAMS = 4, 1024
 #: Members of a list that the others meet at first, and members and characters in a block of a list.
 PIVOTS, BLOCK, BLOCK_CHARACTERS = 3, 512, 2 << 20
 
 
+def _packed(text: pa.StringScalar) -> bytes:
+    """A text's UTF-8, compressed, behind its length; a null text is empty."""
+    raw = text.as_buffer() or b""
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpacked(packed: bytes) -> str:
+    return pa.decompress(packed[8:], decompressed_size=int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True).decode()
+
+
 class Embedder:
     def __init__(self, seed: int = 5):
         draw = np.random.default_rng(seed)
@@ -157,13 +171,17 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     """(key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, text_id): see `edited`; after the last document comes the first.
 
     text_id: 128 bits of the text.
-    Texts are exchanged once, by ranges of the key. Each task compares its documents with their successors
+    Texts are exchanged once, compressed, by ranges of the key. Each task compares its documents with their successors
     as it reads them; its first and last text, which meet those of its neighbours, are joined by the task's number.
     """
     schema = T.StructType([T.StructField("key", docs.schema[key].dataType), *[T.StructField(n, t) for n, t, _ in _ROW], T.StructField("part", T.IntegerType()), T.StructField("head", T.StringType()), T.StructField("tail", T.StringType())])
     names = [f.name for f in schema]
     kinds = [k for _, _, k in _ROW]
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_packed(t) for t in b.column(1)], pa.binary()), b.column(2), b.column(3)], names=b.schema.names)
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         embedder, part = _embedder(), TaskContext.get().partitionId()
         head = before = kind = None
@@ -176,8 +194,8 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
         for b in batches:
             kind = b.column(0).type
             keys, rows = [], []
-            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                t = t or ""
+            for k, packed in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                t = _unpacked(packed.as_py())
                 codes = embedder.codes(t)
                 left = embedder.walk(codes)
                 now = (k, t, embedder.digits(codes, left), left, codes)
@@ -205,7 +223,9 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 
     # equal keys with equal texts are told apart by their place, so that they need not share a task
     spread = [F.xxhash64(column(text)), F.monotonically_increasing_id()]
-    told = docs.select(column(key), column(text), spread[0].alias("_h"), spread[1].alias("_i")).repartitionByRange(column(key), F.col("_h"), F.col("_i")).sortWithinPartitions(column(key), "_h", "_i").drop("_h", "_i")
+    light = docs.select(column(key).alias("key"), column(text).alias("text"), spread[0].alias("_h"), spread[1].alias("_i"))
+    light = light.mapInArrow(tidy(pack), T.StructType([T.StructField("key", docs.schema[key].dataType), T.StructField("text", T.BinaryType()), T.StructField("_h", T.LongType()), T.StructField("_i", T.LongType())]))
+    told = light.repartitionByRange("key", "_h", "_i").sortWithinPartitions("key", "_h", "_i").drop("_h", "_i")
     done = materialise(told.mapInArrow(tidy(read), schema))
     edges = done.where("part is not null").select("key", "part", "head", "tail")
     numbers = edges.select("part")
@@ -243,10 +263,14 @@ def edit_distance(a: str, b: str, most: int) -> int:
     return d if d <= most else most + 1
 
 
-def _bag(text: str) -> np.ndarray:
-    """How often a text has the characters of each class."""
+def _grams(text: str) -> np.ndarray:
+    """How often a text has the runs of GRAM characters of each class. An edit changes at most GRAM of these and adds as many."""
     codes = Embedder.codes(text).astype(np.uint64)
-    return np.bincount(((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.int64), minlength=CLASSES).astype(np.int32)
+    x = np.zeros(max(0, len(codes) - GRAM + 1), np.uint64)
+    for i in range(GRAM):
+        x = (x ^ codes[i : i + len(x)]) * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(32)
+    return np.bincount((x % np.uint64(GRAMS)).astype(np.int64), minlength=GRAMS).astype(np.int32)
 
 
 def _near(x: str, y: str, edits: float) -> bool:
@@ -260,21 +284,25 @@ def _alike(a: pa.Array, b: pa.Array) -> np.ndarray:
     return (x == y).sum(axis=1)
 
 
-def _candidates(rows: list[tuple], edits: float) -> np.ndarray:
-    """Which pairs of a group (token, i, j, block, cid, label, n_chars, fingerprint, ..) are of two labels, of lengths that allow the edits, and alike."""
+def _candidates(rows: list[tuple], edits: float, band: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs of a group (token, i, j, block, cid, label, n_chars, fingerprint, place, ..) are of two labels, of lengths that allow the edits, alike, and in no list of an earlier band; and how many digits they share."""
     block, label, n = (np.array([r[c] for r in rows]) for c in (3, 5, 6))
     apart = np.triu(label[:, None] != label[None, :], 1)
     if rows[0][1] != rows[0][2]:
         apart &= block[:, None] != block[None, :]
     longer = np.maximum(n[:, None], n[None, :])
     apart &= longer - np.minimum(n[:, None], n[None, :]) <= (edits * longer).astype(np.int64)
+    agree = np.zeros(apart.shape, np.uint8)
     if apart.any():
         digits = np.frombuffer("".join(r[7] for r in rows).encode(), np.uint8).reshape(-1, DIGITS)
-        agree = np.zeros(apart.shape, np.uint8)
         for c in range(DIGITS):
             agree += digits[:, c][:, None] == digits[:, c][None, :]
         apart &= agree >= ALIKE
-    return apart
+        # a pair is looked at once, in the list of the first band that it shares
+        for at in range(0, rows[0][8], STRIDE):
+            same = np.unique(digits[:, at : at + band], axis=0, return_inverse=True)[1].ravel()
+            apart &= same[:, None] != same[None, :]
+    return apart, agree
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
@@ -290,6 +318,21 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         yield held
 
 
+def _passed(rows: DataFrame, key: str, wanted: DataFrame, low: str) -> DataFrame:
+    """The rows whose key can be among those of a written table, and few others: by a bit for each hashed key, in pages of 32,768 bits that are sent to all tasks."""
+    size = min(FILTER_BITS, 1 << max(15, (KEY_BITS * wanted.count()).bit_length()))
+
+    def at(name: str) -> tuple[Column, Column]:
+        h = F.pmod(F.xxhash64(name), F.lit(size))
+        return F.bitmap_bucket_number(h), F.bitmap_bit_position(h)
+
+    page, bit = at(low)
+    pages = wanted.select(page.alias("page_"), bit.alias("bit_")).groupBy("page_").agg(F.bitmap_construct_agg("bit_").alias("bits_"))
+    page, bit = at(key)
+    byte = F.conv(F.hex(F.substring("bits_", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    return rows.join(F.broadcast(pages), page == F.col("page_")).where(F.getbit(byte, (bit % 8).cast("int")) == 1).select(*rows.columns)
+
+
 def near_groups(marked: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text", edits: float = EDITED, band: int = BAND) -> DataFrame:
     """(text_id, group_id): texts that have a band in common, linked by at most `edits` times the longer length of edits; group_id is the group's smallest key.
 
@@ -299,15 +342,15 @@ def near_groups(marked: DataFrame, docs: DataFrame, key: str = "doc_id", text: s
 
     Equal texts are one class. Classes that share the digits of a band make a list. Members of a list first meet its pivots, of which each verifies
     the most alike. Lists that then still hold several groups are cut into blocks of bounded size; pairs of blocks compare fingerprints within
-    a task, then the texts of those that are alike, skip what is joined already and keep the links of a forest. Pairs are not written out, and
+    a task, each pair in the list of the first band that it shares, then the texts of those that are alike, skip what is joined already and keep the links of a forest. Pairs are not written out, and
     texts are read only of classes that have an alike partner.
     """
     spark = docs.sparkSession
     classes = marked.groupBy("text_id").agg(F.min(column(key)).alias("low"), F.first("fingerprint").alias("fingerprint"), F.first("n_chars").alias("n_chars")).withColumn("cid", F.monotonically_increasing_id())
     classes = materialise(classes)
-    bands = F.array(*[F.xxhash64(F.lit(i), F.substring("fingerprint", i + 1, band)) for i in range(0, DIGITS - band + 1, STRIDE)])
-    posted = classes.where("n_chars > 0").select("cid", F.explode(bands).alias("token"))
-    posts = materialise(posted.join(posted.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token"), "token"))
+    bands = F.array(*[F.struct(F.xxhash64(F.lit(i), F.substring("fingerprint", i + 1, band)).alias("token"), F.lit(i).alias("place")) for i in range(0, DIGITS - band + 1, STRIDE)])
+    posted = classes.where("n_chars > 0").select("cid", F.explode(bands).alias("b")).select("cid", "b.token", "b.place")
+    posts = materialise(posted.join(posted.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token"), "token", "left_semi"))
     digits = classes.select("cid", "n_chars", "fingerprint")
 
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,9 +360,9 @@ def near_groups(marked: DataFrame, docs: DataFrame, key: str = "doc_id", text: s
                 yield pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())], names=["cid", "text"])
 
     def bodies(cids: DataFrame) -> DataFrame:
-        """Texts of some classes, by a table of two columns that the planner sends to the documents while it is small: rows of its key, less those with another text."""
+        """Texts of some classes: rows of a class's key, less those with another text. A filter of bounded size keeps the texts of other keys from being exchanged."""
         wanted = materialise(classes.join(cids.distinct(), "cid", "left_semi").select("text_id", "cid", "low"))
-        texts = docs.select(column(key).alias("key_"), F.coalesce(column(text), F.lit("")).alias("text"))
+        texts = _passed(docs.select(column(key).alias("key_"), F.coalesce(column(text), F.lit("")).alias("text")), "key_", wanted, "low")
         found = texts.join(wanted, F.col("key_").eqNullSafe(F.col("low"))).select("text_id", "cid", "text")
         out = materialise(found.mapInArrow(tidy(known), "cid long, text string").dropDuplicates(["cid"]))
         drop_written(spark, wanted)
@@ -353,41 +396,42 @@ def near_groups(marked: DataFrame, docs: DataFrame, key: str = "doc_id", text: s
         drop_written(spark, step)
 
     # lists of several groups: members outside the largest meet each other and the largest, block by block
-    labelled = materialise(posts.join(first.withColumnRenamed("id", "cid"), "cid", "left").select("token", "cid", F.coalesce("root", "cid").alias("label")))
+    labelled = materialise(posts.join(first.withColumnRenamed("id", "cid"), "cid", "left").select("token", "place", "cid", F.coalesce("root", "cid").alias("label")).join(classes.select("cid", "n_chars"), "cid"))
     sums = [F.sum(F.xxhash64(F.lit(i), "cid").cast("decimal(38,0)")).alias(f"s{i}") for i in (1, 2)]
-    mixed = labelled.groupBy("token", "label").agg(F.count("*").alias("m"), *sums).groupBy("token").agg(F.max_by("label", F.struct("m", "label")).alias("largest"), F.count("*").alias("n"), F.sum("m").alias("m"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2")).where("n > 1")
-    mixed = mixed.groupBy("m", "s1", "s2").agg(F.min("token").alias("token"), F.first("largest").alias("largest"))  # one of lists with the same members
-    members = materialise(labelled.join(mixed.select("token", "largest"), "token").join(digits, "cid"))
-    inside = F.col("label") == F.col("largest")
     cost = F.lit(1.0 / BLOCK) + F.col("n_chars") / BLOCK_CHARACTERS
-    size = members.groupBy("token").agg(F.ceil(F.sum(F.when(inside, 0.0).otherwise(cost))).cast("int").alias("few"), F.ceil(F.sum(F.when(inside, cost).otherwise(0.0))).cast("int").alias("many"))
+    by_label = labelled.groupBy("token", "label").agg(F.min("place").alias("place"), F.count("*").alias("m"), F.sum(cost).alias("cost"), *sums)
+    mixed = by_label.groupBy("token").agg(F.min("place").alias("place"), F.max(F.struct("m", "label", "cost")).alias("most"), F.count("*").alias("n"), F.sum("m").alias("m"), F.sum("cost").alias("cost"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2")).where("n > 1")
+    # one of lists with the same members, that of their first band: there their pairs are looked at
+    mixed = mixed.groupBy("m", "s1", "s2").agg(F.min(F.struct("place", "token", F.col("most.label").alias("largest"), F.ceil(F.col("cost") - F.col("most.cost") + 1e-9).cast("int").alias("few"), F.ceil("most.cost").cast("int").alias("many"))).alias("l")).select("l.token", "l.largest", "l.few", "l.many")
+    members = labelled.join(mixed, "token").join(classes.select("cid", "fingerprint"), "cid")
+    inside = F.col("label") == F.col("largest")
     hashed = F.xxhash64("cid", "token")
     block = F.when(inside, F.col("few") + F.pmod(hashed, F.greatest("many", F.lit(1)))).otherwise(F.pmod(hashed, F.greatest("few", F.lit(1)))).cast("int")
-    cut = members.join(size, "token").withColumn("block", block)
+    cut = members.withColumn("block", block)
     pairs = F.transform(F.sequence(F.lit(0), F.when(inside, F.col("few")).otherwise(F.col("few") + F.col("many")) - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))
-    dealt = cut.select("token", "block", "cid", "label", "n_chars", "fingerprint", F.explode(pairs).alias("g")).select("token", F.col("g.i").alias("i"), F.col("g.j").alias("j"), "block", "cid", "label", "n_chars", "fingerprint")
+    dealt = cut.select("token", "block", "cid", "label", "n_chars", "fingerprint", "place", F.explode(pairs).alias("g")).select("token", F.col("g.i").alias("i"), F.col("g.j").alias("j"), "block", "cid", "label", "n_chars", "fingerprint", "place")
 
     def partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32())
         for rows in _groups(batches):
-            apart = _candidates(rows, edits)
+            apart, _ = _candidates(rows, edits, band)
             if there := np.flatnonzero(apart.any(axis=0) | apart.any(axis=1)).tolist():
                 cols = zip(*(rows[x] for x in there), strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=dealt_names)
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _groups(batches):
-            apart = _candidates(rows, edits)
+            apart, agree = _candidates(rows, edits, band)
             root = {r[5]: r[5] for r in rows}
-            bags = np.stack([_bag(r[8]) for r in rows])
-            found = []
-            for x, y in np.argwhere(apart).tolist():
+            grams = np.stack([_grams(r[9]) for r in rows])
+            found, pairs = [], np.argwhere(apart)
+            # the most alike first, so that what is near is joined before the rest is looked at
+            for x, y in pairs[np.argsort(-agree[apart].astype(np.int64), kind="stable")].tolist():
                 p, q = root[rows[x][5]], root[rows[y][5]]
                 if p == q:
                     continue
-                # texts of which one has more characters in excess than edits are allowed are told apart without their distance
-                excess = bags[x].astype(np.int64) - bags[y]
-                if max(excess[excess > 0].sum(), -excess[excess < 0].sum()) <= int(edits * max(rows[x][6], rows[y][6])) and _near(rows[x][8], rows[y][8], edits):
+                # texts that differ in more grams than the allowed edits can change are told apart without their distance
+                if int(np.abs(grams[x] - grams[y]).sum()) <= 2 * GRAM * int(edits * max(rows[x][6], rows[y][6])) and _near(rows[x][9], rows[y][9], edits):
                     root = {k: p if v == q else v for k, v in root.items()}
                     found.append((rows[x][4], rows[y][4]))
             yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
@@ -400,7 +444,7 @@ def near_groups(marked: DataFrame, docs: DataFrame, key: str = "doc_id", text: s
     final = components(first.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more))
     named = classes.select("text_id", "cid", "low").join(final.withColumnRenamed("id", "cid"), "cid", "left").select("text_id", "low", F.coalesce("root", "cid").alias("root"))
     out = materialise(named.join(named.groupBy("root").agg(F.min("low").alias("group_id")), "root").select("text_id", "group_id"))
-    for step in (classes, posts, first, labelled, members, partnered, body, more):
+    for step in (classes, posts, first, labelled, partnered, body, more):
         drop_written(spark, step)
     return out
 

@@ -132,3 +132,43 @@ def test_groups_of_bands_against_brute_force(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {x.doc_id: x.group_id for x in marked(df).join(ef.near_groups(marked(df), df), "text_id").collect()}
     assert got == dict(enumerate(root))
+
+
+def test_grams_bound_edits():
+    r = random.Random(4)
+    for _ in range(300):
+        a = "".join(r.choice("abc") for _ in range(r.randrange(40)))
+        b = list(a)
+        for _ in range(r.randrange(6)):
+            at = r.randrange(len(b) + 1)
+            b[at : at + r.randrange(2)] = r.choice(["", "a", "b", "cc"])
+        b = "".join(b)
+        assert np.abs(ef._grams(a) - ef._grams(b)).sum() <= 2 * ef.GRAM * levenshtein(a, b)
+
+
+def test_pairs_are_looked_at_in_their_first_band():
+    print_ = "0123456789abcdef" * 8
+    row = lambda place, cid, digits: (place, 0, 0, 0, cid, cid, 600, digits, place)
+    rows = [(1, print_), (2, print_), (3, "ffffff" + print_[6:])]  # the third shares no band before that at 6
+    seen = {}
+    for place in (0, 6, 12):
+        some = rows if place else rows[:2]
+        for x, y in np.argwhere(ef._candidates([row(place, *r) for r in some], 0.1, ef.BAND)[0]).tolist():
+            seen.setdefault((some[x][0], some[y][0]), []).append(place)
+    assert seen == {(1, 2): [0], (1, 3): [6], (2, 3): [6]}
+
+
+def test_few_texts_pass_the_filter(spark):
+    docs = spark.range(20_000).selectExpr("if(id = 7, null, id) as id", "'x' as text")
+    wanted = ef.materialise(docs.where("id is null or id % 50 = 0").selectExpr("id as low"))
+    got = {r.id for r in ef._passed(docs, "id", wanted, "low").collect()}
+    assert {None, *range(0, 20_000, 50)} <= got and len(got) < 2_500
+    assert ef._passed(docs, "id", wanted.limit(0), "low").count() == 0
+
+
+def test_exchanged_texts_are_compressed():
+    import pyarrow as pa
+
+    text = "the quick brown fox jumps over the lazy dog, é🎉 " * 40
+    assert len(ef._packed(pa.scalar(text))) < len(text) / 2
+    assert all(ef._unpacked(ef._packed(pa.scalar(t, pa.string()))) == (t or "") for t in (text, "", None, "\0"))
