@@ -155,6 +155,15 @@ def _best(near: np.ndarray, ids: pa.Array, k: int) -> tuple[np.ndarray, np.ndarr
     return rows[kept], cols[kept]
 
 
+def _products(x: np.ndarray, y: np.ndarray, ids: pa.Array, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(queries, columns, similarities): of each row of y the k nearest rows of x, with products of a bounded number of queries held at once."""
+    for at in range(0, len(y), search.PRODUCT_ROWS):
+        near = y[at : at + search.PRODUCT_ROWS] @ x.T
+        np.round(near, 6, out=near)
+        rows, cols = _best(near, ids, k)
+        yield at + rows, cols, near[rows, cols]
+
+
 def nearest(index: DataFrame, centroids: np.ndarray, queries: DataFrame, k: int, probes: int, where: Column | None = None) -> DataFrame:
     """(query_id, id, similarity, rank): of each query (query_id, query) the k nearest rows in the cells that it probes."""
     kinds = [queries.schema["query_id"].dataType, index.schema["id"].dataType]
@@ -171,9 +180,8 @@ def nearest(index: DataFrame, centroids: np.ndarray, queries: DataFrame, k: int,
             for i in range(b.num_rows):
                 n, ids, asked = b.column(2)[i].as_py(), b.column(1)[i].values, b.column(4)[i].values
                 x, y = (np.frombuffer(b.column(j)[i].as_buffer()).reshape(-1, n) for j in (3, 6))
-                near = np.round(y @ x.T, 6)
-                rows, cols = _best(near, ids, k)
-                yield pa.RecordBatch.from_arrays([asked.take(pa.array(rows)), ids.take(pa.array(cols)), pa.array(near[rows, cols])], names=["query_id", "id", "similarity"])
+                for rows, cols, similar in _products(x, y, ids, k):
+                    yield pa.RecordBatch.from_arrays([asked.take(pa.array(rows)), ids.take(pa.array(cols)), pa.array(similar)], names=["query_id", "id", "similarity"])
 
     pairs = c.join(q, "cell").select("cell", "ids", "size", "matrix", "q_ids", "q_size", "q_matrix").where("size = q_size")
     return pairs.mapInArrow(run, schema).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -52,3 +52,21 @@ def test_blocks_are_bounded_in_bytes(spark, monkeypatch):
     centroids = vector_index.fit(v, 4)
     sizes = [len(r.ids) for r in vector_index._by_cell(vector_index.write(v, centroids), "id", "embedding", None).collect()]
     assert max(sizes) <= 50 and sum(sizes) == 1500
+
+
+def test_products_are_held_for_few_queries():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(8_192, 8)), rng.normal(size=(1_024, 8))
+    ids = pa.array(rng.permutation(8_192))
+    tracemalloc.start()
+    got = [np.concatenate(z) for z in zip(*vector_index._products(x, y, ids, 3))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    near = np.round(y @ x.T, 6)
+    want = [np.lexsort((ids.to_numpy(), -row))[:3] for row in near]
+    assert (got[0] == np.repeat(np.arange(1_024), 3)).all() and (got[1].reshape(-1, 3) == want).all()
+    assert np.allclose(got[2], near[got[0], got[1]]) and peak < 30 << 20  # one product of all is 64 MB
