@@ -162,3 +162,12 @@ def test_a_figure_asks_for_few_keys(spark):
     figures = ["0.05", "0.1", "0.5", "18.1", "0.0001", "345,678.9", "100", "4465758382889437", "99.95", "3.14159265358979", "1000000.00"]
     rows = spark.createDataFrame([(x.replace(",", ""),) for x in figures], "t string").select(F.col("t").cast("double").alias("v"), verify.decimals(F.col("t")).alias("shown"))
     assert max(r[0] for r in rows.select(F.size(verify._asked())).collect()) <= 9
+
+
+def test_keys_without_sources_go_no_further(spark):
+    rows = [(1, "It was 1,234.5 and 777 in all.", [(1, "About 777 of them.")]), (2, "It was 4,321.", None)]
+    answers = spark.createDataFrame([(*r, None, None) for r in rows], "id int, answer string, chunks array<struct<id:int,text:string>>, computed array<double>, rejected array<struct<value:double,reason:string>>")
+    met = verify._met(verify._given(answers, "id")).select("key", "raw", "source", "wide").collect()
+    assert all(r.wide is not None or r.source is not None for r in met)
+    assert sorted((r.key, r.raw) for r in met if r.raw != "777") == [(1, "1,234.5"), (2, "4,321")]
+    assert sum(r.wide is not None for r in met) == 3 and {r.source for r in met if r.raw == "777"} >= {777.0}
