@@ -50,6 +50,8 @@ BAND, STRIDE, ALIKE = 12, 6, 48
 EDITED = 0.1
 #: Bits of the filter that texts pass before they are exchanged: at least so many a key, and so many in all (32 MB).
 KEY_BITS, FILTER_BITS = 16, 1 << 28
+#: Columns of a distance after which it is looked at.
+COLUMNS = 64
 #: Characters of the grams that tell texts apart without their distance, and classes of them.
 GRAM, GRAMS = 4, 1024
 #: Members of a list that the others meet at first, and members and characters in a block of a list.
@@ -237,29 +239,45 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     return done.where("part is null").select(*names[: 1 + len(kinds)]).unionByName(last).withColumnRenamed("key", key)
 
 
+def _shared(a: str, b: str) -> int:
+    """How many characters two texts begin with alike."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        if a[low:mid] == b[low:mid]:
+            low = mid
+        else:
+            high = mid - 1
+    return low
+
+
 def edit_distance(a: str, b: str, most: int) -> int:
-    """Levenshtein distance by bit-parallel columns, or most + 1 if it is larger."""
-    if len(a) > len(b):
-        a, b = b, a
-    if len(b) - len(a) > most:
+    """Levenshtein distance by bit-parallel columns, or most + 1 if it is larger. What both begin and end with costs nothing and takes no part."""
+    if abs(len(a) - len(b)) > most:
         return most + 1
-    if not a:
-        return len(b)
+    same = _shared(a, b)
+    a, b = a[same:], b[same:]
+    same = _shared(a[::-1], b[::-1])
+    a, b = a[: len(a) - same], b[: len(b) - same]
+    if len(a) < len(b):  # bits for the longer, columns for the shorter
+        a, b = b, a
     where: dict[str, int] = {}
     for i, c in enumerate(a):
         where[c] = where.get(c, 0) | 1 << i
-    full, top = (1 << len(a)) - 1, 1 << len(a) - 1
-    plus, minus, d = full, 0, len(a)
-    for j, c in enumerate(b):
-        eq = where.get(c, 0)
-        x = eq | minus
-        h = ((eq & plus) + plus ^ plus) | eq
-        up, down = minus | ~(h | plus) & full, plus & h
-        d += (up & top > 0) - (down & top > 0)
-        if d - (len(b) - 1 - j) > most:
+    full = (1 << len(a)) - 1
+    plus, minus = full, 0
+    for at in range(0, len(b), COLUMNS):
+        for c in b[at : at + COLUMNS]:
+            eq = where.get(c, 0)
+            x = ((eq & plus) + plus ^ plus) | eq | minus
+            up = (minus | full & ~(x | plus)) << 1 | 1
+            down = (x & plus) << 1
+            plus, minus = full & (down | ~(x | up)), full & x & up
+        done = min(at + COLUMNS, len(b))
+        d = done + plus.bit_count() - minus.bit_count()
+        if d - (len(b) - done) > most:
             return most + 1
-        up, down = (up << 1 | 1) & full, down << 1 & full
-        plus, minus = down | ~(x | up) & full, up & x
+    d = len(b) + plus.bit_count() - minus.bit_count()
     return d if d <= most else most + 1
 
 

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 from foliant.llm import edit_fingerprint as ef
@@ -172,3 +173,16 @@ def test_exchanged_texts_are_compressed():
     text = "the quick brown fox jumps over the lazy dog, é🎉 " * 40
     assert len(ef._packed(pa.scalar(text))) < len(text) / 2
     assert all(ef._unpacked(ef._packed(pa.scalar(t, pa.string()))) == (t or "") for t in (text, "", None, "\0"))
+
+
+def test_what_texts_begin_and_end_with_alike_costs_nothing():
+    tail = "Is onhe. " * 60_000
+    began = time.process_time()
+    assert ef.edit_distance("abc" + tail + "kitten" + tail, "abc" + tail + "sitting" + tail, 10) == 3
+    assert time.process_time() - began < 5
+    draw = random.Random(7)
+    for _ in range(300):
+        a, b = ("".join(draw.choice("aé😀b") for _ in range(draw.choice([0, 1, 3, 64, 65, 130]))) for _ in range(2))
+        b = draw.choice([b, a[:40] + b[:5] + a[50:], a + b, b + a])
+        most = draw.choice([0, 2, 20, 300])
+        assert ef.edit_distance(a, b, most) == min(levenshtein(a, b), most + 1)
