@@ -18,9 +18,11 @@ from foliant.functions.shared import written
 
 RRF_K = 60
 #: Chunks and queries to a block of a vector search.
-CHUNK_ROWS, QUERY_ROWS = 8_192, 1_024
+CHUNK_ROWS, QUERY_ROWS = 8_192, 2_048
 #: Queries of a block whose products are held at once.
 PRODUCT_ROWS = 64
+#: Parts of the chunks of a vector search at most, products made at once in double precision, and what rounding a similarity can add.
+VECTOR_TASKS, EXACT_ROWS, ROUNDED = 64, 32_768, 1e-6
 #: Chunks, their words and sets of words to a block of a text search, its tasks at most, and matches that a task holds before it keeps the best.
 TEXT_ROWS, TEXT_WORDS, SET_ROWS, TEXT_TASKS, HELD = 4_096, 1_000_000, 8_192, 64, 200_000
 #: Words that carry no meaning in a query.
@@ -81,43 +83,92 @@ def _packed(vectors: DataFrame, key: str, vector: str, rows: int) -> DataFrame:
     return vectors.select(key, vector).where(F.col(vector).isNotNull()).mapInArrow(run, schema)
 
 
+def _near_in_block(s: np.ndarray, x: np.ndarray, y: np.ndarray, least: np.ndarray, slack: float, order: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row of y the k rows of x nearest to it, those below `least` left out: places in y and x, and products.
+
+    s: products in single precision, which are off by `slack` at most. They tell what can be among the k, of which products are then made in double precision.
+    """
+    if len(x) > k and (none := np.isneginf(least)).any():
+        least = least.copy()
+        least[none] = np.partition(s[none], len(x) - k, axis=1)[:, len(x) - k] - slack - ROUNDED
+    rows, cols = np.divmod(np.flatnonzero(s >= (least - slack - ROUNDED).astype(np.float32)[:, None]), len(x))
+    sim = np.empty(len(rows))
+    for at in range(0, len(rows), EXACT_ROWS):
+        some = slice(at, at + EXACT_ROWS)
+        sim[some] = np.round(np.einsum("ij,ij->i", y[rows[some]], x[cols[some]]), 6)
+    best = np.lexsort((order[cols], -sim, rows))
+    rows, cols, sim = rows[best], cols[best], sim[best]
+    first = np.flatnonzero(np.diff(rows, prepend=-1))
+    kept = np.arange(len(rows)) - np.repeat(first, np.diff(np.append(first, len(rows)))) < k
+    return rows[kept], cols[kept], sim[kept]
+
+
+class _Nearest:
+    """The k nearest chunks so far of each query of a block."""
+
+    def __init__(self, asked: pa.Array, k: int):
+        self.asked, self.k, self.held, self.size = asked, k, [], 0
+        self.least = np.full(len(asked), -np.inf)
+
+    def add(self, rows: np.ndarray, ids: pa.Array, sim: np.ndarray) -> None:
+        self.held.append(pa.table([pa.array(rows, pa.int64()), ids, pa.array(sim)], names=["_set", "id", "score"]))
+        self.size += len(rows)
+
+    def cut(self) -> None:
+        best = _k_best(pa.concat_tables(self.held), self.k)
+        self.held, self.size = [best], 0
+        rows, score = best.column("_set").to_numpy(), best.column("score").to_numpy()
+        full = np.bincount(rows, minlength=len(self.asked)) == self.k
+        last = np.flatnonzero(np.diff(rows, append=-1))
+        self.least[rows[last]] = np.where(full[rows[last]], score[last], -np.inf)
+
+
 def by_vector(chunks: DataFrame, queries: DataFrame, k: int, where: Column | None = None) -> DataFrame:
     """For each query (query_id, query): its k nearest chunks with an embedding of its length: query_id, id, similarity, rank.
 
-    An exact search in blocks: chunks and queries become matrices of bounded size, each pair of blocks is one product, and
-    only each query's k best of a block of chunks leave it, ties by id.
+    An exact search in blocks: chunks and queries become matrices of bounded size, which are written once, and each pair of blocks is one product.
+    Of all chunks of a task only each query's k best leave it, ties by id.
     """
-    c = _packed(chunks.where(F.lit(True) if where is None else where), "id", "embedding", CHUNK_ROWS)
-    q = _packed(queries, "query_id", "query", QUERY_ROWS)
+    c = written(_packed(chunks.where(F.lit(True) if where is None else where), "id", "embedding", CHUNK_ROWS))
+    asked = written(queries.select("query_id", "query"))
+    # in few parts, so that blocks are full
+    asked = asked.coalesce(max(1, min(VECTOR_TASKS, asked.count() // (4 * QUERY_ROWS))))
+    q = written(_packed(asked, "query_id", "query", QUERY_ROWS).withColumn("q_block", F.monotonically_increasing_id()))
     kinds = [queries.schema["query_id"].dataType, chunks.schema["id"].dataType]
     schema = T.StructType([T.StructField("query_id", kinds[0]), T.StructField("id", kinds[1]), T.StructField("similarity", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, _Nearest] = {}
         for b in batches:
             for i in range(b.num_rows):
                 size, other = b.column(1)[i].as_py(), b.column(4)[i].as_py()
                 ids, asked = b.column(0)[i].values, b.column(3)[i].values
                 if size != other or not len(ids) or not len(asked):
                     continue
+                nearest = found.setdefault(b.column(6)[i].as_py(), _Nearest(asked, k))
                 x, y = (np.frombuffer(b.column(j)[i].as_buffer()).reshape(-1, size) for j in (2, 5))
                 order = np.empty(len(ids), np.int64)
-                order[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
-                for low in range(0, len(y), PRODUCT_ROWS):
-                    near = np.round(y[low : low + PRODUCT_ROWS] @ x.T, 6)
-                    if len(ids) > k:  # all that are as near as the k-th, and of these the first by id
-                        least = np.partition(near, len(ids) - k, axis=1)[:, len(ids) - k]
-                        rows, cols = np.nonzero(near >= least[:, None])
-                    else:
-                        rows, cols = (z.ravel() for z in np.indices(near.shape))
-                    sim = near[rows, cols]
-                    best = np.lexsort((order[cols], -sim, rows))
-                    rows, cols, sim = rows[best], cols[best], sim[best]
-                    first = np.flatnonzero(np.diff(rows, prepend=-1))
-                    kept = np.arange(len(rows)) - np.repeat(first, np.diff(np.append(first, len(rows)))) < k
-                    yield pa.RecordBatch.from_arrays([asked.take(pa.array(low + rows[kept])), ids.take(pa.array(cols[kept])), pa.array(sim[kept])], names=["query_id", "id", "similarity"])
+                order[pc.array_sort_indices(ids, null_placement="at_start").to_numpy()] = np.arange(len(ids))
+                x4, y4 = x.astype(np.float32), y.astype(np.float32)
+                # twice what rounding to single precision and adding up can do to products of such lengths
+                slack = (size + 4) * 2.0**-23 * max(1.0, float(np.sqrt((x * x).sum(axis=1).max() * (y * y).sum(axis=1).max())))
+                for low in range(0, len(y), 2 * PRODUCT_ROWS):  # of half the size
+                    part = slice(low, low + 2 * PRODUCT_ROWS)
+                    rows, cols, sim = _near_in_block(y4[part] @ x4.T, x, y[part], nearest.least[part], slack, order, k)
+                    if len(rows):
+                        nearest.add(low + rows, ids.take(pa.array(cols)), sim)
+                if nearest.size > k * len(asked) // 2:
+                    nearest.cut()
+        for nearest in found.values():
+            if nearest.held:
+                nearest.cut()
+                best = nearest.held[0].combine_chunks()
+                for at in range(0, best.num_rows, 65_536):
+                    some = best.slice(at, 65_536).to_batches()[0]
+                    yield pa.RecordBatch.from_arrays([nearest.asked.take(some.column(0)), some.column(1), some.column(2)], names=schema.names)
 
     # rows are blocks here: a table of queries is compared with all chunks, block by block
-    pairs = c.crossJoin(q.select(F.col("ids").alias("q_ids"), F.col("size").alias("q_size"), F.col("matrix").alias("q_matrix")))
+    pairs = c.coalesce(VECTOR_TASKS).crossJoin(q.select(F.col("ids").alias("q_ids"), F.col("size").alias("q_size"), F.col("matrix").alias("q_matrix"), "q_block"))
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
     return pairs.mapInArrow(run, schema).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

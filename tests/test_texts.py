@@ -48,6 +48,37 @@ def test_vector_search_of_more_queries_than_one_product_holds(spark):
     assert sorted((z.query_id, z.id, z["rank"]) for z in search.by_vector(chunks, asked, 5).collect()) == sorted(want)
 
 
+def test_vector_search_reads_each_vector_once_and_loses_no_near_tie(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(search, "CHUNK_ROWS", 50)
+    monkeypatch.setattr(search, "QUERY_ROWS", 7)
+    r = np.random.default_rng(5)
+    x = r.normal(size=(400, 16))
+    x[100:200] = x[0] + r.normal(size=(100, 16)) * 1e-6  # told apart in double precision only, or by id
+    x[300:350] = x[0]
+    x = x.astype(np.float32).astype(float)
+    read = spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    chunks = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, embedding array<double>").repartition(6).mapInArrow(told, "id int, embedding array<double>")
+    asked = chunks.where("id % 20 = 0").selectExpr("id as query_id", "embedding as query")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if there were too many queries to send
+    try:
+        found = sorted((z.query_id, z["rank"], z.id) for z in search.by_vector(chunks, asked, 12).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    x = x / np.linalg.norm(x, axis=1)[:, None]
+    near = np.round(x[::20] @ x.T, 6)
+    assert found == [(20 * q, n + 1, int(i)) for q in range(20) for n, i in enumerate(np.lexsort((np.arange(400), -near[q]))[:12])]
+    assert read.value == 800  # once as chunks, once for the queries among them
+
+
 def test_texts_are_cut_a_few_at_a_time():
     import pyarrow as pa
 
