@@ -51,6 +51,28 @@ def corpus(r, n):
     return rows + [(n, None), (n + 1, ""), (n + 2, " \t\n"), (n + 3, "One Two"), (n + 4, "one  two"), (n + 5, "É é"), (n + 6, "é é")]
 
 
+def broadcast_parts(plan):
+    """The lines under each BroadcastExchange of a plan's tree down to the next exchange, which is where Spark has measured sizes."""
+    lines, out = plan.splitlines(), []
+    depth = lambda x: len(x) - len(x.lstrip(" :+-*"))
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            for below in lines[i + 1 :]:
+                if depth(below) <= depth(line) or "Exchange hashpartitioning" in below:
+                    break
+                out.append(below)
+    return out
+
+
+def test_what_grows_by_arrays_is_not_broadcast(spark, monkeypatch):
+    # Spark sizes an array as one element and an explode as the rows before it, so by its sizes it would send both
+    plans, write = [], mh.materialise
+    monkeypatch.setattr(mh, "materialise", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), write(df))[1])
+    mh.near_duplicates(spark.createDataFrame(corpus(random.Random(3), 60), "doc_id long, text string")).collect()
+    sent = [x for p in plans for x in broadcast_parts(p)]
+    assert sent and not [x for x in sent if "Generate explode(signature" in x or "Generate posexplode(" in x or "Generate explode(prefix" in x or "FileScan" in x and "signature#" in x and "block#" not in x]
+
+
 @pytest.mark.parametrize("words", [4, 5])
 def test_near_duplicates_are_those_of_all_pairs(spark, words):
     rows = corpus(random.Random(words), 150)
